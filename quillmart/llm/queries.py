@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, packing, sharding, simhash, token_counts
-from .common import read, ship_package
+from . import brown, decontamination, exact_dedup, kneser_ney, packing, pii, secrets, sharding, simhash, token_counts
+from .common import ROW, read, ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,6 +17,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return brown.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -35,6 +44,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_multipart_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
@@ -50,7 +63,26 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op5_benchmark_decontamination, op7_hilbert_sharding, op8_token_counts, op9_simhash_near_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return kneser_ney.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop(ROW)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_brown_lm_scoring,
+        op3_weak_supervision_pii,
+        op4_exact_dedup,
+        op5_benchmark_decontamination,
+        op6_multipart_secret_scan,
+        op7_hilbert_sharding,
+        op8_token_counts,
+        op9_simhash_near_dedup,
+        op10_quality_classifier,
+    )
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
