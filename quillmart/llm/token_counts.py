@@ -11,7 +11,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +58,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
         .join(stored, "content_sha256", "left_anti")
     )
 
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for pdf in batches:
-            counts = [len(x) // 4 for x in enc.encode(pdf["text"].tolist())]
-            yield pd.DataFrame({"content_sha256": pdf["content_sha256"], "tokenizer_sha256": version, "n_tokens": counts})
+        for batch in batches:
+            # A slice of texts at a time is out of Arrow's memory.
+            counts = [len(x) // 4 for at in range(0, batch.num_rows, 256) for x in enc.encode(batch.column(1).slice(at, 256).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["content_sha256", "tokenizer_sha256", "n_tokens"])
 
-    fresh = rows.select(ROW, "text").join(misses, ROW).select("content_sha256", "text").mapInPandas(lengths, CACHE)
+    fresh = rows.select(ROW, "text").join(misses, ROW).select("content_sha256", "text").mapInArrow(lengths, CACHE)
     fresh.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
     return digests.join(counts, "content_sha256").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
