@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ends of an open validity; Spark timestamps have no infinity.
-BEGINNING = "0001-01-01 00:00:00"
+#: Ends of an open validity: Spark timestamps have no infinity. Dates that Parquet and Python hold without rebasing.
+BEGINNING = "1600-01-01 00:00:00"
 FOREVER = "9999-12-31 00:00:00"
 
 # Source statuses and the names that marts give them.

@@ -68,7 +68,7 @@ def j2_observations(spark: SparkSession, sf: str) -> DataFrame:
     is_current, version = 1 AS is_first, customer_key FROM versions""")
 def j3_dim_customer_state(spark: SparkSession, sf: str) -> DataFrame:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
-    return m.dim_customer_state(spark, sf).select("customer_id", "state", "version", stamp("valid_from"), stamp("valid_to"), "is_current", (F.year("effective_from") == 1).alias("is_first"), "customer_key")
+    return m.dim_customer_state(spark, sf).select("customer_id", "state", "version", stamp("valid_from"), stamp("valid_to"), "is_current", (F.year("effective_from") == 1600).alias("is_first"), "customer_key")
 
 
 PAYMENT_SQL = f"""WITH {VERSIONS} SELECT event_id AS payment_id, user_id AS customer_id, v.customer_key, v.state AS state_at_payment, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS payment_date_key,
@@ -92,7 +92,7 @@ def j4b_as_of_join_by_window(spark: SparkSession, sf: str) -> DataFrame:
     JOIN versions v ON v.customer_id = e.user_id AND e.ts >= v.effective_from AND (v.valid_to IS NULL OR e.ts < v.valid_to) JOIN geo g ON g.c_custkey = e.user_id WHERE event_type = 'purchase'""")
 def c4_double_as_of_inner_join(spark: SparkSession, sf: str) -> DataFrame:
     versions = m.dim_customer_state(spark, sf).select("customer_id", "state", "effective_from", "valid_to")
-    geo = m.dim_customer_geo(spark, sf).select("customer_id", "customer_state", F.lit("0001-01-01").cast("timestamp_ntz").alias("effective_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    geo = m.dim_customer_geo(spark, sf).select("customer_id", "customer_state", F.lit("1600-01-01").cast("timestamp_ntz").alias("effective_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
     one = as_of_join(m.purchases(spark, sf), versions, "customer_id", "payment_at", "inner").drop("effective_from", "valid_to")
     return as_of_join(one, geo, "customer_id", "payment_at", "inner").select("payment_id", F.col("state").alias("state_at_payment"), "customer_state")
 
