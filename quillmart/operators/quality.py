@@ -174,3 +174,26 @@ def run_checks(checks: list[Check]) -> DataFrame:
 def summarize_checks(results: DataFrame) -> DataFrame:
     names = F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "fail", F.col("check_name")))), ",")
     return results.agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"), F.count_if(F.col("status") == "warn").alias("warned"), names.alias("failed_names"))
+
+
+def unparsable(raw: DataFrame, types: dict[str, str]) -> DataFrame:
+    """column_name, n_bad: values that are there but do not cast; every column is named."""
+    bad = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in types.items()]
+    stacked = ", ".join(f"'{c}', `{c}`" for c in types)
+    return raw.agg(*bad).select(F.expr(f"stack({len(types)}, {stacked}) AS (column_name, n_bad)"))
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Adds _violations: the names of the rules (true where broken) that a row breaks, in order."""
+    return df.withColumn("_violations", F.filter(F.array(*[F.when(c, k) for k, c in rules.items()]), lambda x: x.isNotNull()))
+
+
+def set_exactly_when(df: DataFrame, column: str, condition: Column) -> DataFrame:
+    """Rows where the column is set without the condition, or missing with it."""
+    return df.filter(F.col(column).isNotNull() != condition)
+
+
+def contract_differences(df: DataFrame, expected: dict[str, str]) -> list[str]:
+    """Names and types of an output that differ from its contract."""
+    found = dict(df.dtypes)
+    return [f"{c}: {found.get(c, 'missing')} instead of {t}" for c, t in expected.items() if found.get(c) != t] + [f"{c}: not in the contract" for c in found if c not in expected]

@@ -49,3 +49,16 @@ def run_status(judged: DataFrame, now_day: str) -> DataFrame:
     alert = F.exists("failures", lambda x: F.startswith(x, F.lit(ALERT_PREFIXES[0])) | F.startswith(x, F.lit(ALERT_PREFIXES[1])))
     age = F.datediff(F.lit(now_day).cast("date"), "run_day")
     return judged.select("run_id", F.when(age > 1, "STALE").when(alert, "ALERT").when(~F.col("ok"), "DEGRADED").otherwise("OK").alias("status"))
+
+
+def row_count_drop(before: DataFrame, after: DataFrame, share: float = DROP) -> DataFrame:
+    """relation, before, after where a publish has fewer than this share of the rows before."""
+    a = after.select("relation", F.col("n_rows").alias("after"))
+    joined = before.select("relation", F.col("n_rows").alias("before")).join(a, "relation", "left").withColumn("after", F.coalesce("after", F.lit(0)))
+    return joined.filter(F.col("after") < F.col("before") * share)
+
+
+def data_lag(df: DataFrame, at: str, now: str, threshold_seconds: int) -> DataFrame:
+    """lag_seconds from the last `at` to now, is_stale beyond the threshold."""
+    seconds = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("_last").cast("timestamp"))
+    return df.agg(F.max(at).alias("_last")).select((seconds > threshold_seconds).alias("is_stale"), seconds.alias("lag_seconds"))

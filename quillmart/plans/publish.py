@@ -31,7 +31,7 @@ class Publisher:
     def _pointer(self) -> dict:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {"relations": {}, "held": [], "hashes": {}}
+            return {"publish_id": None, "relations": {}, "held": [], "hashes": {}}
         return json.loads(self.spark.read.text(f"{self.root}/current", wholetext=True).first()[0])
 
     def publish(self, tables: dict[str, DataFrame], checks: list[quality.Check]) -> list[str]:
@@ -46,7 +46,7 @@ class Publisher:
         held = [n for n in tables if decisions.get(self.domains[n]) == "hold"]
         new = {n: old["relations"][n] if n in held and n in old["relations"] else paths[n] for n in tables if n not in held or n in old["relations"]}
         hashes = {r.relation: r.logical_hash for r in hashing.relation_hashes({n: self.spark.read.parquet(p) for n, p in new.items()}).collect()}
-        self.spark.createDataFrame([(json.dumps({"relations": new, "held": held, "hashes": hashes}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        self.spark.createDataFrame([(json.dumps({"publish_id": run, "relations": new, "held": held, "hashes": hashes}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
         return [n for n in new if hashes.get(n) != old["hashes"].get(n)]
 
     def published(self) -> dict[str, DataFrame]:
@@ -54,3 +54,20 @@ class Publisher:
 
     def held(self) -> list[str]:
         return self._pointer()["held"]
+
+    def live(self) -> str | None:
+        return self._pointer()["publish_id"]
+
+    def hashes(self) -> dict[str, str]:
+        return self._pointer()["hashes"]
+
+
+def export_serving(spark: SparkSession, publisher: Publisher, target: str, prefixes: tuple[str, ...]) -> DataFrame:
+    """Copies the published relations with these prefixes; returns the manifest: export and publish id, row counts, hashes."""
+    names = [n for n in publisher.published() if n.startswith(prefixes)]
+    counts = {}
+    for n in names:
+        publisher.published()[n].write.mode("errorifexists").parquet(f"{target}/{n}")
+        counts[n] = spark.read.parquet(f"{target}/{n}").count()
+    row = (uuid.uuid4().hex, publisher.live(), counts, {n: publisher.hashes()[n] for n in names})
+    return spark.createDataFrame([row], "export_id string, publish_id string, row_counts map<string, bigint>, hashes map<string, string>")
