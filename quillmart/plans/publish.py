@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing, quality
+from ..sources.pointer import Pointer
 
 
 def domain_decisions(results: DataFrame) -> DataFrame:
@@ -20,19 +20,17 @@ def domain_decisions(results: DataFrame) -> DataFrame:
 class Publisher:
     """Publishes relations under a folder. domains: relation -> domain.
 
-    Each publish writes new folders, checks them, and moves one pointer file that
-    names the folder of every relation; a held domain keeps its earlier folders.
+    Each publish writes new folders, checks them, and moves one pointer that names
+    the folder of every relation; a held domain keeps its earlier folders.
     One publisher at a time may write.
     """
 
     def __init__(self, spark: SparkSession, root: str, domains: dict[str, str]):
         self.spark, self.root, self.domains = spark, root, domains
+        self._current = Pointer(spark, root, "current", {"publish_id": None, "relations": {}, "held": [], "hashes": {}})
 
     def _pointer(self) -> dict:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {"publish_id": None, "relations": {}, "held": [], "hashes": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/current", wholetext=True).first()[0])
+        return self._current.read()
 
     def publish(self, tables: dict[str, DataFrame], checks: list[quality.Check]) -> list[str]:
         """The relations that changed; none if a shared check fails."""
@@ -44,9 +42,10 @@ class Publisher:
         if "block" in decisions.values():
             return []
         held = [n for n in tables if decisions.get(self.domains[n]) == "hold"]
-        new = {n: old["relations"][n] if n in held and n in old["relations"] else paths[n] for n in tables if n not in held or n in old["relations"]}
-        hashes = {r.relation: r.logical_hash for r in hashing.relation_hashes({n: self.spark.read.parquet(p) for n, p in new.items()}).collect()}
-        self.spark.createDataFrame([(json.dumps({"publish_id": run, "relations": new, "held": held, "hashes": hashes}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        fresh = {n: paths[n] for n in tables if n not in held}
+        hashed = {r.relation: r.logical_hash for r in hashing.relation_hashes({n: self.spark.read.parquet(p) for n, p in fresh.items()}).collect()} if fresh else {}
+        new, hashes = old["relations"] | fresh, old["hashes"] | hashed
+        self._current.write({"publish_id": run, "relations": new, "held": held, "hashes": hashes})
         return [n for n in new if hashes.get(n) != old["hashes"].get(n)]
 
     def published(self) -> dict[str, DataFrame]:

@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hashing import logical_hash
 from .contracts import TableContract
 from .ledger import LEDGER
+from .pointer import Pointer
 
 
 class Ledger:
     """Committed batches and the watermark in a folder; one writer at a time.
 
-    The state file names the ledger's files and the watermark together, so a commit
-    shows whole or not at all.
+    The state names the ledger's files and the watermark together, so a commit shows
+    whole or not at all.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._pointer = Pointer(spark, root, "state", {"watermark": "", "parts": []})
 
     def _state(self) -> dict:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {"watermark": "", "parts": []}
-        return json.loads(self.spark.read.text(f"{self.root}/state", wholetext=True).first()[0])
+        return self._pointer.read()
 
     def watermark(self) -> str:
         return self._state()["watermark"]
@@ -42,8 +39,7 @@ class Ledger:
             return False
         part = f"{self.root}/part-{len(state['parts']):06d}"
         rows.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(part)
-        new = json.dumps({"watermark": advance_to, "parts": [*state["parts"], part]})
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/state")
+        self._pointer.write({"watermark": advance_to, "parts": [*state["parts"], part]})
         return True
 
 
