@@ -99,13 +99,12 @@ def hilbert_order(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bit
 
 def cut_runs(ordered: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot: runs of the order whose row counts differ by one at most."""
-    total = ordered.agg(F.count("*").cast("decimal(20,0)").alias("_q_total"))
-    q, r = F.floor(F.col("_q_total") / shards).cast("long"), (F.col("_q_total") % shards).cast("long")
+    q, r = divmod(ordered.count(), shards)
     # The first r shards have q + 1 rows.
     edge, pos = r * (q + 1), F.col("position")
-    shard = F.when(pos < edge, F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - edge) / F.greatest(q, F.lit(1).cast("long"))))
-    cut = ordered.join(F.broadcast(total), how="cross").withColumn("shard", shard.cast("int"))
-    return cut.withColumn("slot", pos - F.col("shard") * q - F.least(F.col("shard").cast("long"), r)).drop("_q_total")
+    shard = F.when(pos < edge, F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - edge) / max(q, 1)))
+    cut = ordered.withColumn("shard", shard.cast("int"))
+    return cut.withColumn("slot", pos - F.col("shard").cast("long") * q - F.least(F.col("shard").cast("long"), F.lit(r).cast("long")))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
