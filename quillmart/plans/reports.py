@@ -310,3 +310,47 @@ def a35_record_run_report(spark: SparkSession, sf: str) -> DataFrame:
     old = e.withColumn("n_reports", F.col("n_reports") - F.col("day_key") % 2)
     again = e.filter("day_key % 2 = 1").unionByName(e.limit(1).select(F.lit(20990101).alias("day_key"), F.lit(1).cast("long").alias("n_reports")))
     return ledger.upsert(old, again, ["day_key"])
+
+
+@query("SELECT user_id AS customer_id, count(*) AS n_payments, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100 AS payment_total FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def d2_payment_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return m.purchases(spark, sf).groupBy("customer_id").agg(F.count("*").alias("n_payments"), F.sum("payment_value").cast(D).alias("payment_total"))
+
+
+@query(f"SELECT count(DISTINCT {DAY}) FILTER (ts < TIMESTAMP '2024-01-21') AS n_committed, count(DISTINCT {DAY}) FILTER (ts >= TIMESTAMP '2024-01-21') AS n_uncommitted FROM events")
+def d20_object_counts(spark: SparkSession, sf: str) -> DataFrame:
+    written = committed_days(bronze_by_day(spark, sf))
+    there = written.filter("batch_id < '20240121'").select("batch_id", F.lit(True).alias("_c"))
+    joined = written.select("batch_id").join(there, "batch_id", "left")
+    return joined.agg(F.count_if("_c").alias("n_committed"), F.count_if(F.col("_c").isNull()).alias("n_uncommitted"))
+
+
+@query(f"SELECT {DAY} AS batch_id, count(*) AS n_rows, 6 AS n_source_columns, 5 AS n_technical_columns FROM events GROUP BY 1")
+def a27_inspect_bronze(spark: SparkSession, sf: str) -> DataFrame:
+    bronze = bronze_by_day(spark, sf)
+    technical = [c for c in bronze.columns if c.startswith("_")]
+    source = [c for c in bronze.columns if not c.startswith("_") and c != "batch_id"]
+    return bronze.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.lit(len(source)).alias("n_source_columns"), F.lit(len(technical)).alias("n_technical_columns"))
+
+
+@query("""WITH d AS (SELECT event_type, ts::DATE AS day, count(*) > 68 AS held, max(ts) AS last FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS pos FROM d)
+    SELECT event_type AS domain, strftime(max(last), '%Y-%m-%d %H:%M:%S.%f') AS as_of, bool_or(held AND pos = 1) AS is_held, coalesce(min(CASE WHEN NOT held THEN pos END) - 1, count(*)) AS consecutive_holds FROM r GROUP BY 1""")
+def a34_serving_domain_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Per domain its last event, whether the newest publish held it, and for how many publishes."""
+    e = m.table(spark, sf, "events")
+    publishes = e.groupBy(F.col("event_type").alias("domain"), F.to_date("ts").alias("day")).agg((F.count("*") > 68).alias("held"))
+    holds = obs.consecutive_holds(publishes, "domain", "day", "held")
+    last = obs.domain_lag(e, "event_type", "ts", "2024-02-01 00:00:00")
+    return last.join(holds, "domain", "full_outer").select("domain", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("as_of"), (F.col("consecutive_holds") > 0).alias("is_held"), "consecutive_holds")
+
+
+@query(f"""WITH {VERSIONS} SELECT count(*) AS n_violations FROM events e JOIN versions v ON v.customer_id = e.user_id AND e.ts >= v.effective_from AND (v.valid_to IS NULL OR e.ts < v.valid_to) WHERE event_type = 'purchase' AND v.batch_id > '20240115'""")
+def l8_boundary_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A held dimension beside newer facts: the references across the boundary are checked again."""
+    from ..operators.history import scd2_fold, with_surrogate_key
+
+    held = scd2_fold(m.observations(spark, sf).filter("_batch_id <= '20240115'"), "customer_id", "attribute_hash", "updated_at")
+    held = with_surrogate_key(held, "customer_id", "attribute_hash", "customer_key")
+    broken = quality.relationships(m.fct_payment(spark, sf), "customer_key", held, "customer_key")
+    return broken.agg(F.count("*").alias("n_violations"))
+

@@ -178,3 +178,29 @@ def test_stream_hands_over_valid_and_rejected(spark, tmp_path):
     q = ingest_available(spark, str(tmp_path / "in"), c, str(tmp_path / "ck"), lambda good, bad, n: seen.append((good.count(), bad.count())))
     q.awaitTermination()
     assert seen == [(3, 1)]
+
+
+def test_output_contracts_and_typed_empty_relations(spark):
+    days = date_dimension(spark.createDataFrame([(dt(2026, 2, 27),)], "at timestamp"), "at")
+    want = {"date_key": "int", "date_day": "date", "year": "bigint", "quarter": "bigint", "month": "bigint", "day": "bigint", "day_of_week": "bigint"}
+    assert quality.contract_differences(days, want) == []
+    assert quality.contract_differences(days.drop("year").withColumn("x", F.lit(1)), want) == ["year: missing instead of bigint", "x: not in the contract"]
+    for c in CONTRACTS.values():
+        assert ledger.empty_relation(spark, c).schema == c.schema and not ledger.empty_relation(spark, c).head(1)
+
+
+def test_ledger_takes_only_commits_that_follow(spark, tmp_path):
+    from quillmart.sources.commits import Ledger
+
+    row = spark.createDataFrame([("events", "o", 3, "b1", dt(2026, 9, 9), 1, "h")], ledger.LEDGER)
+    led = Ledger(spark, str(tmp_path / "ledger"))
+    assert led.watermark() == "" and led.rows().count() == 0
+    assert led.commit(row, "", "b1") and not led.commit(row, "", "b2") and not led.commit(row, "b1", "b0")
+    assert led.watermark() == "b1" and led.rows().count() == 1
+
+
+def test_check_severities(spark):
+    bad = lambda: spark.range(2)
+    res = quality.run_checks([quality.Check("a", "x", bad), quality.Check("b", "x", bad, "warn"), quality.Check("c", "y", lambda: spark.range(0))])
+    assert {(r.check_name, r.status, r.n_violations) for r in res.collect()} == {("a", "fail", 2), ("b", "warn", 2), ("c", "pass", 0)}
+    assert tuple(quality.summarize_checks(res).first()) == (1, 1, 1, "a")
