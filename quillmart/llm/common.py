@@ -54,9 +54,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmart/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the session delete a folder of the shared place when it ends; lazy results may read it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a materialized table that no lazy result still reads."""
     spark = table.sparkSession
