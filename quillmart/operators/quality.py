@@ -28,7 +28,7 @@ def validate(df: DataFrame, contract: TableContract, parents: dict[str, DataFram
     referencing column a table with the parent's key under the same name.
     """
     contract.check_columns(df)
-    typed = {f.name: F.try_cast(F.col(f.name), f.dataType) if hasattr(F, "try_cast") else F.col(f.name).try_cast(f.dataType) for f in contract.schema}
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in contract.schema}
     order = [typed[contract.cursor].asc_nulls_last(), *[typed[k].asc_nulls_last() for k in contract.keys], *[F.col(c).cast("string").asc_nulls_last() for c in df.columns if c not in contract.keys]]
     df = df.withColumn("_claim", F.row_number().over(W.partitionBy(*contract.keys).orderBy(*order)))
     missing: list[Column] = []
