@@ -68,4 +68,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     fresh = rows.select(ROW, "text").join(misses, ROW).select("content_sha256", "text").mapInArrow(lengths, CACHE)
     fresh.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
+    # A table of its own, so that both sides of the last join are plain exchanges, whose hot keys the adaptive join splits.
+    counts = materialize(counts)
     return digests.join(counts, "content_sha256").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
