@@ -64,7 +64,8 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     An empty table gives no rows.
     """
     digests = materialize(digest_rows(docs))
-    groups = merge_runs(digests, fan_in).filter("group_size > 1")
+    # A table of its own, so that both sides of the join are plain exchanges, whose hot keys the adaptive join splits.
+    groups = materialize(merge_runs(digests, fan_in).filter("group_size > 1"))
     mine = digests.join(groups, ["text_sha256", "_q_len", "_q_xx"], "left")
     alone = F.col("group_size").isNull()
     return mine.select(
