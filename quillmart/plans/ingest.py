@@ -140,7 +140,8 @@ def a13_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quarantine(bad, LINES, "batch_1", "run_1", F.lit("2026-01-01 00:00:00").cast("timestamp")).withColumn("_detected_at", F.col("_detected_at").cast("string"))
 
 
-@query()
+@query("""WITH x AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('events:' || event_id)) AS h FROM events)
+    SELECT event_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), printf('%02x', (('0x' || substr(h, 17, 2))::INTEGER & 63) | 128) || substr(h, 19, 2), substr(h, 21, 12)) AS uuid FROM x""")
 def h16_uuid5(spark: SparkSession, sf: str) -> DataFrame:
     return m.table(spark, sf, "events").select("event_id", uuid5(quality.NAMESPACE, F.concat(F.lit("events:"), F.col("event_id").cast("string"))).alias("uuid"))
 
