@@ -393,3 +393,70 @@ def test_matches_are_located(spark):
     d = spark.createDataFrame([(1, "😀ab ab"), (2, "")], "doc_id long, text string")
     got = [(r.start, r.end, r.before, r.after) for r in spans.located(spans.found_matches(d, {"x": "ab"})).collect()]
     assert sorted(got) == [(1, 3, "😀", " "), (4, 6, " ", "")]
+
+
+# --- words of the quality model -------------------------------------------------------
+def plain_kneser_ney(fit):
+    """The negative log10 probability of a token list under a modified Kneser-Ney trigram model of token lists, with an unknown event for each shape."""
+
+    def events(ts):
+        return ["<", "<", *[("again",) if i and t == ts[i - 1] else t for i, t in enumerate(ts)], ">"]
+
+    def kind(e):
+        return kneser_ney.AGAIN if e == ("again",) else 0 if e == ">" else kneser_ney.shape(e)
+
+    c3 = Counter(tuple(e[i - 2 : i + 1]) for e in map(events, fit) for i in range(2, len(e)))
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+
+    def cuts(c):
+        n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        if not (n[0] and n[1]):
+            return (0.5,) * 3
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3)]
+
+    tables = []
+    for c in (c1, c2, c3):
+        d, total, free = cuts(c), Counter(), Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            free[g[:-1]] += d[min(n, 3) - 1]
+        tables.append((c, d, total, free))
+    once = Counter(kind(g[0]) for g, n in c1.items() if n == 1)
+    shares = sum(once.values()) + len(kneser_ney.SHAPES)
+
+    def p(g):
+        c, d, total, free = tables[len(g) - 1]
+        own = c[g] - d[min(c[g], 3) - 1] if g in c else 0.0
+        if len(g) == 1:
+            base = 1 if g in c else len(kneser_ney.SHAPES) * (once[kind(g[0])] + 1) / shares
+            return own / total[()] + free[()] / total[()] * base / (len(c) + len(kneser_ney.SHAPES))
+        at = g[:-1]
+        return own / total[at] + free[at] / total[at] * p(g[1:]) if total[at] else p(g[1:])
+
+    return lambda ts: -sum(math.log10(p(tuple(e[i - 2 : i + 1]))) for e in [events(ts)] for i in range(2, len(e)))
+
+
+@pytest.mark.parametrize("share", [2e-5, 0.01, 2.0])
+def test_quality_counts_words(spark, docs, rows, share, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "FAST_SHARE", share)
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i is not None and i < 100], "doc_id long, quality int, toxic int")
+    fit = {r.doc_id for r in kneser_ney.trusted_labels(labels).collect() if r.fit}
+    nll = plain_kneser_ney([kneser_ney.tokens(t) for i, t, *_ in rows if i in fit])
+    want = Counter((i, len(ts := kneser_ney.tokens(t)), round(nll(ts) / (len(ts) + 1), 6)) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.n_tokens, round(r.nll, 6)) for r in kneser_ney.quality(docs, labels).collect()) == want
+
+
+def test_quality_tells_words_from_letters_of_the_same_shape(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(160)]
+    phrases = [" ".join(words[i : i + 4]) for i in range(0, 160, 4)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(20)) for _ in range(60)]
+    salad = "".join(rng.choice("abcdefghijklmnop") if c != " " else c for c in texts[0])
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([*((i, t, "en") for i, t in enumerate(texts)), (1000, salad, "en")], "doc_id long, text string, lang string").write.parquet(path)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert [r.doc_id for r in kneser_ney.quality(spark.read.parquet(path), labels).collect() if r.rejected] == [1000]
