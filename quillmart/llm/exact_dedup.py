@@ -1,12 +1,12 @@
-"""Exact dedup by a tree-merge of sorted digest runs.
+"""Exact dedup by aggregation in rounds, which stands in for a tree-merge of sorted digest runs.
 
-Rows are dealt over fan_in ** rounds lanes. Round r moves a run from its lane to
-the lane whose r-th digit is the digest's r-th digit, so each lane merges the runs
+Rows are dealt over fan_in ** rounds lanes. Round r moves a digest from its lane to
+the lane whose r-th digit is the digest's r-th digit, so each lane takes the digests
 of fan_in partners (binomial rounds for fan_in 2), and keeps of each digest the
-smallest identifier and the row count. After the last round a lane holds one
-sorted run with all of its share of the digests. Each round combines equal
-digests before it sends them, so a group of copies, however large, sends at most
-one row from each lane: no lane holds more than its share and none holds all.
+smallest identifier and the row count. A lane is a grouping key, not a partition:
+Spark deals each round by lane and digest, and nothing is sorted. After the last
+round a digest has one row. Each round combines equal digests before it sends
+them, so a group of copies, however large, sends at most one row from each lane.
 """
 
 from __future__ import annotations
