@@ -82,10 +82,14 @@ def a30_csv_mirror(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n_rows"), (F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).cast(D) / 100).alias("balance"))
 
 
+#: Most rows of a file that is hashed as one value.
+FILE_ROWS = 500_000
+
+
 @query()
 def a2_dataset_checksum(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
-    m.table(spark, sf, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    m.table(spark, sf, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return scans.combined_checksum(scans.dataset_checksum(spark, path + "/*.parquet"))
 
 

@@ -204,3 +204,12 @@ def test_check_severities(spark):
     res = quality.run_checks([quality.Check("a", "x", bad), quality.Check("b", "x", bad, "warn"), quality.Check("c", "y", lambda: spark.range(0))])
     assert {(r.check_name, r.status, r.n_violations) for r in res.collect()} == {("a", "fail", 2), ("b", "warn", 2), ("c", "pass", 0)}
     assert tuple(quality.summarize_checks(res).first()) == (1, 1, 1, "a")
+
+
+def test_checksum_files_grow_in_number_with_the_table(spark, monkeypatch):
+    from quillmart.plans import ingest
+
+    monkeypatch.setattr(ingest, "FILE_ROWS", 100)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert ingest.a2_dataset_checksum(spark, sf).first().n_files >= n / 100 > 4
