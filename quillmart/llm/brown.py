@@ -1,24 +1,34 @@
 """Class-based bigram language model with classes from exchange clustering.
 
-Clustering works on units: a word with a share of the training tokens of at least
-OWN_SHARE is its own unit (1 / OWN_SHARE bounds their number), every other word
-belongs to the unit of its last three bytes. An exchange step gives each unit the
-class that most raises the likelihood of the class bigrams, all else fixed; half
-of the units move at a time. All of a text's tokens count, and every word has its
-own emission probability: counts of words under FAST_SHARE are joined by word,
-those above travel with the tasks (1 / FAST_SHARE bounds them).
+Every training word has a class. Words with a share of the training tokens of at
+least OWN_SHARE (1 / OWN_SHARE bounds them) are clustered first, with all others in
+POOLS units by their last three bytes: an exchange step gives each unit the class
+that most raises the likelihood of the class bigrams, all else fixed. Of a step's
+moves only so many are kept, the best first, that the likelihood does not fall. Then every other word, however rare, is exchanged
+on its own: its bigrams with the classes before and after it are summed in Spark and
+it takes the class that they raise most. For so rare a word the change is taken to
+first order.
+
+Words travel as their 64-bit hashes. Tables of the words with a share of at least
+FAST_SHARE (1 / FAST_SHARE bounds them) travel with the tasks; the others are joined.
+A word that training lacks belongs to the class where most words seen once with its
+ending are. It shares what absolute discounting takes from that class's words with as
+many other unseen words as Chao's estimate, from words seen once and twice, gives, so
+a class's probabilities, seen and unseen words together, sum to one.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +36,15 @@ from .common import LOWER, ROW, discard, keyed, materialize, raw_bytes
 
 CLASSES = 64
 SWEEPS = 8
-OWN_SHARE = 4e-5
-FAST_SHARE = 2e-6
+OWN_SHARE = 1e-4
+FAST_SHARE = 5e-7
 POOLS = 512
+#: Units that a task exchanges one after the other.
+TASK_UNITS = 512
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
-_FLUSH = 400_000
+#: Bytes of text that a task numbers at a time; a longer text is one slice.
+SLICE_BYTES = 6 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,6 +55,14 @@ def pool_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % POOLS
 
 
+def word_hash(word: bytes) -> int:
+    """XXH64, signed."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def split_rows(docs: DataFrame) -> DataFrame:
     """ROW, doc_id, held_out, text; crc32(doc_id as text) mod 7 is 2 for held-out rows, a null id counts as empty."""
     doc_id = F.col("doc_id").cast("long")
@@ -49,62 +70,93 @@ def split_rows(docs: DataFrame) -> DataFrame:
     return keyed(docs, doc_id.alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `most` bytes in their last column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+class Numbered(NamedTuple):
+    """Texts one after the other, each with END at its end: codes into the distinct words' hashes and pools, and the texts' sizes."""
+
+    codes: np.ndarray
+    hashes: np.ndarray
+    pools: np.ndarray
+    sizes: np.ndarray
+
+
+def numbered(texts: list[str | None]) -> Numbered:
+    lists = [tokens(t) for t in texts]
+    for x in lists:
+        x.append(END)
+    flat = np.empty(sum(map(len, lists)), object)
+    flat[:] = list(chain.from_iterable(lists))
+    codes, words = pd.factorize(flat)
+    hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+    pools = np.fromiter(map(pool_of, words), np.int64, len(words))
+    return Numbered(codes, hashes, pools, np.fromiter(map(len, lists), np.int64, len(lists)))
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The index of each wanted hash in the sorted keys, -1 where it is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 def word_counts(train: DataFrame) -> DataFrame:
-    """word (binary), n over the texts, with END once for each."""
+    """h, n over the texts, with END once for each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+        for batch in slices(batches):
+            x = numbered(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x.hashes), pa.array(np.bincount(x.codes, minlength=len(x.hashes)))], ["h", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                seen[END] += 1
-                if len(seen) > _FLUSH:
-                    yield flush()
-        yield flush()
+    return train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+class Units(NamedTuple):
+    """Hashes of the words with units of their own, sorted, and their units; END is 0, pools follow the words."""
 
-class Units(dict):
-    """Word -> unit for words with units of their own; any other word gives its pool's unit."""
+    keys: np.ndarray
+    units: np.ndarray
 
-    def __init__(self, own: dict[bytes, int], first_pool: int):
-        super().__init__(own)
-        self.first_pool = first_pool
+    @property
+    def first_pool(self) -> int:
+        return len(self.keys)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.first_pool + zlib.crc32(word[-3:]) % POOLS
+    @property
+    def size(self) -> int:
+        return len(self.keys) + POOLS
 
-    def __reduce__(self):
-        return (Units, (dict(self), self.first_pool))
+    def of(self, x: Numbered) -> np.ndarray:
+        """The unit of each distinct word."""
+        at = place(self.keys, x.hashes)
+        return np.where(at >= 0, self.units[np.maximum(at, 0)], self.first_pool + x.pools)
 
 
 def unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     """a, b, n: how often unit b follows unit a; each text starts and stops at END."""
-    size, sent = units.first_pool + POOLS, train.sparkSession.sparkContext.broadcast(units)
+    size, sent = units.size, train.sparkSession.sparkContext.broadcast(units)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, stream = sent.value.__getitem__, [0]
-
-        def flush() -> pa.RecordBatch:
-            ids = np.array(stream, np.int64)
-            codes, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((codes // size).astype(np.int32)), pa.array((codes % size).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                stream.extend(map(find, tokens(text.as_py())))
-                stream.append(0)
-                if len(stream) > 4_000_000:
-                    yield flush()
-                    stream = [0]
-        yield flush()
+        for batch in slices(batches):
+            x = numbered(batch.column(0).to_pylist())
+            ids = np.concatenate(([0], sent.value.of(x)[x.codes]))
+            pairs = ids[:-1] * size + ids[1:]
+            if size <= 2048:
+                n = np.bincount(pairs, minlength=size * size)
+                pairs = np.flatnonzero(n)
+                n = n[pairs]
+            else:
+                pairs, n = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     return train.select("text").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -113,6 +165,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(m: np.ndarray) -> float:
+    """Of the class bigrams m, but for a constant of the words."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() - _xlogx(m.sum(0)).sum())
+
+
 def best_class(own: int, out: np.ndarray, into: np.ndarray, twice: float, m: np.ndarray) -> tuple[int, float]:
     """The class for a unit, and how much better than its own it is.
 
@@ -152,159 +209,323 @@ def class_matrix(adjacency: DataFrame, classes: np.ndarray, k: int) -> np.ndarra
     return m
 
 
-def exchange(bigrams: DataFrame, size: int, k: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit's class and the class bigram counts. What reaches the driver: a class for each unit, k x k counts."""
+def proposed_moves(adjacency: DataFrame, classes: np.ndarray, m: np.ndarray) -> list:
+    """u, c, gain of the units that another class suits better, the best first.
+
+    A task goes through its units one after the other, each against the counts that
+    its own moves so far have changed; of other tasks' moves it knows nothing.
+    """
+    sent, k = adjacency.sparkSession.sparkContext.broadcast((classes, m)), len(m)
+
+    def move(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, m = (x.copy() for x in sent.value)
+        for pdf in frames:
+            us, to, better = [], [], []
+            for u, vs, outs, ins in zip(pdf["u"], pdf["vs"], pdf["outs"], pdf["ins"]):
+                if u == 0:
+                    continue
+                vs, outs, ins = np.asarray(vs), np.asarray(outs, float), np.asarray(ins, float)
+                self = vs == u
+                twice, at, own = float(outs[self].sum()), now[vs[~self]], int(now[u])
+                out, into = np.bincount(at, outs[~self], k), np.bincount(at, ins[~self], k)
+                j, gain = best_class(own, out, into, twice, m)
+                if gain > 1e-9 and j != own:
+                    for c, sign in ((own, -1), (j, 1)):
+                        m[c] += sign * out
+                        m[:, c] += sign * into
+                        m[c, c] += sign * twice
+                    now[u] = j
+                    us.append(u), to.append(j), better.append(gain)
+            yield pd.DataFrame({"u": np.array(us, np.int32), "c": np.array(to, np.int32), "gain": np.array(better, float)})
+
+    return sorted(adjacency.mapInPandas(move, "u int, c int, gain double").collect(), key=lambda r: (-r.gain, r.u))
+
+
+def exchange(bigrams: DataFrame, size: int, k: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Each unit's class, the class bigram counts, and the likelihood after each step, which never falls.
+
+    What reaches the driver: a class for each unit, k x k counts.
+    """
     both = bigrams.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("n").alias("o"), F.lit(0).cast("long").alias("i")).unionByName(
         bigrams.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).cast("long").alias("o"), F.col("n").alias("i"))
     )
     entry = both.groupBy("u", "v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("v", "o", "i"))).alias("e"))
-    # A row for each unit, dealt at random: a frequent unit's row is longer, but no longer than the number of units.
-    tasks = int(bigrams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    adjacency = materialize(entry.select("u", F.col("e.v").alias("vs"), F.col("e.o").alias("outs"), F.col("e.i").alias("ins")).repartition(tasks, F.xxhash64("u")))
+    # A row for each unit, dealt at random, TASK_UNITS to a task: a frequent unit's row is longer, but no longer than the number of units.
+    adjacency = materialize(entry.select("u", F.col("e.v").alias("vs"), F.col("e.o").alias("outs"), F.col("e.i").alias("ins")).repartition(-(-size // TASK_UNITS), F.xxhash64("u")))
     classes = np.zeros(size, np.int64)
     classes[1:] = np.arange(size - 1) % (k - 1) + 1
-    for sweep in range(sweeps):
-        m = class_matrix(adjacency, classes, k)
-        sent = adjacency.sparkSession.sparkContext.broadcast((classes, m))
-
-        def move(frames: Iterator[pd.DataFrame], sent=sent, sweep=sweep) -> Iterator[pd.DataFrame]:
-            now, m = sent.value
-            for pdf in frames:
-                us, to, better = [], [], []
-                for u, vs, outs, ins in zip(pdf["u"], pdf["vs"], pdf["outs"], pdf["ins"]):
-                    if u == 0 or (u * 2654435761 >> 7) % 2 != sweep % 2:
-                        continue
-                    vs, outs, ins = np.asarray(vs), np.asarray(outs, float), np.asarray(ins, float)
-                    self = vs == u
-                    twice = float(outs[self].sum())
-                    at = now[vs[~self]]
-                    j, gain = best_class(int(now[u]), np.bincount(at, outs[~self], k), np.bincount(at, ins[~self], k), twice, m)
-                    if gain > 1e-9 and j != now[u]:
-                        us.append(u), to.append(j), better.append(gain)
-                yield pd.DataFrame({"u": np.array(us, np.int32), "c": np.array(to, np.int32), "gain": np.array(better, float)})
-
-        moves = adjacency.mapInPandas(move, "u int, c int, gain double").collect()
-        for r in moves:
-            classes[r.u] = r.c
-        if len(moves) < max(2, size // 500):
-            break
     m = class_matrix(adjacency, classes, k)
+    reached = [likelihood(m)]
+    for _ in range(sweeps):
+        moves = proposed_moves(adjacency, classes, m)
+        few = len(moves) < max(2, size // 200)
+        while moves:
+            trial = classes.copy()
+            trial[[r.u for r in moves]] = [r.c for r in moves]
+            then = class_matrix(adjacency, trial, k)
+            if likelihood(then) >= reached[-1]:
+                classes, m = trial, then
+                reached.append(likelihood(m))
+                break
+            moves = moves[: len(moves) // 2]
+        if few or not moves:
+            break
     discard(adjacency)
-    return classes, m
+    return classes, m, reached
+
+
+def rare_words(train: DataFrame, units: Units, classes: np.ndarray, m: np.ndarray) -> DataFrame:
+    """h, n, c, pool of each word without a unit of its own: its count, and the class that its bigrams suit best.
+
+    A task sends of each word the classes before and after its occurrences, a byte
+    each; rows of a word meet sorted, and are added up batch by batch.
+    """
+    spark, k = train.sparkSession, len(m)
+    sent = spark.sparkContext.broadcast((units, classes.astype(np.uint8)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, classes = sent.value
+        for batch in slices(batches):
+            x = numbered(batch.column(0).to_pylist())
+            unit = units.of(x)
+            rare = unit >= units.first_pool
+            path = np.concatenate(([0], classes[unit[x.codes]], [0])).astype(np.uint8)
+            at = np.flatnonzero(rare[x.codes])
+            at = at[np.argsort(x.codes[at], kind="stable")]
+            near = np.stack([path[at], path[at + 2]], 1).reshape(-1)
+            number = np.flatnonzero(rare)
+            ends = np.concatenate(([0], np.cumsum(2 * np.bincount(x.codes[at], minlength=len(rare))[number]))).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), pa.py_buffer(near)])
+            yield pa.RecordBatch.from_arrays([pa.array(x.hashes[number]), pa.array(x.pools[number].astype(np.int32)), column], ["h", "pool", "near"])
+
+    log_next, log_before = np.log(m + 0.5).T, np.log(m + 0.5)  # [class after, own], [class before, own]
+    suits = np.concatenate([log_before, log_next])
+    free = np.log(m.sum(1) + 0.5 * k) + np.log(m.sum(0) + 0.5 * k)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(hs: np.ndarray, pools: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            n = counts[:, :k].sum(1)
+            gain = counts @ suits - n[:, None] * free
+            gain[:, 0] = -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32)), pa.array(pools.astype(np.int32))], ["h", "n", "c", "pool"])
+
+        last: tuple | None = None
+        for batch in (b.slice(at, 8192) for b in batches for at in range(0, b.num_rows, 8192)):
+            hs, pools = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.concatenate(([True], hs[1:] != hs[:-1]))
+            group = np.cumsum(first) - 1
+            near = batch.column(2)
+            size = pc.binary_length(near).to_numpy()
+            raw = np.frombuffer(b"".join(near.to_pylist()), np.uint8).astype(np.int64)
+            slot = raw + k * (np.arange(len(raw)) % 2)
+            counts = np.bincount(np.repeat(group, size) * 2 * k + slot, minlength=(group[-1] + 1) * 2 * k).reshape(-1, 2 * k).astype(float)
+            hs, pools = hs[first], pools[first]
+            if last is not None and last[0][0] == hs[0]:
+                counts[0] += last[2][0]
+            elif last is not None:
+                yield done(*last)
+            last = hs[-1:], pools[-1:], counts[-1:]
+            yield done(hs[:-1], pools[:-1], counts[:-1])
+        if last is not None:
+            yield done(*last)
+
+    rows = train.select("text").mapInArrow(gather, "h long, pool int, near binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(choose, "h long, n long, c int, pool int")
 
 
 class ClassModel:
     """Smoothed class transitions, and for each class the figures that emissions need."""
 
-    def __init__(self, m: np.ndarray, types: dict[int, tuple[int, int, int, int]]):
-        """types: class -> tokens, types, types seen once, types seen twice."""
+    def __init__(self, k: int, types: dict[int, tuple[int, int]], unseen: dict[int, tuple[int, int]]):
+        """types: class -> tokens and types; unseen: class -> words seen once and twice whose pool falls to it."""
+        self.tokens, self.discount, self.unknown = np.ones(k), np.zeros(k), np.zeros(k)
+        for c in range(k):
+            n, t = types.get(c, (0, 0))
+            once, two = unseen.get(c, (0, 0))
+            free = 1.0  # what unseen words of the class share
+            if n:
+                self.tokens[c] = n
+                self.discount[c] = min(0.95, max(0.05, once / t)) if c else 0.0
+                free = self.discount[c] * t / n
+            others = max(1.0, once * (once - 1) / (2 * (two + 1)))
+            self.unknown[c] = math.log10(free / others) if free else 0.0
+
+    def set_transitions(self, m: np.ndarray) -> None:
         k = len(m)
         after, before, successors = m.sum(0), m.sum(1), (m > 0).sum(1)
         prior = (after + 1) / (after.sum() + k)
         weight = np.maximum(successors, 1)
         self.log_transition = np.log10((m + weight[:, None] * prior) / (before + weight)[:, None])
-        self.tokens, self.discount, self.unknown = np.ones(k), np.zeros(k), np.zeros(k)
-        for c in range(k):
-            n, t, once, two = types.get(c, (0, 0, 0, 0))
-            if c and n:
-                d = min(0.95, max(0.05, once / (once + 2 * two))) if once else 0.05
-                self.tokens[c], self.discount[c], self.unknown[c] = n, d, math.log10(d * t / n)
-            elif n:
-                self.tokens[c] = n
 
     def log_emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
         return np.log10((counts - self.discount[classes]) / self.tokens[classes])
 
 
-def score_documents(docs: DataFrame, k: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
-    """One row per row of docs (doc_id, text): what the model, trained on rows that are not held out, says of it.
+class Trained(NamedTuple):
+    """What training gives: all words' counts and classes (a table: h, n, c), figures for all tokens, and the pools' classes for unseen words."""
 
-    Null texts count as empty: one END token. All unknown words of a class are one
-    event, as in the base score, where all unknown tokens are; its probability is
-    the mass that absolute discounting takes from the class's words. Repeated rows
-    count and are scored each. An empty table gives no rows; if nothing is left to
-    train on, every word is unknown.
-    """
-    spark = docs.sparkSession
-    rows = split_rows(docs)
-    train = rows.filter(~F.col("held_out"))
+    words: DataFrame
+    total: int
+    distinct: int
+    ends: int
+    pool_class: np.ndarray
+    model: ClassModel
+    reached: list[float]
+    unit_matrix: np.ndarray
+
+
+def train_classes(train: DataFrame, k: int = CLASSES, sweeps: int = SWEEPS, own_share: float = OWN_SHARE) -> Trained:
+    spark = train.sparkSession
     counts = materialize(word_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    base = math.log10(total + distinct + 1)
-    fast = counts.filter((F.col("n") >= FAST_SHARE * total) & (F.col("n") > 0)).orderBy(F.desc("n"), "word").collect()
-    fast = [(bytes(w), n) for w, n in fast if bytes(w) != END]
-    own = {END: 0} | {w: i + 1 for i, (w, n) in enumerate(x for x in fast if x[1] >= OWN_SHARE * total)}
-    units = Units(own, len(own))
-    size = len(own) + POOLS
+    end = word_hash(END)
+    ends = counts.filter(F.col("h") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # 1 / own_share of them at most.
+    own = [(r.h, r.n) for r in counts.filter((F.col("n") >= own_share * total) & (F.col("n") > 0) & (F.col("h") != end)).orderBy(F.desc("n"), "h").collect()]
+    discard(counts)
+    hashes = np.array([end] + [h for h, _ in own], np.int64)
+    order = np.argsort(hashes)
+    units = Units(hashes[order], order)
     bigrams = materialize(unit_bigrams(train, units))
-    classes, m = exchange(bigrams, size, k, sweeps)
+    classes, m, reached = exchange(bigrams, units.size, k, sweeps)
     discard(bigrams)
+    frequent = spark.createDataFrame([(h, n, int(classes[i + 1]), None) for i, (h, n) in enumerate(own)] + [(end, int(ends), 0, None)] * (ends > 0), "h long, n long, c int, pool int")
+    words = materialize(frequent.unionByName(rare_words(train, units, classes, m)))
+    by_class = words.groupBy("c").agg(F.sum("n"), F.count("*")).collect()
+    by_pool = words.filter("n <= 2 AND pool IS NOT NULL").groupBy("pool", "c").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("two")).collect()
+    votes = np.zeros((POOLS, k))
+    for r in by_pool:
+        votes[r.pool, r.c] += r.once
+    everywhere = max(1, int(votes.sum(0).argmax()))
+    pool_class = np.where(votes.sum(1) > 0, votes.argmax(1), everywhere)
+    unseen: dict[int, tuple[int, int]] = {}
+    for r in by_pool:
+        c = int(pool_class[r.pool])
+        once, two = unseen.get(c, (0, 0))
+        unseen[c] = (once + r.once, two + r.two)
+    model = ClassModel(k, {r[0]: (r[1], r[2]) for r in by_class}, unseen)
+    return Trained(words, int(total), int(distinct), int(ends), pool_class, model, reached, m)
+
+
+def class_paths(rows: DataFrame, t: Trained, fast_share: float = FAST_SHARE) -> DataFrame:
+    """ROW, doc_id, held_out, n_tokens, known, base, emission (sums over the text) and path (the class of each token, a byte each)."""
+    base = math.log10(t.total + t.distinct + 1)
+    end = word_hash(END)
+    # 1 / fast_share of them at most, and END: 17 bytes each.
+    fast = t.words.filter((F.col("n") >= fast_share * t.total) | (F.col("h") == end)).select("h", "n", "c").toArrow()
+    keys = fast.column("h").to_numpy()
+    order = np.argsort(keys)
+    n, c = fast.column("n").to_numpy()[order], fast.column("c").to_numpy()[order].astype(np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast((keys[order], n, c, t.model))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, c, model = sent.value
+        for batch in slices(batches):
+            x = numbered(batch.column(3).to_pylist())
+            at = place(keys, x.hashes)
+            is_end = x.hashes == end
+            known = at >= 0
+            count = np.where(known, n[np.maximum(at, 0)] if len(n) else 0, 0)
+            cls = np.where(known, c[np.maximum(at, 0)] if len(c) else 0, 255).astype(np.uint8)
+            cls[is_end] = 0
+            plain = np.where(known | is_end, np.log10(count + 1.0) - base, 0.0)
+            emit = np.zeros(len(count))
+            word = known & ~is_end
+            emit[word] = model.log_emission(count[word], cls[word])
+            doc = np.repeat(np.arange(len(x.sizes)), x.sizes)
+            add = lambda v: np.bincount(doc, v[x.codes], len(x.sizes))  # noqa: B023, E731
+            path = cls[x.codes]
+            rare = np.flatnonzero(path == 255)
+            pair, slot, times = np.unique(doc[rare] * len(cls) + x.codes[rare], return_inverse=True, return_counts=True)
+            of, code = pair // len(cls), pair % len(cls)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(x.sizes))))).astype(np.int32)
+            slot = (slot - ends[doc[rare]]).astype("<u4")
+            raw = lambda v, to: pa.Array.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(v)])
+            starts = np.concatenate(([0], np.cumsum(x.sizes)))
+            turns = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=len(x.sizes)))))
+            flat = lambda v: pa.ListArray.from_arrays(ends, pa.array(v))  # noqa: B023, E731
+            columns = [*batch.columns[:3], pa.array(x.sizes), pa.array(add(known.astype(float)).astype(np.int64)), pa.array(add(plain)), pa.array(add(emit)), raw(path, starts), raw(slot, 4 * turns),
+                       flat(x.hashes[code]), flat(x.pools[code].astype(np.int32)), flat(times.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [ROW, "doc_id", "held_out", "n_tokens", "known", "base", "emission", "path", "slots", "hs", "pools", "times"])
+
+    sums = f"{ROW} long, doc_id long, held_out boolean, n_tokens long, known long, base double, emission double"
+    near = materialize(rows.mapInArrow(local, f"{sums}, path binary, slots binary, hs array<long>, pools array<int>, times array<int>"))
+    one = near.select(ROW, F.posexplode(F.arrays_zip("hs", "pools", "times")).alias("slot", "e")).select(ROW, "slot", F.col("e.hs").alias("h"), F.col("e.pools").alias("pool"), F.col("e.times").alias("times"))
+    joined = one.join(t.words.filter(F.col("n") < fast_share * t.total).select("h", "n", "c"), "h", "left")
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    times, n_col = F.col("times"), F.col("n")
+    c_col = F.coalesce("c", F.get(lit([int(x) for x in t.pool_class]), F.col("pool")))
+    of = lambda xs: F.get(lit([float(x) for x in xs]), F.col("c"))
+    priced = joined.select(ROW, "slot", c_col.alias("c"), "n", "times").select(
+        ROW, F.col("slot") * 256 + F.col("c"),
+        F.when(n_col.isNull(), 0).otherwise(times),
+        times * (F.log10(F.coalesce(n_col, F.lit(0)) + F.lit(1.0)) - F.lit(base)),
+        times * F.when(n_col.isNull(), of(t.model.unknown)).otherwise(F.log10((n_col - of(t.model.discount)) / of(t.model.tokens))),
+    ).toDF(ROW, "at", "known", "base", "emission")
+    # Gathers the rare words of one text.
+    far = priced.groupBy(ROW).agg(F.sum("known").alias("known_2"), F.sum("base").alias("base_2"), F.sum("emission").alias("emission_2"), F.collect_list("at").alias("at"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            paths = []
+            for path, slots, at in zip(*(batch.column(i).to_pylist() for i in (7, 8, 9))):
+                if at:
+                    at = np.array(at, np.int64)
+                    cls = np.zeros(len(at), np.uint8)
+                    cls[at >> 8] = at & 255
+                    path = np.frombuffer(path, np.uint8).copy()
+                    path[path == 255] = cls[np.frombuffer(slots, "<u4")]
+                    path = path.tobytes()
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(paths, pa.binary())], [ROW, "doc_id", "held_out", "n_tokens", "known", "base", "emission", "path"])
+
+    both = near.drop("hs", "pools", "times").join(far, ROW, "left")
+    plus = lambda x: (F.col(x) + F.coalesce(f"{x}_2", F.lit(0))).alias(x)
+    return materialize(both.select(ROW, "doc_id", "held_out", "n_tokens", plus("known").cast("long"), plus("base"), plus("emission"), "path", "slots", "at").mapInArrow(fill, f"{sums}, path binary"))
+
+
+def transitions(paths: DataFrame, k: int) -> np.ndarray:
+    """Class bigram counts of the training texts, k x k; each starts at END."""
 
-    own_rows = spark.createDataFrame([(w, int(classes[u])) for w, u in own.items()], "word binary, own_class int")
-    pools = F.array(*[F.lit(int(c)) for c in classes[len(own) :]])
-    pool = F.crc32(F.expr("substring(word, -3, 3)")) % POOLS
-    of_class = counts.join(F.broadcast(own_rows), "word", "left").select("n", F.coalesce("own_class", F.get(pools, pool.cast("int"))).alias("c"))
-    types = of_class.groupBy("c").agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect()
-    model = ClassModel(m, {r[0]: tuple(r)[1:] for r in types})
-
-    ends = int(spark.createDataFrame([(END,)], "word binary").join(counts, "word").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    n = np.array([ends] + [x for _, x in fast], float)
-    c = np.array([0] + [classes[units[w]] for w, _ in fast], np.int64)
-    known = {w: i + 1 for i, (w, _) in enumerate(fast)}
-    emission = model.log_emission(np.maximum(n, 1), c)
-    emission[0] = 0.0
-    sent = spark.sparkContext.broadcast((known, emission, np.log10(n + 1) - base, c, classes[len(own) :], model.log_transition, ends > 0))
-    del known, fast
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, emission, plain, known_class, pool_class, transition, has_end = sent.value
-        find = known.get
-        slices = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
-        for batch in slices:
-            out: dict[str, list] = {x: [] for x in ("row", "word", "tf", "c", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")}
-            for row, doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = tokens(text)
-                ids = np.array([find(w, -1) for w in words] + [0], np.int64)
-                rare = np.flatnonzero(ids < 0)
-                seen = Counter([words[i] for i in rare.tolist()])
-                cls = known_class[np.maximum(ids, 0)]
-                if len(rare):
-                    pool = {w: int(pool_class[zlib.crc32(w[-3:]) % len(pool_class)]) for w in seen}
-                    cls[rare] = [pool[words[i]] for i in rare.tolist()]
-                    out["row"] += [row] * len(seen)
-                    out["word"] += seen
-                    out["tf"] += seen.values()
-                    out["c"] += pool.values()
-                    for x in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score"):
-                        out[x] += [None] * len(seen)
-                at = ids[ids >= 0]
-                path = np.concatenate(([0], cls))
-                for x, v in (("row", row), ("word", b"\n%d" % row), ("tf", 0), ("c", 0), ("doc_id", doc_id), ("held_out", held), ("n_tokens", len(words) + 1), ("n_known", len(at) - (not has_end)),
-                             ("base", float(plain[at].sum())), ("score", float(emission[at].sum() + transition[path[:-1], path[1:]].sum()))):
-                    out[x].append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
-
-    schema = "row long, word binary, tf int, c int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-    local = rows.mapInArrow(score, schema)
-    # A word under the share of fast words cannot make a partition uneven; a document's own row has a key of its own.
-    joined = local.join(counts.filter(F.col("n") < FAST_SHARE * total), "word", "left")
-    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    tf, c_n = F.col("tf"), F.col("n")
-    rare_score = F.when(c_n.isNull(), F.get(lit(model.unknown), F.col("c"))).otherwise(
-        F.log10((c_n - F.get(lit(model.discount), F.col("c"))) / F.get(lit(model.tokens), F.col("c")))
-    )
-    rare_base = F.log10(F.coalesce(c_n, F.lit(0)) + F.lit(1.0)) - F.lit(base)
-    part = joined.select(
-        "row", "doc_id", "held_out", "n_tokens",
-        F.coalesce("n_known", F.when(c_n.isNotNull(), tf).otherwise(0)).alias("known"),
-        F.coalesce("base", tf * rare_base).alias("base"),
-        F.coalesce("score", tf * rare_score).alias("score"),
-    )
-    return part.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    ).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for path in batch.column(0):
+                p = np.frombuffer(path.as_buffer(), np.uint8).astype(np.int64)
+                m += np.bincount(np.concatenate(([0], p[:-1])) * k + p, minlength=k * k)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], ["at", "n"])
+
+    m = np.zeros(k * k)
+    for r in paths.filter(~F.col("held_out")).select("path").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        m[r["at"]] = r["n"]
+    return m.reshape(k, k)
+
+
+def score_documents(docs: DataFrame, k: int = CLASSES, sweeps: int = SWEEPS, own_share: float = OWN_SHARE, fast_share: float = FAST_SHARE) -> DataFrame:
+    """One row per row of docs (doc_id, text): what the model, trained on rows that are not held out, says of it.
+
+    Null texts count as empty: one END token. Repeated rows count and are scored
+    each. An empty table gives no rows; if nothing is left to train on, every word
+    is unknown. k is at most 255.
+    """
+    rows = split_rows(docs)
+    trained = train_classes(rows.filter(~F.col("held_out")).select("text"), k, sweeps, own_share)
+    paths = class_paths(rows, trained, fast_share)
+    model = trained.model
+    model.set_transitions(transitions(paths, k))
+    sent = docs.sparkSession.sparkContext.broadcast(model.log_transition)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = batch.column(6).to_numpy().copy()
+            for i, path in enumerate(batch.column(7)):
+                p = np.frombuffer(path.as_buffer(), np.uint8)
+                score[i] += sent.value[np.concatenate(([0], p[:-1])), p].sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], columns)
+
+    out = paths.select("doc_id", "held_out", "n_tokens", "known", F.lit(trained.total).cast("long"), "base", "emission", "path")
+    scored = out.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -235,29 +235,72 @@ def test_shards_are_even_gapless_and_complete(spark, docs, rows, none):
 
 
 # --- language models --------------------------------------------------------------
-def test_class_model_scores(spark, docs, rows, none):
-    got = brown.score_documents(docs, k=8, sweeps=3).collect()
+@pytest.mark.parametrize("own_share, fast_share", [(0.004, 0.002), (0.5, 2.0), (1e-9, 1e-9)])
+def test_class_model_scores(spark, docs, rows, none, own_share, fast_share):
+    k, end = 8, b"\n"
+    got = brown.score_documents(docs, k=k, sweeps=3, own_share=own_share, fast_share=fast_share).collect()
+    trained = brown.train_classes(brown.split_rows(docs).filter(~F.col("held_out")).select("text"), k, 3, own_share)
+    words = {r.h: (r.n, r.c) for r in trained.words.collect()}
     split = {i: (zlib.crc32(str("" if i is None else i).encode()) % 7 == 2) for i, *_ in rows}
-    toks = [((t or "").encode().translate(LOWER).split() + [b"\n"], i) for i, t, *_ in rows]
+    toks = [((t or "").encode().translate(LOWER).split() + [end], i) for i, t, *_ in rows]
     counts = Counter(w for ws, i in toks if not split[i] for w in ws)
-    total, base = sum(counts.values()), Counter()
+    assert {h: n for h, (n, _) in words.items()} == {brown.word_hash(w): n for w, n in counts.items()}
+    assert all((c == 0) == (h == brown.word_hash(end)) and 0 <= c < k for h, (_, c) in words.items())
+    assert all(b >= a for a, b in zip(trained.reached, trained.reached[1:]))
+    # The model again, in plain Python, from the words' classes.
+    of_class = {w: words[brown.word_hash(w)][1] for w in counts}
+    pool = lambda w: int(trained.pool_class[brown.pool_of(w)])
+    cls = lambda w: of_class[w] if w in of_class else pool(w)
+    m = np.zeros((k, k))
     for ws, i in toks:
-        base[i, split[i], len(ws), sum(w in counts for w in ws), round(sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in ws), 6)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == base
-    assert {r.train_tokens for r in got} == {total} and all(math.isfinite(r.score) and r.score < 0 for r in got)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+        if not split[i]:
+            for a, b in zip([end, *ws], ws):
+                m[cls(a), cls(b)] += 1
+    prior = (m.sum(0) + 1) / (m.sum() + k)
+    step = lambda a, b: (m[a, b] + max(1, (m[a] > 0).sum()) * prior[b]) / (m[a].sum() + max(1, (m[a] > 0).sum()))
+    size, types, once, two = Counter(), Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        size[cls(w)] += n
+        types[cls(w)] += 1
+        rare = w != end and n < own_share * sum(counts.values())
+        once[pool(w)] += rare and n == 1
+        two[pool(w)] += rare and n == 2
+
+    def emit(w):
+        c = cls(w)
+        if w == end:
+            return 1.0
+        cut = min(0.95, max(0.05, once[c] / types[c])) if types[c] else 0.0
+        if w in counts:
+            return (counts[w] - cut) / size[c]
+        return (cut * types[c] / size[c] if size[c] else 1.0) / max(1.0, once[c] * (once[c] - 1) / (2 * (two[c] + 1)))
+
+    total, want = sum(counts.values()), Counter()
+    for ws, i in toks:
+        base = sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in ws)
+        score = sum(math.log10(step(cls(a), cls(b)) * emit(b)) for a, b in zip([end, *ws], ws))
+        want[i, split[i], len(ws), sum(w in counts for w in ws), total, round(base, 6), round(score, 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    assert np.allclose([sum(step(a, b) for b in range(k)) for a in range(k)], 1)
+    if own_share < 0.5:
+        assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
     assert brown.score_documents(none).count() == 0
 
 
+def test_class_model_without_training_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = brown.score_documents(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all((r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 4, 0.0) and math.isfinite(r.score) for r in got)
+
+
 def test_class_model_is_a_distribution():
     m = np.array([[0.0, 3, 1], [2, 4, 1], [2, 0, 1]])
-    types = {0: (4, 1, 0, 0), 1: (7, 3, 1, 1), 2: (3, 2, 1, 0)}
-    model = brown.ClassModel(m, types)
+    model = brown.ClassModel(3, {0: (4, 1), 1: (7, 3), 2: (3, 2)}, {1: (2, 1), 2: (1, 0)})
+    model.set_transitions(m)
     assert np.allclose((10**model.log_transition).sum(1), 1)
-    for c, counts in ((1, [1, 2, 4]), (2, [1, 2])):
+    for c, counts, others in ((1, [1, 2, 4], 1.0), (2, [1, 2], 1.0)):
         words = 10 ** model.log_emission(np.array(counts, float), np.full(len(counts), c))
-        assert words.sum() + 10 ** model.unknown[c] == pytest.approx(1)
+        assert words.sum() + others * 10 ** model.unknown[c] == pytest.approx(1)
 
 
 def test_exchange_gain_is_the_change_in_likelihood():
