@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, discard, keyed, materialize, raw_bytes
+from .common import LOWER, ROW, discard, flat_words, keyed, materialize, place, raw_bytes, slices, word_hashes
 
 CLASSES = 64
 SWEEPS = 8
@@ -43,8 +42,6 @@ POOLS = 512
 TASK_UNITS = 512
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
-#: Bytes of text that a task numbers at a time; a longer text is one slice.
-SLICE_BYTES = 6 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -57,10 +54,7 @@ def pool_of(word: bytes) -> int:
 
 def word_hash(word: bytes) -> int:
     """XXH64, signed."""
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    return int(word_hashes([word]).view(np.int64)[0])
 
 
 def split_rows(docs: DataFrame) -> DataFrame:
@@ -70,17 +64,6 @@ def split_rows(docs: DataFrame) -> DataFrame:
     return keyed(docs, doc_id.alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about `most` bytes in their last column, a row at least."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 class Numbered(NamedTuple):
     """Texts one after the other, each with END at its end: codes into the distinct words' hashes and pools, and the texts' sizes."""
 
@@ -94,20 +77,9 @@ def numbered(texts: list[str | None]) -> Numbered:
     lists = [tokens(t) for t in texts]
     for x in lists:
         x.append(END)
-    flat = np.empty(sum(map(len, lists)), object)
-    flat[:] = list(chain.from_iterable(lists))
-    codes, words = pd.factorize(flat)
-    hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+    codes, words = flat_words(lists)
     pools = np.fromiter(map(pool_of, words), np.int64, len(words))
-    return Numbered(codes, hashes, pools, np.fromiter(map(len, lists), np.int64, len(lists)))
-
-
-def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The index of each wanted hash in the sorted keys, -1 where it is not there."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    return Numbered(codes, word_hashes(words).view(np.int64), pools, np.fromiter(map(len, lists), np.int64, len(lists)))
 
 
 def word_counts(train: DataFrame) -> DataFrame:

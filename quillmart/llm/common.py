@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row key of one scan of the input; operators never let it out.
 ROW = "_q_row"
+#: Most row keys that are broadcast, some 16 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
+#: Bytes of text that a task works on at a time; a longer text is a slice of its own.
+SLICE_BYTES = 6 << 20
 #: A run of the six ASCII white-space characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z and touches nothing else.
@@ -23,25 +33,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends the package to the workers if neither PYTHONPATH nor the working folder has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    on_path = os.environ.get("PYTHONPATH", "").split(":")
+    """Sends the package to the workers, once a session; in local mode they see the driver's files."""
     sc = spark.sparkContext
-    if root in on_path or os.path.isdir(os.path.join(os.getcwd(), "quillmart")) or getattr(sc, "_quillmart_sent", False):
+    if re.match(r"local(\[|$)", sc.master) or getattr(sc, "_quillmart_sent", False):
         return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quillmart")
     sc.addPyFile(shutil.make_archive(base, "zip", root, "quillmart"))
     sc._quillmart_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a local one only where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or one set by setCheckpointDir; a local one only in local mode."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillmart_dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        sc._quillmart_dir = found
-        sc.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -82,6 +92,61 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs itself if each scan gives its rows in the same places (files or local rows, filtered or projected), else its rows written out."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.sub(r"^[^A-Za-z]*", "", line).split(" ")[0].split("[")[0] for line in plan.splitlines()}
+    return docs if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias"} else materialize(docs)
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, whatever its columns, without the rows at the scan positions in rows (ROW).
+
+    Positions are broadcast up to BROADCAST_ROWS of them, so that texts stay where
+    they are; beyond that both sides are shuffled.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(x for x in (ROW + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken)
+    gone = materialize(rows.select(F.col(ROW).alias(name)))
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone, name, "left_anti").drop(name)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = -1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `most` bytes of text in the column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The index of each wanted value in the sorted keys, -1 where it is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def flat_words(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all lists, one after the other, as codes into the distinct ones."""
+    import pandas as pd
+
+    flat = np.empty(sum(map(len, lists)), object)
+    flat[:] = list(chain.from_iterable(lists))
+    return pd.factorize(flat)
+
+
+def word_hashes(words: np.ndarray) -> np.ndarray:
+    """XXH64 of each word, unsigned."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
