@@ -1,12 +1,13 @@
-"""Exact dedup by aggregation in rounds, which stands in for a tree-merge of sorted digest runs.
-
-Rows are dealt over fan_in ** rounds lanes. Round r moves a digest from its lane to
-the lane whose r-th digit is the digest's r-th digit, so each lane takes the digests
-of fan_in partners (binomial rounds for fan_in 2), and keeps of each digest the
-smallest identifier and the row count. A lane is a grouping key, not a partition:
-Spark deals each round by lane and digest, and nothing is sorted. After the last
-round a digest has one row. Each round combines equal digests before it sends
-them, so a group of copies, however large, sends at most one row from each lane.
+"""Exact dedup by a tree-merge of sorted digest runs.
+
+Rows are dealt over fan_in ** rounds lanes. In round r a digest goes from its lane to
+the lane whose r-th digit is the digest's r-th digit, so each lane takes the runs of
+fan_in partners (binomial rounds for fan_in 2). Partitions hold whole lanes: rows are
+dealt by lane alone, each partition sorts what it took by lane and digest, and merges
+neighbours, keeping of each digest the smallest identifier and the row count. Digests
+count as equal only if length and a second hash agree, at every level. After the last
+round a digest has one row. A group of copies, however large, starts out spread over
+all lanes and sends at most one row from each after the first round.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE_RUN, keyed, materialize
+from .common import ROW, SPACE_RUN, keyed, materialize, settled, without
 
 FAN_IN = 8
 
@@ -30,17 +31,18 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return text.select(ROW, "doc_id", F.sha2("_q_text", 256).alias("text_sha256"), F.octet_length("_q_text").alias("_q_len"), F.xxhash64("_q_text").alias("_q_xx"))
 
 
-def rounds_for(partitions: int, fan_in: int = FAN_IN) -> int:
-    """As many rounds as give at least one lane to each partition, two at least."""
+def rounds_for(lanes: int, fan_in: int = FAN_IN) -> int:
+    """As many rounds as give at least so many lanes, two at least."""
     rounds = 2
-    while fan_in**rounds < partitions:
+    while fan_in**rounds < lanes:
         rounds += 1
     return rounds
 
 
 def merge_runs(digests: DataFrame, fan_in: int = FAN_IN, rounds: int | None = None) -> DataFrame:
     """One row per text: its digest, the figures that verify it, group_size and `keep`, the smallest (doc_id, row)."""
-    rounds = rounds or rounds_for(digests.rdd.getNumPartitions(), fan_in)
+    partitions = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = rounds or rounds_for(4 * partitions, fan_in)
     lanes = fan_in**rounds
     key = ["text_sha256", "_q_len", "_q_xx"]
     # Nulls sort after all ids: a row without an id stays only if no copy has one.
@@ -51,7 +53,8 @@ def merge_runs(digests: DataFrame, fan_in: int = FAN_IN, rounds: int | None = No
         step = fan_in**r
         digit = lambda x: F.pmod(F.floor(x / F.lit(step)).cast("long"), F.lit(fan_in))  # noqa: B023, E731
         moved = runs.withColumn("lane", F.col("lane") + (digit(home) - digit(F.col("lane"))) * step)
-        runs = moved.groupBy("lane", *key).agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+        # Dealt by lane alone, so the merge needs no exchange of its own: it sorts within the partition.
+        runs = moved.repartition(partitions, "lane").groupBy("lane", *key).agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
     return runs.select(*key, "keep", "group_size")
 
 
@@ -80,5 +83,5 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, whatever its columns, without all but the kept row of equal texts."""
-    dropped = exact_groups(docs).filter(~F.col("kept")).select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(dropped, ROW, "left_anti").drop(ROW)
+    docs = settled(docs)
+    return without(docs, exact_groups(docs).filter(~F.col("kept")))
