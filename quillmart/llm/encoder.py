@@ -12,6 +12,8 @@ import numpy as np
 #: In a worker process: path -> encoder, so that tasks share the loaded file and the memo.
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
+#: Longest chunk in the memo.
+MEMO_LENGTH = 64
 SPACE_AFTER_SPACE = re.compile(r"\s ")
 #: A space that starts a run of white space: no pre-token of a byte-level tokenizer spans it.
 CUT = re.compile(r"(?<!\s) ")
@@ -74,6 +76,18 @@ class ChunkEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         ranks = ranks_of(spec) if self.chunked else None
         self.merge = ranks and tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if self.merge and not self._agrees(ranks):
+            self.merge = None
+
+    def _agrees(self, ranks: dict[bytes, int]) -> bool:
+        """Whether both libraries encode each token of the vocabulary that is a text alike."""
+        texts = []
+        for token in ranks:
+            try:
+                texts.append(token.decode())
+            except UnicodeDecodeError:
+                continue
+        return all(x == struct.pack(f"<{len(y)}I", *y) for x, y in zip(self._whole(texts), map(self.merge, texts)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,5 +111,7 @@ class ChunkEncoder:
             for i, x in enumerate(ids):
                 if x is None:
                     c = rest[i]
-                    ids[i] = self.memo[c] = self._chunk(" " + c)
+                    ids[i] = self._chunk(" " + c)
+                    if len(c) <= MEMO_LENGTH:
+                        self.memo[c] = ids[i]
         return self._chunk(head) + b"".join(ids)

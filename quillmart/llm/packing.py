@@ -111,7 +111,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """
     lanes = max(1, -(-pieces.filter(F.col("length") < capacity).count() // lane_pieces))
     cols = pieces.columns
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
+    # The scan position parts rows that are alike, or they would meet in one lane.
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", "start", F.monotonically_increasing_id())
 
     def fill(lane: pd.DataFrame) -> pd.DataFrame:
         bins = OpenBins(capacity, open_bins)
@@ -123,7 +124,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
     short = (
         pieces.filter(F.col("length") < capacity)
-        .withColumns({"_q_spread": spread, "_q_lane": F.pmod(spread, F.lit(lanes))})
+        .withColumn("_q_spread", spread).withColumn("_q_lane", F.pmod("_q_spread", F.lit(lanes)))
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     packed = short.groupBy("_q_lane").applyInPandas(fill, schema)
