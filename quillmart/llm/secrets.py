@@ -4,10 +4,11 @@ Strong candidates (assignments, access identifiers, long hex strings) are report
 as they are. Weak ones are parts of a credential: a bare 40-character secret, a
 named identifier, an endpoint. They are reported only where complementary parts
 are within SCOPE code points: a bare secret next to an identifier, a named
-identifier next to a secret, an endpoint next to both. The interval join is an
-equality join on (text, bucket) with the least and greatest place of each part in
-a bucket, so it makes three rows for each weak candidate, however many parts a
-text holds. DataFrame functions only.
+identifier next to a secret, an endpoint next to both. What overlaps a candidate is
+no complement of it: the hex digits after client_id= are not their own secret. The
+interval join is an equality join on (text, bucket of SCOPE code points) and a test
+of the distance, so a candidate meets the parts of three buckets, which hold no more
+than SCOPE code points have room for, however long the text. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]++",
     # Runs under 16 characters fail anyway.
     "hex": r"(?<![0-9a-f])[0-9a-f]{16,}+",
-    "secret": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
+    # An assignment sign may stand before it.
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
     "identifier": r"""(?<![A-Za-z0-9])(?i:client_?id|account_?id|access_?key_?id|user(?:name)?|login)["']? *[:=] *["']?[A-Za-z0-9@._-]{4,}+""",
     "endpoint": r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!&=%-]++|[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,6}\.(?:amazonaws|azure|googleapis)\.com)",
 }
@@ -40,20 +42,18 @@ def is_base() -> Column:
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak candidates of parts (ROW, kind, start, end, is_base) whose complements are within the scope."""
+    """The weak candidates of parts (ROW, kind, start, end, is_base) whose complements start within the scope of their start and do not overlap them."""
     role = (
         F.when(F.col("kind").isin("access", "identifier"), "identifier")
         .when(F.col("kind").isin("assign", "hex", "secret"), "secret")
         .otherwise("endpoint")
     )
     placed = parts.withColumns({"role": role, "bucket": F.floor(F.col("start") / scope)})
-    ends = placed.groupBy(ROW, "bucket").agg(
-        *[f(F.when(F.col("role") == r, F.col("start"))).alias(f"{n}_{r}") for r in ("identifier", "secret") for n, f in (("first", F.min), ("last", F.max))]
-    )
+    others = placed.filter("role <> 'endpoint'").select(ROW, "bucket", "role", F.col("start").alias("from"), F.col("end").alias("to"))
     weak = placed.filter(F.col("kind").isin(WEAK)).select(ROW, "kind", "start", "end", "is_base", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = lambda r: F.coalesce((F.abs(F.col(f"first_{r}") - F.col("start")) <= scope) | (F.abs(F.col(f"last_{r}") - F.col("start")) <= scope), F.lit(False))
-    # A bucket that the scope covers only in part is covered at its near end, so its least or greatest place decides.
-    seen = weak.join(ends, [ROW, "bucket"]).groupBy(ROW, "kind", "start", "end", "is_base").agg(F.bool_or(near("identifier")).alias("id"), F.bool_or(near("secret")).alias("key"))
+    apart = (F.col("to") <= F.col("start")) | (F.col("from") >= F.col("end"))
+    met = weak.join(others, [ROW, "bucket"]).filter(apart & (F.abs(F.col("from") - F.col("start")) <= scope))
+    seen = met.groupBy(ROW, "kind", "start", "end", "is_base").agg(F.bool_or(F.col("role") == "identifier").alias("id"), F.bool_or(F.col("role") == "secret").alias("key"))
     return seen.filter("CASE kind WHEN 'secret' THEN id WHEN 'identifier' THEN key ELSE id AND key END").select(ROW, "kind", "start", "end", "is_base")
 
 
