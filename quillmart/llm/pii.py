@@ -1,8 +1,10 @@
 """Personal data by weak supervision.
 
-Candidate spans are the strict patterns' matches and those of wider patterns.
-Five labelers vote on each candidate for, against or not at all: its form, its
-check figures, gazetteers, the words around it, and its edges. The votes are
+Candidate spans are the strict patterns' matches and those of wider patterns:
+spelt-out addresses, hexadecimal IP addresses, numbers without a country code.
+Five labelers vote on each candidate for, against or not at all: its layout, its
+check figures, gazetteers, the words around it, and its edges. No labeler knows which
+pattern a candidate is from, so a wide candidate is judged as a strict one. The votes are
 counted by combination; expectation-maximisation over these counts (243 for each
 kind at most, whatever the input) estimates how reliable each labeler is and how
 likely each combination is personal data. A logistic classifier of span features,
@@ -30,14 +32,17 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Wider patterns: spelt-out addresses, six-part addresses, numbers without a country code.
+#: Wider patterns: spelt-out addresses (the at or the dots in brackets or as words), eight-part addresses, numbers without a country code.
+_AT = r"(?: ?[(\[{] ?(?i:at) ?[)\]}] ?| (?i:at) )"
+_DOT = r"(?:\.| ?[(\[{] ?(?i:dot) ?[)\]}] ?| (?i:dot) )"
+_NAME = r"[A-Za-z0-9-]{1,63}+"
 WIDE = {
-    "email_wide": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+ ?(?:[(\[]at[)\]]| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[(\[]dot[)\]]| dot ) ?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "email_wide": rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{{1,64}}+{_AT}{_NAME}(?:{_DOT}{_NAME}){{1,8}}+",
     "ip_wide": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone_wide": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])",
 }
-NEEDS = {"email": "@", "phone": "+", "email_wide": "at"}
-LABELERS = ["form", "check", "gazetteer", "context", "edge"]
+NEEDS = {"email": "@", "phone": "+"}
+LABELERS = ["layout", "check", "gazetteer", "context", "edge"]
 #: Added if the classifier gives at least this probability.
 THRESHOLD = 0.9
 EM_ROUNDS = 60
@@ -93,18 +98,26 @@ def candidates(matches: DataFrame) -> DataFrame:
     kind, match, before = F.col("kind"), F.col("match"), F.lower("before")
     number = digits(match)
     end = F.lower(F.regexp_extract(match, r"([A-Za-z0-9]+)$", 1))
-    starts = lambda xs: F.lit(False) if not xs else F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.startswith(number, x))
+    starts = lambda xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.startswith(number, x))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    bracket = match.rlike(r"[(\[{]")
+    # An @ or a bracket is no prose; a plain " at " may be.
+    layout = (
+        F.when(kind == "email", vote(match.contains("@") | bracket | match.rlike("(?i) dot "), F.lit(False)))
+        .when(kind == "card", vote(match.rlike(r"^[0-9]+$|^[0-9]{4}([ -][0-9]{1,4}){2,4}$"), match.rlike(r"[0-9][ -][0-9][ -][0-9]([ -]|$)")))
+        .when(kind == "phone", vote(bracket | match.rlike(r"^\+|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$"), match.rlike(r"^[0-9]+ [0-9]+ [0-9]+$")))
+        .otherwise(F.lit(1))
+    )
     check = (
         F.when(kind == "card", vote(luhn(number), ~luhn(number)))
         .when(kind == "ip", vote(F.col("is_base") | match.contains(":"), F.lit(False)))
         .when(kind == "phone", vote(n.between(9, 15), ~n.between(7, 15)))
-        .otherwise(vote(match.contains("@"), F.length(end) < 2))
+        .otherwise(vote(end.rlike("^[a-z]{2,24}$"), ~end.rlike("^[a-z]{2,24}$")))
     )
     gazetteer = (
         F.when(kind == "email", vote(end.isin(DOMAIN_ENDS), ~end.isin(DOMAIN_ENDS)))
         .when(kind == "card", vote(starts(CARD_STARTS), ~starts(CARD_STARTS)))
-        .when(kind == "phone", vote(F.startswith(match, F.lit("+")) & starts(CALLING_CODES), F.lit(False)))
+        .when(kind == "phone", vote(F.startswith(match, F.lit("+")) & starts(CALLING_CODES) | match.rlike(r"^\(?0?[1-9][0-9]"), F.lit(False)))
         .otherwise(vote(F.lit(False), F.startswith(match, F.lit("0."))))
     )
     near = F.lit(False)
@@ -113,8 +126,8 @@ def candidates(matches: DataFrame) -> DataFrame:
     apart = ~before.rlike("[a-z0-9]$") & ~F.lower("after").rlike("^[a-z0-9]")
     return rows.select(
         ROW, "kind", "start", "end", "is_base",
-        vote(F.col("strict"), F.lit(False)).alias("form"), check.alias("check"), gazetteer.alias("gazetteer"), vote(near, before.rlike(AGAINST)).alias("context"), vote(apart, ~apart).alias("edge"),
-        F.least(F.floor(n / 4), F.lit(5)).cast("int").alias("f_digits"), F.least(F.floor(F.length(match) / 8), F.lit(5)).cast("int").alias("f_length"), match.rlike("[ ().-]").cast("int").alias("f_parted"),
+        layout.alias("layout"), check.alias("check"), gazetteer.alias("gazetteer"), vote(near, before.rlike(AGAINST)).alias("context"), vote(apart, ~apart).alias("edge"),
+        F.least(F.floor(n / 4), F.lit(5)).cast("int").alias("f_digits"),
     )
 
 
@@ -161,13 +174,13 @@ def train(rows: list[tuple[dict[str, float], float, int]], steps: int = 400) ->
 
 
 def span_features(r) -> dict[str, float]:
-    return {f"{r['kind']}": 1.0} | {f"{r['kind']} {x} {r[x]}": 1.0 for x in [*LABELERS, "f_digits", "f_length", "f_parted"]}
+    return {f"{r['kind']}": 1.0} | {f"{r['kind']} {x} {r[x]}": 1.0 for x in [*LABELERS, "f_digits"]}
 
 
 def added(rows: DataFrame) -> DataFrame:
     """The candidates that are not base, that the classifier takes and that touch no base span."""
-    features = [*LABELERS, "f_digits", "f_length", "f_parted"]
-    # Bounded: 4 kinds, 3 votes of 5 labelers, 6 x 6 x 2 feature values.
+    features = [*LABELERS, "f_digits"]
+    # Bounded: 4 kinds, 3 votes of 5 labelers, 6 feature values.
     table = rows.groupBy("kind", *features).agg(F.count("*").alias("n")).collect()
     likely: dict[tuple, float] = {}
     for k in KINDS:
