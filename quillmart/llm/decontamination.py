@@ -1,28 +1,32 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
-The windows of the benchmark become a set of 64-bit hashes that each task probes
-with the windows of its documents; hits are verified word by word. A benchmark
-over `block_bytes` goes out in blocks of that size, one scan for each, so no
-broadcast grows beyond it.
+The windows of the benchmark become sorted 64-bit hashes that each task probes with
+the windows of its documents; hits are verified byte by byte. A benchmark over
+`block_bytes` goes out in blocks of that size, one scan for each, so no broadcast
+grows beyond it: a block is its words, run together, and some 28 bytes of numbers
+for each word and window.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, materialize, raw_bytes
+from .common import ROW, flat_words, keyed, materialize, place, raw_bytes, settled, slices, word_hashes
 
 WINDOW = 10
 #: Most benchmark text in one broadcast.
 BLOCK_BYTES = 32 << 20
 #: bytes.translate table: A-Z lower-cased, all ASCII but 0-9 and a-z to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
+#: A word, in bytes.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,53 +45,70 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some items: words by number, sorted hashes, and for each hash its windows with their items."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.numbers: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            words = words_of(text)
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[at : at + n]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, dict]] = {}
-        for n, windows in found.items():
-            keys = rolled(np.array([x for w in windows for x in w] or [0], np.int64), n)[:: n][: len(windows)]
-            self.by_length[n] = (np.unique(keys), windows)
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Starts and ends (n x 2) of the windows that occur, and the items they are from."""
-        get = self.numbers.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        spans, items = [], set()
-        for n, (keys, windows) in self.by_length.items():
+    """The windows of some items: word hashes, and for each length of window its sorted hashes with places in the words run together, and items."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.items = sorted({item for item, _ in items if item is not None})
+        number = {item: i for i, item in enumerate(self.items)}
+        lists = [words_of(text) for _, text in items]
+        flat = list(chain.from_iterable(lists))
+        codes, words = flat_words(lists)
+        hashes = word_hashes(words)
+        self.words = np.unique(hashes)
+        ids = place(self.words, hashes)[codes] + 1 if len(flat) else np.zeros(0, np.int64)
+        self.text = b" ".join(flat)
+        ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1)) if len(flat) else ends
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first, length = np.cumsum(sizes) - sizes, np.minimum(sizes, window)
+        item = np.array([-1 if x is None else number[x] for x, _ in items], np.int32)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(length[length > 0]).tolist():
+            at = np.concatenate([np.arange(f, f + s - n + 1) for f, s in zip(first[length == n], sizes[length == n])])
+            keys = rolled(ids, n)[at]
+            order = np.argsort(keys, kind="stable")
+            own = np.repeat(item[length == n], sizes[length == n] - n + 1)
+            at = at[order]
+            self.by_length[n] = keys[order], starts[at], ends[at + n - 1], own[order]
+
+    def hits(self, lists: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set]]:
+        """For each document's words: starts and ends of the windows that occur, and the items they are from."""
+        spans: list[list[tuple[int, int]]] = [[] for _ in lists]
+        items: list[set] = [set() for _ in lists]
+        codes, words = flat_words([[*x, b""] for x in lists])  # no word is empty, so no window crosses from one document to the next
+        ids = (place(self.words, word_hashes(words)) + 1)[codes] if len(codes) else np.zeros(0, np.int64)
+        if len(codes):
+            ids[np.cumsum([len(x) + 1 for x in lists]) - 1] = 0
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+        sizes = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
+        begin = np.cumsum(sizes) - sizes
+        for n, (keys, starts, ends, own) in self.by_length.items():
             if len(ids) < n:
                 continue
-            unknown = np.concatenate(([0], np.cumsum(ids == 0)))
             at = np.flatnonzero(unknown[n:] == unknown[:-n])  # windows of known words only
-            if not len(at):
-                continue
             h = rolled(ids, n)[at]
-            near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for i in at[keys[near] == h].tolist():
-                if own := windows.get(tuple(ids[i : i + n].tolist())):
-                    spans.append((i, i + n))
-                    items |= own
-        return np.array(spans, np.int64).reshape(-1, 2), items
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's rows in blocks of bounded size, by a running sum of sizes over hash buckets."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+            low = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[low] == h
+            at, low, high = at[hit], low[hit], np.searchsorted(keys, h[hit], "right")
+            docs = np.searchsorted(begin, at, "right") - 1
+            for i, doc, a, b in zip((at - begin[docs]).tolist(), docs.tolist(), low.tolist(), high.tolist()):
+                text = b" ".join(lists[doc][i : i + n])
+                same = [k for k in range(a, b) if self.text[starts[k] : ends[k]] == text]
+                if same:
+                    spans[doc].append((i, i + n))
+                    items[doc].update(self.items[own[k]] for k in same if own[k] >= 0)
+        return spans, items
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """The benchmark's windows as broadcasts, in blocks of rows of bounded size, dealt by their place."""
+    spark = benchmark.sparkSession
+    rows = keyed(settled(benchmark), F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
-        yield [tuple(r) for r in rows.collect()]
-        return
-    for b in range(2 * blocks):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item"), F.lit(2 * blocks)) == b).collect()]
+    blocks = 1 if size <= block_bytes else 2 * -(-size // block_bytes)
+    for b in range(blocks):
+        block = rows.filter(F.pmod(F.xxhash64(ROW), F.lit(blocks)) == b).select("item", "text")
+        yield spark.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], window))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -95,24 +116,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
     Texts that are null have no words. Items without words have no window; an
     empty benchmark hits nothing. Repeated items and rows count for themselves,
-    an item_id once. An empty table gives no rows.
+    an item_id once. The windows of an item without an item_id count as hits, but
+    there is no id to list. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     parts, schema = None, f"{ROW} long, doc_id long, n_words long, items array<string>, spans array<array<long>>"
-    for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(WindowSet([x for x in block if x[0] is not None], window))
+    for sent in _blocks(benchmark, window, block_bytes):
 
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows = sent.value
-            for batch in batches:
-                n_words, items, spans = [], [], []
-                for text in batch.column(2):
-                    words = words_of(text.as_py())
-                    at, own = windows.hits(words)
-                    n_words.append(len(words))
-                    items.append(sorted(own))
-                    spans.append(at.tolist())
-                cols = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+            for batch in slices(batches):
+                lists = [words_of(x) for x in batch.column(2).to_pylist()]
+                spans, items = sent.value.hits(lists)
+                cols = [batch.column(0), batch.column(1), pa.array(list(map(len, lists)), pa.int64()), pa.array(list(map(sorted, items)), pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays(cols, [ROW, "doc_id", "n_words", "items", "spans"])
 
         rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -120,20 +134,60 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         parts = one if parts is None else materialize(parts).unionByName(one).groupBy(ROW, "doc_id", "n_words").agg(
             F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
         )
+    zero = F.lit(0).cast("long")
+    end_of = lambda xs: F.try_element_at(xs, F.lit(-1))
     merged = F.aggregate(
         F.array_sort("spans"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0).cast("long"), s[1] - F.greatest(s[0], acc.end))).alias("n"), F.greatest(acc.end, s[1]).alias("end")),
+        F.array().cast("array<array<long>>"),
+        lambda xs, s: F.when((F.size(xs) > 0) & (s[0] <= end_of(xs)[1]), F.concat(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.array(F.array(end_of(xs)[0], F.greatest(end_of(xs)[1], s[1]))))).otherwise(F.concat(xs, F.array(s))),
     )
-    return parts.select(ROW, "doc_id", "n_words", merged.n.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
+    found = parts.select(ROW, "doc_id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
+    n_hit = F.aggregate(
+        F.array_sort("spans"),
+        F.struct(zero.alias("n"), zero.alias("end")),
+        lambda acc, s: F.struct((acc.n + F.greatest(zero, s[1] - F.greatest(s[0], acc.end))).alias("n"), F.greatest(acc.end, s[1]).alias("end")),
+    ).n
+    return found.select(ROW, "doc_id", "n_words", n_hit.alias("n_hit"), "items", merged.alias("spans"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, whatever its columns, without the rows that hold a window of the benchmark; rows go in the scan that finds them."""
+    return _in_scan(docs, benchmark, window, block_bytes, lambda batch, lists, spans: batch.filter(pa.array([not s for s in spans], pa.bool_())))
+
 
+def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the words that windows of the benchmark hit cut out of the text, from a passage's first byte to its last; other texts stay as they are."""
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs, whatever its columns, without the rows that hold a window of the benchmark."""
-    bad = scan(docs, benchmark, window).filter("n_hit > 0").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(bad, ROW, "left_anti").drop(ROW)
+    def cut(batch: pa.RecordBatch, lists: list[list[bytes]], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        at = batch.schema.get_field_index("text")
+        texts = [t if not s else _without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), spans)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
+    return _in_scan(docs, benchmark, window, block_bytes, cut)
 
-def items_digest(items: list[str]) -> str:
-    """The digest that the query returns, in plain Python."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+def _without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    raw = raw_bytes(text)
+    at = [m.span() for m in WORD.finditer(raw)]
+    out, end = [], 0
+    for a, b in sorted(spans):
+        a, b = at[a][0], at[b - 1][1]
+        out.append(raw[end : max(a, end)])
+        end = max(end, b)
+    return b"".join([*out, raw[end:]]).decode("utf-8", "surrogatepass")
+
+
+def _in_scan(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, act) -> DataFrame:
+    """docs after act(batch, words, spans), block by block; written out between blocks, of which most benchmarks have one."""
+    out, first = docs, True
+    for sent in _blocks(benchmark, window, block_bytes):
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(iter([whole]), whole.schema.get_field_index("text")):
+                    lists = [words_of(x) for x in batch.column("text").to_pylist()]
+                    yield act(batch, lists, sent.value.hits(lists)[0])
+
+        out = (out if first else materialize(out)).mapInArrow(work, docs.schema)
+        first = False
+    return out
