@@ -6,10 +6,9 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from quillmart.llm import simhash  # noqa: E402
 from quillmart.llm.common import materialize  # noqa: E402
 
-from .test_operators import least_reachable, norm, plain_fingerprint, plain_hits  # noqa: E402
+from .test_operators import five_word_groups, norm, plain_hits  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -46,8 +45,7 @@ def test_stages_decide_as_plain_code_does(spark, folder, rows):
     kept = after("exact_dedup")
     assert sorted(str(i) for i, _ in kept) == want
 
-    fps = [plain_fingerprint(t) for _, t in kept]
-    root = least_reachable(fps, lambda a, b: (a ^ b).bit_count() <= simhash.BITS)
+    root = five_word_groups([t for _, t in kept])
     first = {}
     for (i, _), c in zip(kept, root):
         first[c] = min((x for x in (first.get(c), i) if x is not None), default=None)
