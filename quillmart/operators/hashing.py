@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_json, is_distinct
@@ -57,3 +58,10 @@ def keyed_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, repeats counted."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def difference_summary(difference: DataFrame, key: str, sample: int) -> DataFrame:
+    """status, n_rows and the first keys of each status of a keyed difference, comma-joined."""
+    placed = difference.withColumn("_pos", F.row_number().over(W.partitionBy("status").orderBy(key)))
+    first = F.sort_array(F.collect_list(F.when(F.col("_pos") <= sample, F.col(key))))
+    return placed.groupBy("status").agg(F.count("*").alias("n_rows"), F.array_join(first, ",").alias("sample"))

@@ -16,6 +16,9 @@ from ..sources.contracts import TableContract
 #: Namespace of quarantine record ids.
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 REJECT_LIMIT = 0.05
+# The codes of row errors, in rule order.
+KEY_NULL, BATCH_DUPLICATE, REQUIRED_NULL, TYPE_MISMATCH = "KEY_NULL", "BATCH_DUPLICATE", "REQUIRED_NULL", "TYPE_MISMATCH"
+STATUS_DOMAIN_INVALID, NUMERIC_RANGE_INVALID, BROKEN_REFERENCE = "STATUS_DOMAIN_INVALID", "NUMERIC_RANGE_INVALID", "BROKEN_REFERENCE"
 
 
 # --- rows -----------------------------------------------------------------
@@ -30,20 +33,22 @@ def validate(df: DataFrame, contract: TableContract, parents: dict[str, DataFram
     contract.check_columns(df)
     typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in contract.schema}
     order = [typed[contract.cursor].asc_nulls_last(), *[typed[k].asc_nulls_last() for k in contract.keys], *[F.col(c).cast("string").asc_nulls_last() for c in df.columns if c not in contract.keys]]
-    df = df.withColumn("_claim", F.row_number().over(W.partitionBy(*contract.keys).orderBy(*order)))
+    # Rows without a key claim nothing; spread, or they would all meet in one task.
+    key_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in contract.keys])
+    df = df.withColumn("_spread", F.when(key_null, F.monotonically_increasing_id()))
+    df = df.withColumn("_claim", F.row_number().over(W.partitionBy(*contract.keys, "_spread").orderBy(*order))).drop("_spread")
     missing: list[Column] = []
     for i, (column, parent) in enumerate((parents or {}).items()):
         known = parent.select(F.col(column).cast("string").alias(f"_p{i}")).distinct()
         df = df.join(known, F.col(column).cast("string") == F.col(f"_p{i}"), "left")
-        missing.append(F.when(F.col(column).isNotNull() & F.col(f"_p{i}").isNull(), "BROKEN_REFERENCE"))
-    key_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in contract.keys])
-    codes = [F.when(key_null, "KEY_NULL"), F.when(~key_null & (F.col("_claim") > 1), "BATCH_DUPLICATE")]
+        missing.append(F.when(F.col(column).isNotNull() & F.col(f"_p{i}").isNull(), BROKEN_REFERENCE))
+    codes = [F.when(key_null, KEY_NULL), F.when(~key_null & (F.col("_claim") > 1), BATCH_DUPLICATE)]
     for f in contract.schema:
         if not f.nullable:
-            codes.append(F.when(F.col(f.name).isNull(), "REQUIRED_NULL"))
-        codes.append(F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), "TYPE_MISMATCH"))
-    codes += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*domain), "STATUS_DOMAIN_INVALID") for c, domain in contract.domains.items()]
-    codes += [F.when(typed[c] < least, "NUMERIC_RANGE_INVALID") for c, least in contract.minimums.items()]
+            codes.append(F.when(F.col(f.name).isNull(), REQUIRED_NULL))
+        codes.append(F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), TYPE_MISMATCH))
+    codes += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*domain), STATUS_DOMAIN_INVALID) for c, domain in contract.domains.items()]
+    codes += [F.when(typed[c] < least, NUMERIC_RANGE_INVALID) for c, least in contract.minimums.items()]
     codes += missing
     return df.withColumn("_errors", F.filter(F.array(*codes), lambda x: x.isNotNull())).drop("_claim", *[f"_p{i}" for i in range(len(parents or {}))])
 

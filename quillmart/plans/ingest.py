@@ -6,6 +6,7 @@ and run reports are all derived from the rows themselves.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,11 @@ DAY = "strftime(ts, '%Y%m%d')"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a query's own tables: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder for a query's own tables: in spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/quillmart/{uuid.uuid4().hex}"
 
 
@@ -138,7 +142,10 @@ def i1d_type_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return quality.error_counts(quality.validate(m.table(spark, sf, "events").select("event_id", "ts", "event_type"), c))
 
 
-@query()
+@query(f"""WITH {CODES.replace("SELECT claim > 1 AS dup", "SELECT lines.*, claim > 1 AS dup")}, bad AS (SELECT *, to_json({{l_linenumber: l_linenumber, l_orderkey: l_orderkey, l_partkey: l_partkey, l_quantity: l_quantity::VARCHAR, l_returnflag: l_returnflag, l_shipdate: strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') || '+00'}})::VARCHAR AS payload FROM codes WHERE dup OR dom OR num OR ref),
+    x AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('lines_batch_1:' || sha256(payload))) AS h FROM bad)
+    SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), printf('%02x', (('0x' || substr(h, 17, 2))::INTEGER & 63) | 128) || substr(h, 19, 2), substr(h, 21, 12)) AS _record_id, 'lines' AS _source_table, 'batch_1' AS _batch_id, 'run_1' AS _run_id,
+           '2026-01-01 00:00:00' AS _detected_at, [z FOR z IN [CASE WHEN dup THEN 'BATCH_DUPLICATE' END, CASE WHEN dom THEN 'STATUS_DOMAIN_INVALID' END, CASE WHEN num THEN 'NUMERIC_RANGE_INVALID' END, CASE WHEN ref THEN 'BROKEN_REFERENCE' END] IF z IS NOT NULL] AS _error_codes, payload AS _raw_payload FROM x""")
 def a13_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     bad = validated_lines(spark, sf).filter(F.size("_errors") > 0)
     return quality.quarantine(bad, LINES, "batch_1", "run_1", F.lit("2026-01-01 00:00:00").cast("timestamp")).withColumn("_detected_at", F.col("_detected_at").cast("string"))
@@ -151,9 +158,9 @@ def h16_uuid5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- bronze, ledger, replay ---------------------------------------------------
-def bronze_by_day(spark: SparkSession, sf: str) -> DataFrame:
+def bronze_by_day(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     at = F.to_timestamp(F.date_format(F.col("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd"))
-    return ledger.write_bronze(events(spark, sf).repartition(F.date_format("ts", "yyyyMMdd"), F.pmod("event_id", F.lit(4))), EVENTS, scratch(spark), F.date_format("ts", "yyyyMMdd"), "run_1", at)
+    return ledger.write_bronze(events(spark, sf).repartition(F.date_format("ts", "yyyyMMdd"), F.pmod("event_id", F.lit(4))), EVENTS, path or scratch(spark), F.date_format("ts", "yyyyMMdd"), "run_1", at)
 
 
 def committed_days(bronze: DataFrame) -> DataFrame:
@@ -182,8 +189,8 @@ def a19_as_of_catalog(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT event_type, count(*) AS n_rows FROM events WHERE {DAY} <= '20240115' GROUP BY 1")
 def a16_bronze_source(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of exactly the batches committed as of a boundary."""
-    bronze = bronze_by_day(spark, sf)
-    path = bronze.inputFiles()[0].split("/batch_id=")[0] if bronze.inputFiles() else ""
+    path = scratch(spark)
+    bronze = bronze_by_day(spark, sf, path)
     catalog = ledger.committed(committed_days(bronze), "2024-01-16T00:00:00Z")
     return ledger.bronze_source(spark, path, catalog, bronze.schema).groupBy("event_type").agg(F.count("*").alias("n_rows"))
 
@@ -286,7 +293,18 @@ def l1_logical_hash_is_order_free(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b.select("relation", F.col("logical_hash").alias("h")), "relation").select("relation", "n_rows", (F.col("h") == F.col("logical_hash")).alias("same_hash"))
 
 
-@query()
+def row_lanes(table: str, fields: str) -> str:
+    """SQL of a table's order-free hash: relation:hash:rows."""
+    lanes = " || ':' || ".join(f"sum(('0x' || substr(h, {16 * i + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4))
+    return f"SELECT '{table}' AS relation, '{table}:' || sha256(count(*) || ':' || {lanes}) || ':' || count(*) AS line FROM (SELECT sha256(to_json({{{fields}}})::VARCHAR) AS h FROM {table})"
+
+
+@query("WITH r AS (" + " UNION ALL ".join(
+    row_lanes(t, f) for t, f in {
+        "customer": "c_acctbal: c_acctbal::VARCHAR, c_custkey: c_custkey, c_mktsegment: c_mktsegment, c_name: c_name, c_nationkey: c_nationkey", "nation": "n_name: n_name, n_nationkey: n_nationkey, n_regionkey: n_regionkey",
+        "region": "r_name: r_name, r_regionkey: r_regionkey", "supplier": "s_acctbal: s_acctbal::VARCHAR, s_name: s_name, s_nationkey: s_nationkey, s_suppkey: s_suppkey",
+    }.items()
+) + ") SELECT sha256(string_agg(line, chr(10) ORDER BY relation)) AS combined_hash, count(*) AS n_relations FROM r")
 def l3_combined_hash(spark: SparkSession, sf: str) -> DataFrame:
     return hashing.combined_hash(hashing.relation_hashes({t: m.table(spark, sf, t) for t in ("customer", "nation", "region", "supplier")}))
 
@@ -498,7 +516,10 @@ def l9_write_audit_publish(spark: SparkSession, sf: str) -> DataFrame:
     pub = Publisher(spark, scratch(spark), {"fct_order": "orders", "fct_payment": "subscriptions"})
     pay = m.fct_payment(spark, sf)
     pub.publish({"fct_order": m.fct_order(spark, sf), "fct_payment": pay.filter("payment_date_key < 20240120")}, [])
-    pub.publish({"fct_order": m.fct_order(spark, sf), "fct_payment": pay}, [quality.Check("canary", "subscriptions", lambda: spark.range(1))])
+    pub.publish({"fct_order": m.fct_order(spark, sf), "fct_payment": pay}, lambda written: [
+        quality.Check("later_days", "subscriptions", lambda: written["fct_payment"].filter("payment_date_key >= 20240120")),
+        quality.Check("order_id_unique", "orders", lambda: quality.unique(written["fct_order"], "order_id")),
+    ])
     counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("relation"), "n_rows", F.lit(t in pub.held()).alias("is_held")) for t, df in pub.published().items()]
     return counts[0].unionByName(counts[1])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,18 @@ class Publisher:
     def _pointer(self) -> dict:
         return self._current.read()
 
-    def publish(self, tables: dict[str, DataFrame], checks: list[quality.Check]) -> list[str]:
-        """The relations that changed; none if a shared check fails."""
+    def publish(self, tables: dict[str, DataFrame], checks: list[quality.Check] | Callable[[dict[str, DataFrame]], list[quality.Check]]) -> list[str]:
+        """The relations that changed; none if a shared check fails.
+
+        checks: given as a function of the tables, it gets them as they were written,
+        so that what is published is what was audited.
+        """
         run, old = uuid.uuid4().hex, self._pointer()
         paths = {name: f"{self.root}/runs/{run}/{name}" for name in tables}
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(paths[name])
+        if callable(checks):
+            checks = checks({name: self.spark.read.parquet(path) for name, path in paths.items()})
         decisions = {r.domain: r.decision for r in domain_decisions(quality.run_checks(checks)).collect()} if checks else {}
         if "block" in decisions.values():
             return []

@@ -13,7 +13,7 @@ from ..sources import commits, ledger, scans
 from ..sources.contracts import EVENTS
 from . import model as m
 from . import observability as obs
-from .ingest import bronze_by_day, committed_days, events, scratch
+from .ingest import AFFECTED, affected_orders, bronze_by_day, committed_days, events, scratch
 from .registry import ITEMS, ORDERS, VERSIONS, query
 
 D = "double"
@@ -113,11 +113,11 @@ def i12_open_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return quality.unique(open_, "state").withColumnRenamed("n_rows", "n_open")
 
 
-@query("SELECT order_id FROM (SELECT o_orderkey + CASE WHEN o_orderkey % 500 = 0 THEN 10000000 ELSE 0 END AS order_id FROM orders WHERE o_orderkey % 100 = 0) WHERE order_id NOT IN (SELECT o_orderkey FROM orders)")
+@query(f"WITH {AFFECTED} SELECT order_id + 10000000 AS order_id FROM affected WHERE order_id % 5 = 0")
 def i17_affected_keys_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    o = m.table(spark, sf, "orders")
-    affected = o.filter("o_orderkey % 100 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 500 == 0, 10_000_000).otherwise(0)).alias("order_id"))
-    return quality.relationships(affected, "order_id", o, "o_orderkey")
+    """Affected keys that no order has: every fifth of them is moved out of range."""
+    off = F.when(F.col("order_id") % 5 == 0, 10_000_000).otherwise(0)
+    return quality.relationships(affected_orders(spark, sf).select((F.col("order_id") + off).alias("order_id")), "order_id", m.table(spark, sf, "orders"), "o_orderkey")
 
 
 @query("SELECT o_orderkey AS order_id FROM orders WHERE (o_orderstatus = 'F') <> (o_orderpriority IN ('1-URGENT', '2-HIGH'))")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.hashing import logical_hash
 from .contracts import TableContract
-from .ledger import LEDGER
+from .ledger import LEDGER, rewind_target
 from .pointer import Pointer
 
 
@@ -20,7 +20,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self._pointer = Pointer(spark, root, "state", {"watermark": "", "parts": []})
+        self._pointer = Pointer(spark, root, "state", {"watermark": "", "parts": [], "version": 0})
 
     def _state(self) -> dict:
         return self._pointer.read()
@@ -39,16 +39,37 @@ class Ledger:
             return False
         part = f"{self.root}/part-{len(state['parts']):06d}"
         rows.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(part)
-        self._pointer.write({"watermark": advance_to, "parts": [*state["parts"], part]})
+        self._pointer.write({"watermark": advance_to, "parts": [*state["parts"], part], "version": state["version"] + 1})
         return True
 
+    def version(self) -> int:
+        return self._state()["version"]
+
+    def rewind(self, boundary: str, expected: str, dry_run: bool = False) -> str | None:
+        """Moves the watermark back to the last committed batch before the boundary, as a new version; the batches stay committed.
+
+        None if the watermark is not where the caller saw it or no batch is before
+        the boundary; a dry run says where it would go and changes nothing.
+        """
+        state = self._state()
+        if state["watermark"] != expected:
+            return None
+        target = rewind_target(self.rows(), expected, boundary).first()[0]
+        if target is not None and not dry_run:
+            self._pointer.write(state | {"watermark": target, "version": state["version"] + 1})
+        return target
+
 
 def verify(requested: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
-    """source_table, batch_id, state: COMMITTED, NO_DATA if the last attempt found none, else MISSING."""
+    """source_table, batch_id, state: COMMITTED, NO_DATA if the last attempt found none, else MISSING; SCHEMA_VERSION where the request names another version than the one committed."""
     keys = ["source_table", "batch_id"]
+    other = F.lit(False)
+    if "schema_version" in requested.columns:
+        ledger = ledger.withColumn("_version", F.col("schema_version"))
+        other = F.col("schema_version") != F.col("_version")
     last = runs.groupBy(*keys).agg(F.max_by("status", "attempt").alias("_status"))
-    there = ledger.select(*keys, F.lit(True).alias("_there"))
-    state = F.when(F.col("_there"), "COMMITTED").when(F.col("_status") == "SUCCESS_NO_DATA", "NO_DATA").otherwise("MISSING")
+    there = ledger.select(*keys, F.lit(True).alias("_there"), *(["_version"] if "_version" in ledger.columns else []))
+    state = F.when(other, "SCHEMA_VERSION").when(F.col("_there"), "COMMITTED").when(F.col("_status") == "SUCCESS_NO_DATA", "NO_DATA").otherwise("MISSING")
     return requested.join(there, keys, "left").join(last, keys, "left").select(*keys, state.alias("state"))
 
 

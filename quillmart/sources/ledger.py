@@ -8,6 +8,7 @@ committed batches, so a half-written one is never seen.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,11 +96,13 @@ def unsupported_versions(ledger: DataFrame, supported: tuple[int, ...] = (SCHEMA
     return ledger.filter(~F.col("schema_version").isin(*supported)).groupBy("source_table", "schema_version").agg(F.count("*").alias("n_objects"))
 
 
-def batch_reuse(requested: DataFrame, ledger: DataFrame) -> DataFrame:
-    """SKIP a requested batch that is committed with the same rows and hash, CONFLICT if they differ, else RUN."""
-    old = ledger.select("source_table", "batch_id", F.col("row_count").alias("old_rows"), F.col("logical_hash").alias("old_hash"))
-    same = (F.col("old_rows") == F.col("row_count")) & (F.col("old_hash") == F.col("logical_hash"))
-    return requested.join(old, ["source_table", "batch_id"], "left").withColumn("decision", F.when(F.col("old_hash").isNull(), "RUN").when(same, "SKIP").otherwise("CONFLICT")).drop("old_rows", "old_hash")
+def batch_reuse(requested: DataFrame, ledger: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """SKIP a requested batch that is committed with the same rows and hash (and columns `also`, such as cursor range and schema version), CONFLICT if they differ, else RUN."""
+    columns = ["row_count", "logical_hash", *also]
+    old = ledger.select("source_table", "batch_id", F.lit(True).alias("_old"), *[F.col(c).alias(f"_old_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in columns])
+    decision = F.when(F.col("_old").isNull(), "RUN").when(same, "SKIP").otherwise("CONFLICT")
+    return requested.join(old, ["source_table", "batch_id"], "left").withColumn("decision", decision).drop("_old", *[f"_old_{c}" for c in columns])
 
 
 def orphan_objects(written: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -107,19 +110,40 @@ def orphan_objects(written: DataFrame, ledger: DataFrame) -> DataFrame:
     return written.join(ledger, ["source_table", "batch_id"], "left_anti")
 
 
-def reconcile_orphans(orphans: DataFrame, manifests: DataFrame, last_committed: Column) -> DataFrame:
-    """accept, or the reasons against an orphan: no manifest, other rows or hash, not after the last commit."""
-    m = manifests.select("batch_id", F.col("n_rows").alias("m_rows"), F.col("logical_hash").alias("m_hash"))
-    reasons = F.filter(
-        F.array(
-            F.when(F.col("m_rows").isNull(), "NO_MANIFEST"),
-            F.when(F.col("m_rows") != F.col("row_count"), "ROW_COUNT"),
-            F.when(F.col("m_hash") != F.col("logical_hash"), "HASH"),
-            F.when(F.col("batch_id") <= last_committed, "NOT_AFTER_WATERMARK"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return orphans.join(m, "batch_id", "left").select("source_table", "batch_id", "row_count", reasons.alias("reasons"), (F.size(reasons) == 0).alias("accept"))
+def reconcile_orphans(orphans: DataFrame, manifests: DataFrame, last_committed: Column, runs: DataFrame | None = None) -> DataFrame:
+    """accept, or the reasons against an orphan: no manifest, other rows or hash, not after the last commit.
+
+    Schema version and cursor range are compared where both sides have them; with
+    runs (batch_id, status), so is that the batch's run succeeded.
+    """
+    more = [c for c in ("schema_version", "last_cursor") if c in orphans.columns and c in manifests.columns]
+    m = manifests.select("batch_id", F.col("n_rows").alias("m_rows"), F.col("logical_hash").alias("m_hash"), *[F.col(c).alias(f"m_{c}") for c in more])
+    joined, codes = orphans.join(m, "batch_id", "left"), {"schema_version": "SCHEMA_VERSION", "last_cursor": "CURSOR_RANGE"}
+    there = F.col("m_rows").isNotNull()
+    rules = [
+        F.when(~there, "NO_MANIFEST"),
+        F.when(F.col("m_rows") != F.col("row_count"), "ROW_COUNT"),
+        F.when(F.col("m_hash") != F.col("logical_hash"), "HASH"),
+        *[F.when(there & ~F.col(c).eqNullSafe(F.col(f"m_{c}")), codes[c]) for c in more],
+        F.when(F.col("batch_id") <= last_committed, "NOT_AFTER_WATERMARK"),
+    ]
+    if runs is not None:
+        joined = joined.join(runs.select("batch_id", F.col("status").alias("_status")), "batch_id", "left")
+        rules.append(F.when(~F.col("_status").eqNullSafe("SUCCESS"), "RUN_STATE"))
+    reasons = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    return joined.select("source_table", "batch_id", "row_count", reasons.alias("reasons"), (F.size(reasons) == 0).alias("accept"))
+
+
+def parse_manifests(texts: DataFrame, fields: dict[str, str], utc_field: str) -> DataFrame:
+    """batch_id, fields and reasons of manifests in JSON (batch_id, manifest): MISSING a field, TYPE where one does not cast, NOT_UTC where the time lacks its zone."""
+    raw = F.from_json("manifest", ", ".join(f"{c} string" for c in [*fields, utc_field]))
+    p = texts.select("batch_id", raw.alias("_raw"))
+    typed = F.struct(*[F.col(f"_raw.{c}").try_cast(t).alias(c) for c, t in fields.items()])
+    missing = reduce(lambda a, b: a | b, [F.col(f"_raw.{c}").isNull() for c in [*fields, utc_field]])
+    wrong = reduce(lambda a, b: a | b, [F.col(f"_raw.{c}").isNotNull() & F.col(f"_raw.{c}").try_cast(t).isNull() for c, t in fields.items()])
+    zone = F.col(f"_raw.{utc_field}").rlike(r"(Z|\+00:00)$")
+    reasons = F.filter(F.array(F.when(missing, "MISSING"), F.when(wrong, "TYPE"), F.when(~zone, "NOT_UTC")), lambda x: x.isNotNull())
+    return p.select("batch_id", typed.alias("fields"), reasons.alias("reasons"))
 
 
 def rewind_target(batches: DataFrame, current: str, boundary: str) -> DataFrame:

@@ -72,3 +72,17 @@ def change_stats(df: DataFrame, contract: TableContract, boundary: str) -> DataF
     b = F.lit(boundary).cast(df.schema[contract.cursor].dataType)
     after, total = F.count_if(F.col(contract.cursor) > b), F.count("*")
     return df.agg(F.count_if(F.col(contract.cursor) <= b).alias("n_before"), after.alias("n_after"), total.alias("n_rows"), (after / F.nullif(total, F.lit(0))).alias("change_rate"))
+
+
+def slices(df: DataFrame, key: str, n: int) -> list[str]:
+    """Conditions that deal the rows out by the key in n slices of equal width, from the least to the greatest key; null keys go to the first. Usable as the predicates of a JDBC read."""
+    lo, hi = df.agg(F.min(F.least(F.lit(0), F.col(key))), F.max(key)).first()
+    if hi is None:
+        return ["1 = 1"]
+    ends = [lo + (hi + 1 - lo) * i // n + ((hi + 1 - lo) * i % n > 0) for i in range(1, n)]
+    return [f"{key} < {ends[0]} OR {key} IS NULL", *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(ends, ends[1:])], f"{key} >= {ends[-1]}"] if ends else ["1 = 1"]
+
+
+def read_snapshot(spark: SparkSession, url: str, table: str, predicates: list[str], properties: dict[str, str]) -> DataFrame:
+    """A table over JDBC, a task for each predicate (see slices)."""
+    return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
