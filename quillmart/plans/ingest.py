@@ -35,6 +35,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillmart/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to a folder of their own and read back."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return m.table(spark, sf, "events").select(*EVENTS.schema.names)
 
@@ -333,8 +340,9 @@ def h2_attribute_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- checks -------------------------------------------------------------------
 def check_suite(spark: SparkSession, sf: str) -> list[quality.Check]:
-    orders, items, versions = m.stg_orders(spark, sf), m.stg_order_items(spark, sf), m.dim_customer_state(spark, sf)
-    fact, lines = m.fct_order(spark, sf), m.fct_order_item(spark, sf)
+    # Written once and read by every check, as a publish does.
+    orders, items, versions = m.stg_orders(spark, sf), stored(m.stg_order_items(spark, sf)), stored(m.dim_customer_state(spark, sf))
+    fact, lines = stored(m.fct_order(spark, sf, items=items)), m.fct_order_item(spark, sf, items)
     c = quality.Check
     return [
         c("order_id_not_null", "orders", lambda: quality.not_null(orders, "order_id")),

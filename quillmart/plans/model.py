@@ -29,8 +29,13 @@ def stg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stg_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current record of each line: the source repeats (order, line) pairs."""
-    lines = current_records(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    """The current record of each line: the source repeats (order, line) pairs.
+
+    Dealt by order, which serves the choice of the record here and the totals and
+    joins by order that follow.
+    """
+    dealt = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    lines = current_records(dealt, ["l_orderkey", "l_linenumber"], "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     freight = F.expr("(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT) + 50) DIV 100")
     as_money = lambda c: (c.cast("decimal(16,0)") * F.expr("0.01BD")).cast("decimal(14,2)")
@@ -79,10 +84,10 @@ def item_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(F.sum("price").cast("decimal(16,2)").alias("items_value"), F.sum("freight_value").cast("decimal(16,2)").alias("freight_value"), F.count("*").alias("n_items"), F.max("shipped_at").alias("delivered_at"))
 
 
-def fct_order(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+def fct_order(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """An order with the totals of its lines; missing totals are 0, missing dates leave measures null."""
     orders = stg_orders(spark, sf_dir) if orders is None else orders
-    joined = orders.join(item_totals(stg_order_items(spark, sf_dir)), "order_id", "left")
+    joined = orders.join(item_totals(stg_order_items(spark, sf_dir) if items is None else items), "order_id", "left")
     zero = F.expr("0BD").cast("decimal(16,2)")
     return joined.select(
         "order_id", "customer_id", "order_status", "purchase_at", date_key(F.col("purchase_at")).alias("order_date_key"), "order_value",
@@ -91,10 +96,11 @@ def fct_order(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None)
     )
 
 
-def fct_order_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fct_order_item(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """Lines with their order's status and date; a line without an order keeps null keys."""
     orders = stg_orders(spark, sf_dir).select("order_id", "order_status", "customer_id", date_key(F.col("purchase_at")).alias("order_date_key"))
-    return stg_order_items(spark, sf_dir).join(orders, "order_id", "left").withColumn("line_gross", (F.col("price") + F.col("freight_value")).cast("decimal(16,2)"))
+    items = stg_order_items(spark, sf_dir) if items is None else items
+    return items.join(orders, "order_id", "left").withColumn("line_gross", (F.col("price") + F.col("freight_value")).cast("decimal(16,2)"))
 
 
 def fct_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
