@@ -1,6 +1,7 @@
 """Hilbert-curve sharding: rows ordered by a curve through quantised metadata, cut into runs.
 
-Each dimension is quantised by its own distribution into 2 ** bits bins; the
+Each dimension is quantised by its own distribution into 2 ** bits bins, text by the
+order of its whole values; the
 Hilbert index of the bins orders the rows; the order is cut into shards whose row
 counts differ by one at most. Rows that are near on the curve are near in every
 dimension, so a shard's files have narrow ranges that a reader can prune by.
@@ -10,6 +11,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,25 +22,59 @@ BITS = 4
 DIMENSIONS = ("lang", "source", "n_chars")
 
 
+def is_text(df: DataFrame, name: str) -> bool:
+    return not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def ordinal(df: DataFrame, name: str) -> Column:
-    """A number in the column's own order: numbers, dates and booleans as they are, else the first 7 bytes."""
+    """A value in the column's own order: a number for numbers, dates and booleans, else text."""
     kind = df.schema[name].dataType
+    if is_text(df, name):
+        return F.col(name).cast("string")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return F.col(name).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(name).cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+
+
+def in_order(df: DataFrame, key: list[str | Column], weight: Column) -> DataFrame:
+    """df written out in an order, with _q_before, the weight of all rows before: a range partition's offset plus the rows before in it.
+
+    Only one sum for each partition is added up in one place.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *key).sortWithinPartitions(*key)
+    placed = materialize(ranged.withColumn("_q_at", F.monotonically_increasing_id()).withColumn("_q_weight", weight.cast("long")))
+    placed = placed.withColumn("_q_part", F.shiftright("_q_at", 33))
+    sums = placed.groupBy("_q_part").agg(F.sum("_q_weight").alias("_q_n"))
+    sizes = F.sort_array(F.collect_list(F.struct("_q_part", "_q_n")))
+    # One row for each partition: their number is the session's, not the data's.
+    offsets = sums.agg(sizes.alias("s")).select(F.posexplode("s").alias("i", "own"), "s").select(
+        F.col("own._q_part").alias("_q_part"), F.aggregate(F.slice("s", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc + x["_q_n"]).alias("_q_before")
+    )
+    return placed.join(F.broadcast(offsets), "_q_part")
+
+
+def text_edges(df: DataFrame, name: str, bits: int) -> list[str]:
+    """The distinct quantiles of a text column by whole values: at most 2 ** bits - 1 of them. Each value is counted first, so a frequent one is one row."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    placed = in_order(counts, [name], F.col("n"))
+    along = W.partitionBy("_q_part").orderBy("_q_at").rowsBetween(W.unboundedPreceding, 0)
+    upto = placed.select(name, "n", (F.col("_q_before") + F.sum("n").over(along)).alias("upto"))
+    total = df.filter(F.col(name).isNotNull()).count()
+    step = lambda x: F.floor(x * (1 << bits) / F.lit(max(total, 1)))
+    crossed = upto.filter((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (F.col("upto") < total))
+    return sorted((r[0] for r in crossed.select(name).collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
-def bin_edges(df: DataFrame, columns: list[str], bits: int) -> list[list[float]]:
-    """For each ordinal column its distinct quantiles: at most 2 ** bits - 1 numbers, from mergeable sketches."""
+def bin_edges(df: DataFrame, columns: list[str], bits: int) -> list[list]:
+    """For each ordinal column its distinct quantiles: at most 2 ** bits - 1 values, of numbers from mergeable sketches."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
-    return [sorted(set(found[c] or [])) for c in columns]
+    numbers = [c for c in columns if not is_text(df, c)]
+    found = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in numbers]).first() if numbers else {}
+    return [sorted(set(found[c] or [])) if c in numbers else text_edges(df, c, bits) for c in columns]
 
 
-def bin_of(value: Column, edges: list[float]) -> Column:
+def bin_of(value: Column, edges: list) -> Column:
     """The number of edges below the value; nulls are in the first bin."""
     return sum((F.when(value > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
 
@@ -75,26 +111,15 @@ def hilbert_order(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bit
     """Adds curve_index (where the row's bins lie on the curve) and position (its rank from 0, gapless).
 
     Ties on the curve are broken by a hash of the row key, so no cell of the grid,
-    however full, has to be in one task. The rank is a range partition's offset
-    plus the place in it; only one count for each partition is added up.
+    however full, has to be in one task.
     """
     axes = [f"_q_a{i}" for i in range(len(dimensions))]
     numbers = docs.withColumns({a: ordinal(docs, d) for a, d in zip(axes, dimensions)})
     edges = bin_edges(numbers, axes, bits)
     binned = numbers.withColumns({a: bin_of(F.col(a), e) for a, e in zip(axes, edges)})
     curved = with_hilbert_index(binned, axes, bits, "curve_index").drop(*axes)
-    key = ["curve_index", F.xxhash64(ROW), ROW]
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = curved.repartitionByRange(tasks, *key).sortWithinPartitions(*key)
-    placed = materialize(ranged.withColumn("_q_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_q_at", 33), F.col("_q_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_q_part")).agg(F.count("*").alias("_q_n"))
-    sizes = F.sort_array(F.collect_list(F.struct("_q_part", "_q_n")))
-    # One row for each partition: their number is the session's, not the data's.
-    offsets = counts.agg(sizes.alias("s")).select(F.posexplode("s").alias("i", "own"), "s").select(
-        F.col("own._q_part").alias("_q_part"), F.aggregate(F.slice("s", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc + x["_q_n"]).alias("_q_before")
-    )
-    return placed.withColumn("_q_part", part).join(F.broadcast(offsets), "_q_part").withColumn("position", F.col("_q_before") + within).drop("_q_part", "_q_before", "_q_at")
+    placed = in_order(curved, ["curve_index", F.xxhash64(ROW), ROW], F.lit(1))
+    return placed.withColumn("position", F.col("_q_before") + F.col("_q_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_q_part", "_q_before", "_q_at", "_q_weight")
 
 
 def cut_runs(ordered: DataFrame, shards: int = SHARDS) -> DataFrame:
