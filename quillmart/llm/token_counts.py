@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, materialize, shared_dir
+from .common import ROW, keyed, materialize, settled, shared_dir
 from .encoder import encoder
 
 CACHE = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     representative row is chosen from (digest, row key) pairs alone and texts
     move once, dealt by the row key, which no group can make uneven.
     """
-    spark, version = docs.sparkSession, tokenizer_version(tokenizer)
+    spark, version, docs = docs.sparkSession, tokenizer_version(tokenizer), settled(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     digests = materialize(rows.select(ROW, "doc_id", F.sha2("text", 256).alias("content_sha256"), F.octet_length("text").cast("long").alias("n_bytes")))
@@ -67,7 +67,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
 
     fresh = rows.select(ROW, "text").join(misses, ROW).select("content_sha256", "text").mapInArrow(lengths, CACHE)
     fresh.write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
+    cache = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version)
+    if cache.count() > 2 * digests.count():  # a cache of many runs: only this run's contents are copied
+        cache = cache.join(digests.select("content_sha256").distinct(), "content_sha256", "left_semi")
+    counts = cache.groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
     # A table of its own, so that both sides of the last join are plain exchanges, whose hot keys the adaptive join splits.
     counts = materialize(counts)
     return digests.join(counts, "content_sha256").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -84,6 +84,8 @@ def test_token_counts_use_and_extend_the_cache(spark, docs, rows, none):
     assert stored == len({t or "" for _, t, *_ in rows})
     token_counts.count_tokens(docs, PATH, path).count()
     assert spark.read.parquet(path).count() == stored
+    few = token_counts.count_tokens(docs.filter("doc_id < 20"), PATH, path).collect()  # far fewer than the cache holds
+    assert Counter((r.doc_id, r.n_tokens) for r in few) == Counter((i, len(library_ids(t))) for i, t, *_ in rows if i is not None and i < 20)
 
 
 # --- dedup --------------------------------------------------------------------
@@ -270,6 +272,16 @@ def test_hilbert_index_is_a_curve(spark, n, bits):
     assert all(sum(abs(a - b) for a, b in zip(x, y)) == 1 for x, y in zip(cells, cells[1:]))
 
 
+def test_text_is_quantised_by_whole_values(spark, tmp_path):
+    values = [f"https://example.com/very/long/common/prefix/{i:03d}" for i in range(160)] + [None] * 5 + ["https://example.com/very/long/common/prefix/000"] * 40
+    spark.createDataFrame([(v,) for v in values], "url string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    edges = sharding.text_edges(df, "url", 3)
+    bins = Counter(sum(v > e for e in edges) for v in values if v is not None)
+    assert len(edges) <= 7 and edges == sorted(set(edges)) and len(bins) >= 6 and max(bins.values()) <= 60
+    assert sharding.text_edges(df.limit(0), "url", 3) == []
+
+
 def test_shards_are_even_gapless_and_complete(spark, docs, rows, none):
     got = sharding.shard_documents(docs, shards=7).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
