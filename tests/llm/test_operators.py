@@ -598,9 +598,9 @@ def plain_kneser_ney(fit):
     return lambda ts: -sum(math.log10(p(tuple(e[i - 2 : i + 1]))) for e in [events(ts)] for i in range(2, len(e)))
 
 
-@pytest.mark.parametrize("share", [2e-5, 0.01, 2.0])
-def test_quality_counts_words(spark, docs, rows, share, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "FAST_SHARE", share)
+@pytest.mark.parametrize("most", [0, 2000, 10**6])
+def test_quality_counts_words(spark, docs, rows, most, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "FAST_NGRAMS", most)
     labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i is not None and i < 100], "doc_id long, quality int, toxic int")
     fit = {r.doc_id for r in kneser_ney.trusted_labels(labels).collect() if r.fit}
     nll = plain_kneser_ney([kneser_ney.tokens(t) for i, t, *_ in rows if i in fit])
