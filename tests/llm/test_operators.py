@@ -395,13 +395,26 @@ def test_exchange_gain_is_the_change_in_likelihood():
 def test_kneser_ney_is_a_distribution(spark):
     texts = ["a b a c", "a b", "b b a !", None, "a b a c a b"]
     symbols = kneser_ney.Symbols(["a", "b", "c"])
-    tri = kneser_ney.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string"), symbols)
-    grams = [(u << 12) | (v << 6) | w for u, v in ((11, 12), (12, 11), (0, 0), (20, 21), (20, 12)) for w in range(64)]
-    got = kneser_ney.gram_scores(spark.createDataFrame([(g,) for g in grams], "gram int"), tri).collect()
-    sums = defaultdict(float)
-    for r in got:
-        sums[r.gram >> 6] += 10**-r.nll
-    assert len(sums) == 5 and all(s == pytest.approx(1) for s in sums.values())
+    counts = kneser_ney.form_counts(spark.createDataFrame([(t,) for t in texts], "text string"), symbols)
+    assert counts.sum() == sum(len(kneser_ney.tokens(t)) + 1 for t in texts)
+    table = 10 ** -kneser_ney.form_table(counts).reshape(64, 64, 64)
+    assert np.allclose(table.sum(-1), 1)
+    # One entry of each kind in plain figures: a seen trigram, a seen context, an unseen one.
+    n2, (a, b, c) = (counts > 0).sum(0), (11, 12, 13)
+    n1 = (n2 > 0).sum(0)
+    plain = lambda n: kneser_ney.cuts([int((n == k).sum()) for k in (1, 2, 3, 4)])
+
+    def p(gram):
+        n = (n1, n2, counts)[len(gram) - 1]
+        d, row = plain(n), n[gram[:-1]] if len(gram) > 1 else n
+        lower = p(gram[1:]) if len(gram) > 1 else 1 / 64
+        if not row.sum():
+            return lower
+        own = row[gram[-1]] - d[min(row[gram[-1]], 3) - 1] if row[gram[-1]] else 0
+        return own / row.sum() + sum(d[min(x, 3) - 1] for x in row if x) / row.sum() * lower
+
+    assert counts[a, b, a] > 0 and all(table[g] == pytest.approx(p(g)) for g in ((a, b, a), (a, b, c), (c, c, c), (20, a, b), (0, 0, a)))
+    assert np.allclose(kneser_ney.form_table(np.zeros((64, 64, 64), np.int64)), np.log10(64))
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark, docs, rows, none):
