@@ -213,3 +213,64 @@ def test_checksum_files_grow_in_number_with_the_table(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert ingest.a2_dataset_checksum(spark, sf).first().n_files >= n / 100 > 4
+
+
+# --- run reports -----------------------------------------------------------------------
+REPORT = {
+    "tasks": [("extract", "success"), ("audit", "not_terminal")], "publish_status": "PUBLISHED", "serving_export_status": "SUCCESS", "repoint_status": "SUCCESS", "fresh": True, "tests_warned": 0, "held_domains": [], "data_lag_s": 1800,
+    "domain_lag_s": {"orders": 1800, "shared": None}, "previous_row_counts": {"fct_order": 100, "gone": 5}, "row_counts": {"fct_order": 99, "new": 1}, "full_refresh": False, "exports_count": 2, "failed_builds_count": 3,
+    "warehouse_build_empty": True, "serving_build_empty": True, "held_leases": [], "elapsed_s": 599, "probe_errors": [],
+}
+REPORT_SCHEMA = (
+    "tasks array<struct<task_id: string, state: string>>, publish_status string, serving_export_status string, repoint_status string, fresh boolean, tests_warned int, held_domains array<string>, data_lag_s bigint, domain_lag_s map<string, bigint>, "
+    "previous_row_counts map<string, bigint>, row_counts map<string, bigint>, full_refresh boolean, exports_count int, failed_builds_count int, warehouse_build_empty boolean, serving_build_empty boolean, held_leases array<string>, elapsed_s int, probe_errors array<string>"
+)
+
+
+def test_each_rule_of_a_run_report(spark):
+    from quillmart.plans.observability import Limits, alerts, report_failures
+
+    cases = [
+        ({}, []),
+        ({"tasks": [("extract", "failed"), ("load", "skipped")]}, ["TASK_NOT_SUCCESS:extract", "TASK_NOT_SUCCESS:load"]),
+        ({"publish_status": "FAILED"}, ["PUBLISH_FAILED"]), ({"publish_status": None}, ["PUBLISH_UNKNOWN"]), ({"serving_export_status": "ERROR"}, ["SERVING_EXPORT_FAILED"]), ({"repoint_status": None}, ["REPOINT_UNKNOWN"]),
+        ({"fresh": False}, ["NOT_FRESH"]), ({"fresh": None}, []), ({"tests_warned": 2}, ["DBT_TEST_WARN"]), ({"held_domains": ["subscriptions", "orders"]}, ["PUBLISH_PARTIAL:subscriptions", "PUBLISH_PARTIAL:orders"]),
+        ({"data_lag_s": 1801}, ["DATA_STALE"]), ({"domain_lag_s": {"b": 1801, "a": 9999, "c": 1}}, ["DATA_STALE:a", "DATA_STALE:b"]), ({"row_counts": {"fct_order": 98}}, ["ROW_COUNT_DROP:fct_order"]),
+        ({"row_counts": {"fct_order": 98}, "full_refresh": True}, []), ({"previous_row_counts": None}, []), ({"exports_count": 4}, ["EXPORTS_COUNT_4"]), ({"failed_builds_count": 4}, ["FAILED_BUILDS_OVER_RETENTION"]),
+        ({"warehouse_build_empty": False, "serving_build_empty": False}, ["BUILD_DIR_NOT_EMPTY"]), ({"held_leases": ["events"]}, ["LEASE_HELD"]), ({"elapsed_s": 600}, ["SLOW_RUN"]), ({"probe_errors": ["dag"]}, ["PROBE_ERROR:dag"]),
+        ({"elapsed_s": 700, "publish_status": "PARTIAL", "held_domains": ["orders", "orders"]}, ["PUBLISH_PARTIAL", "PUBLISH_PARTIAL:orders", "SLOW_RUN"]),
+    ]
+    df = spark.createDataFrame([tuple((REPORT | c).values()) for c, _ in cases], REPORT_SCHEMA)
+    got = df.select(report_failures(Limits(1800, 2, 3)).alias("f"), alerts(report_failures(Limits(1800, 2, 3))).alias("a")).collect()
+    assert [r.f for r in got] == [want for _, want in cases]
+    assert got[1].a == [] and got[9].a == ["PUBLISH_PARTIAL:subscriptions", "PUBLISH_PARTIAL:orders"] and got[2].a == ["PUBLISH_FAILED"] and got[10].a == []
+
+
+def test_a_publish_audits_what_it_has_written(spark, tmp_path):
+    from quillmart.plans.publish import Publisher
+
+    seen = {}
+    pub = Publisher(spark, str(tmp_path), {"t": "orders"})
+
+    def checks(written):
+        seen.update({n: df.inputFiles() for n, df in written.items()})
+        return [quality.Check("none_negative", "orders", lambda: written["t"].filter("id < 0"))]
+
+    assert pub.publish({"t": spark.range(3)}, checks) == ["t"] and str(tmp_path) in seen["t"][0]
+    assert pub.publish({"t": spark.range(-1, 3)}, checks) == [] and pub.held() == ["t"] and pub.published()["t"].count() == 3
+
+
+def test_rows_without_a_key_claim_nothing_and_are_dealt_apart(spark):
+    c = TableContract("t", ("k",), "at", "k bigint NOT NULL, at timestamp NOT NULL")
+    rows = [(None, dt(2026, 1, 1))] * 3 + [(1, dt(2026, 1, 2)), (1, dt(2026, 1, 1))]
+    got = quality.validate(spark.createDataFrame(rows, "k bigint, at timestamp"), c)
+    assert sorted((r.k is None, r["at"].day, r["_errors"]) for r in got.collect()) == [(False, 1, []), (False, 2, ["BATCH_DUPLICATE"])] + [(True, 1, ["KEY_NULL", "REQUIRED_NULL"])] * 3
+    assert got.columns == ["k", "at", "_errors"]
+
+
+@pytest.mark.parametrize("ends, n", [((0, 9), 3), ((5, 5), 4), ((-7, 100), 5), ((1, 1000), 1)])
+def test_slices_part_a_table(spark, ends, n):
+    df = spark.range(ends[0], ends[1] + 1).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,)], "k bigint"))
+    parts = scans.slices(df, "k", n)
+    assert len(parts) == n and sum(df.filter(p).count() for p in parts) == df.count()
+    assert scans.slices(df.limit(0), "k", n) == ["1 = 1"]
