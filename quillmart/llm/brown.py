@@ -40,6 +40,8 @@ FAST_SHARE = 5e-7
 POOLS = 512
 #: Units that a task exchanges one after the other.
 TASK_UNITS = 512
+#: Bytes of text that are numbered together; words are counted once in each slice.
+SLICE_BYTES = 6 << 20
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
 
@@ -86,7 +88,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """h, n over the texts, with END once for each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             x = numbered(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes), pa.array(np.bincount(x.codes, minlength=len(x.hashes)))], ["h", "n"])
 
@@ -118,7 +120,7 @@ def unit_bigrams(train: DataFrame, units: Units) -> DataFrame:
     size, sent = units.size, train.sparkSession.sparkContext.broadcast(units)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             x = numbered(batch.column(0).to_pylist())
             ids = np.concatenate(([0], sent.value.of(x)[x.codes]))
             pairs = ids[:-1] * size + ids[1:]
@@ -257,7 +259,7 @@ def rare_words(train: DataFrame, units: Units, classes: np.ndarray, m: np.ndarra
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, classes = sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             x = numbered(batch.column(0).to_pylist())
             unit = units.of(x)
             rare = unit >= units.first_pool
@@ -393,7 +395,7 @@ def class_paths(rows: DataFrame, t: Trained, fast_share: float = FAST_SHARE) ->
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, c, model = sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             x = numbered(batch.column(3).to_pylist())
             at = place(keys, x.hashes)
             is_end = x.hashes == end

@@ -21,7 +21,7 @@ ROW = "_q_row"
 #: Most row keys that are broadcast, some 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: A run of the six ASCII white-space characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z and touches nothing else.
