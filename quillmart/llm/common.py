@@ -22,6 +22,8 @@ ROW = "_q_row"
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch of documents.
+ARROW_ROWS = 2_000
 #: A run of the six ASCII white-space characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z and touches nothing else.
@@ -43,6 +45,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._quillmart_sent = True
 
 
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for documents: ships the package, and unless the user chose a size, has Arrow batches hold ARROW_ROWS rows, as Spark's 10,000 long texts for each task fill an executor."""
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one set by setCheckpointDir; a local one only in local mode."""
     sc = spark.sparkContext

@@ -7,18 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, decontamination, exact_dedup, kneser_ney, packing, pii, secrets, sharding, simhash, token_counts
-from .common import ROW, read, ship_package
+from .common import ROW, read, prepare
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op2_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return brown.score_documents(read(spark, sf_dir, "documents"))
 
 
@@ -27,12 +27,12 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     found = decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -54,17 +54,17 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), token_counts.new_cache_path(spark))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return simhash.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return kneser_ney.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop(ROW)
 
 
