@@ -35,9 +35,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends the package to the workers, once a session; in local mode they see the driver's files."""
+    """Sends the package to the workers, once a session; in local mode too, as a driver's sys.path is not theirs."""
     sc = spark.sparkContext
-    if re.match(r"local(\[|$)", sc.master) or getattr(sc, "_quillmart_sent", False):
+    if getattr(sc, "_quillmart_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quillmart")
