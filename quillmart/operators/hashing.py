@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,18 +16,64 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(canonical_json(df.select(*columns)), 256)
 
 
+#: The sums that a table's hash is made of.
+SUMS = ("n_rows", "s0", "s1", "s2", "s3")
+
+
+def digest_sums(digest: Column, only: Column | None = None) -> list[Column]:
+    """The row count and four sums over the numbers that each row's digest is cut into, of the rows for which `only` holds."""
+    lanes = [F.conv(F.substring(digest, 16 * i + 1, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    if only is None:
+        return [F.count("*").alias("n_rows"), *[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, x in enumerate(lanes)]]
+    return [F.count_if(only).alias("n_rows"), *[F.coalesce(F.sum(F.when(only, x)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, x in enumerate(lanes)]]
+
+
+def hash_of(sums: dict[str, int]) -> str:
+    """The hash of a table with these sums."""
+    return hashlib.sha256(":".join(str(int(sums[c])) for c in SUMS).encode()).hexdigest()
+
+
 def logical_hash(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """n_rows and logical_hash, for each group of `by`: the same for any order of the same rows, repeats counted.
 
     Each row's digest is cut into four numbers that are added up, so a table is
-    hashed in one pass without a sort, and a repeated row does not cancel out.
+    hashed in one pass without a sort, and a repeated row does not cancel out. As sums
+    add and subtract, so do the hashes of tables that change (see hash_of).
     """
-    digest = row_hash(df, columns or df.columns)
-    rows = df.select(*(by or []), digest.alias("_h"))
-    lanes = [F.conv(F.substring("_h", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("string").alias(f"_s{i}") for i, x in enumerate(lanes)]
-    agg = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), *sums) if by else rows.agg(F.count("*").alias("n_rows"), *sums)
-    return agg.withColumn("logical_hash", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *[f"_s{i}" for i in range(4)]), 256)).drop(*[f"_s{i}" for i in range(4)])
+    rows = df.select(*(by or []), row_hash(df, columns or df.columns).alias("_h"))
+    agg = rows.groupBy(*(by or [])).agg(*digest_sums(F.col("_h")))
+    return agg.withColumn("logical_hash", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in SUMS]), 256)).drop(*SUMS[1:])
+
+
+def digest_tree(df: DataFrame, keys: list[str], buckets: int = 1024, leaves: int = 64) -> DataFrame:
+    """bucket, leaf and the digest sums of the rows whose key falls there: `buckets` * `leaves` rows at most, however large the table.
+
+    It can be stored beside its table: two trees say where the tables differ without reading them.
+    """
+    return placed_in_tree(df, keys, buckets, leaves).select("_bucket", "_leaf", row_hash(df, df.columns).alias("_h")).groupBy(F.col("_bucket").alias("bucket"), F.col("_leaf").alias("leaf")).agg(*digest_sums(F.col("_h")))
+
+
+def placed_in_tree(df: DataFrame, keys: list[str], buckets: int, leaves: int) -> DataFrame:
+    h = F.xxhash64(*keys)
+    return df.withColumns({"_bucket": F.pmod(h, F.lit(buckets)).cast("int"), "_leaf": F.pmod(F.shiftrightunsigned(h, 32), F.lit(leaves)).cast("int")})
+
+
+def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """bucket, leaf where two trees of one shape differ: buckets are compared first, by the sums of their leaves, and leaves only in those that differ."""
+    total = lambda t, side: t.groupBy("bucket").agg(*[F.sum(c).alias(f"{side}_{c}") for c in SUMS])
+    differ = reduce(lambda a, b: a | b, [is_distinct(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in SUMS])
+    buckets = total(left, "a").join(total(right, "b"), "bucket", "full_outer").filter(differ).select("bucket")
+    side = lambda t, name: t.join(F.broadcast(buckets), "bucket", "left_semi").select("bucket", "leaf", *[F.col(c).alias(f"{name}_{c}") for c in SUMS])
+    return side(left, "a").join(side(right, "b"), ["bucket", "leaf"], "full_outer").filter(differ).select("bucket", "leaf")
+
+
+def tree_difference(left: DataFrame, right: DataFrame, keys: list[str], buckets: int = 1024, leaves: int = 64, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """keyed_difference() of the rows in leaves that differ: the others never reach the join. trees: the tables' digest trees, if stored."""
+    a, b = trees or (digest_tree(left, keys, buckets, leaves), digest_tree(right, keys, buckets, leaves))
+    # At most buckets * leaves rows of two integers.
+    leaf = F.broadcast(differing_leaves(a, b).select(F.col("bucket").alias("_bucket"), F.col("leaf").alias("_leaf")))
+    cut = lambda df: placed_in_tree(df, keys, buckets, leaves).join(leaf, ["_bucket", "_leaf"], "left_semi").select(*df.columns)
+    return keyed_difference(cut(left), cut(right), keys)
 
 
 def relation_hashes(tables: dict[str, DataFrame]) -> DataFrame:

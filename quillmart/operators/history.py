@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import BEGINNING, date_key, surrogate_key
 
@@ -64,14 +65,64 @@ def as_of_join(events: DataFrame, versions: DataFrame, key: str, at: str, how: s
     return events.join(v, inside, how).drop("_key")
 
 
-def as_of_join_by_window(events: DataFrame, versions: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
-    """as_of_join(..., 'left') for long histories: one sort by key and time instead of a join."""
+#: Events of one key that a slice of an as-of join holds at most, about.
+SLICE_ROWS = 1_000_000
+
+
+def as_of_join_by_window(events: DataFrame, versions: DataFrame, key: str, at: str, columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """as_of_join(..., 'left') for long histories and hot keys: each key's events and versions are sorted together and read once.
+
+    A key with over slice_rows events is cut in slices of time with about so many each;
+    a version goes to every slice in which it is in force, so the one in force at a cut is
+    carried over it, and the slices are worked on apart. Events with a null key or time,
+    however many, stay out of the sort and have no version.
+    """
     payload = F.struct(*columns)
-    e = events.select(key, F.col(at).alias("_at"), F.lit(1).alias("_is_event"), F.struct(*events.columns).alias("_e"))
-    v = versions.select(key, F.col("effective_from").alias("_at"), F.lit(0).alias("_is_event"), payload.alias("_v"))
+    cuts = hot_key_cuts(events, key, at, slice_rows)
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    e = events.filter(known).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_is_event"), F.struct(*events.columns).alias("_e"))
+    v = versions.select(F.col(key).alias("_key"), F.col("effective_from").alias("_at"), F.lit(0).alias("_is_event"), F.col("valid_to").alias("_to"), payload.alias("_v")).filter(F.col("_key").isNotNull())
+    if cuts is None:
+        by = ["_key"]
+    else:
+        by = ["_key", "_slice"]
+        before = lambda x, upto: F.coalesce(F.size(F.filter("_cuts", lambda c: (c <= x) if upto else (c < x))), F.lit(0))
+        e = e.join(cuts, "_key", "left").withColumn("_slice", F.greatest(before(micros(F.col("_at")), True), F.lit(0))).drop("_cuts")
+        ends = F.when(F.col("_to").isNull(), F.greatest(F.size("_cuts"), F.lit(0))).otherwise(F.greatest(before(micros(F.col("_to")), False), F.lit(0)))
+        v = v.join(cuts, "_key", "left").withColumn("_first", F.greatest(before(micros(F.col("_at")), True), F.lit(0)))
+        v = v.withColumn("_slice", F.explode(F.sequence("_first", F.greatest("_first", F.coalesce(ends, F.lit(0)))))).drop("_cuts", "_first")
     both = e.unionByName(v, allowMissingColumns=True)
-    last = F.last("_v", ignorenulls=True).over(W.partitionBy(key).orderBy("_at", "_is_event").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("_v", last).filter("_is_event = 1").select("_e.*", *[F.col(f"_v.{c}").alias(c) for c in columns])
+    along = W.partitionBy(*by).orderBy("_at", "_is_event", F.col("_to").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_is_event") == 0, F.struct("_to", "_v")), ignorenulls=True).over(along)
+    # A history may have gaps: the last version to begin counts only while it is in force.
+    found = both.withColumn("_last", last).filter("_is_event = 1").withColumn("_in", F.col("_last._to").isNull() | (F.col("_at") < F.col("_last._to")))
+    out = found.select("_e.*", *[F.when(F.col("_in"), F.col(f"_last._v.{c}")).alias(c) for c in columns])
+    return out.unionByName(events.filter(~known).select(*events.columns), allowMissingColumns=True)
+
+
+def micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def hot_key_cuts(events: DataFrame, key: str, at: str, slice_rows: int) -> DataFrame | None:
+    """_key and _cuts (times in microseconds, ascending) for keys with over slice_rows events; None if there are none.
+
+    Keys are counted first, and only hot ones' times are looked at: by mergeable
+    sketches, so no task holds a key's events. There is at most a key for each
+    slice_rows events.
+    """
+    counts = events.filter(F.col(at).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter((F.col("_n") > slice_rows) & F.col("_key").isNotNull())
+    hot = [(r["_key"], -(-r["_n"] // slice_rows)) for r in counts.collect()]
+    if not hot:
+        return None
+    spark, kind = events.sparkSession, events.schema[key].dataType
+    keys = F.broadcast(spark.createDataFrame([(k,) for k, _ in hot], T.StructType([T.StructField("_key", kind)])))
+    most = max(n for _, n in hot)
+    mine = events.select(F.col(key).alias("_key"), micros(F.col(at)).alias("_t")).join(keys, "_key", "left_semi")
+    # All hot keys get the cuts of the hottest: a row for each key.
+    found = mine.groupBy("_key").agg(F.percentile_approx("_t", [k / most for k in range(1, most)], 100 * most).alias("_cuts"))
+    rows = [(r["_key"], sorted(set(r["_cuts"]))) for r in found.collect()]
+    return F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField("_key", kind), T.StructField("_cuts", T.ArrayType(T.LongType()))])))
 
 
 def date_dimension(days: DataFrame, at: str) -> DataFrame:
