@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute_hash, date_key
 from ..operators import incremental, quality
-from ..operators.history import as_of_join, dedupe_observations, scd2_fold, with_surrogate_key
+from ..operators.history import as_of_join_by_window, dedupe_observations, scd2_fold, with_surrogate_key
 from . import model as m
 from .registry import ITEMS, ORDERS, VERSIONS, query
 
@@ -50,8 +50,7 @@ def order_payments(spark: SparkSession, sf: str) -> DataFrame:
 
 def orders_with_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the customer's version in force at the purchase."""
-    versions = m.dim_customer_state(spark, sf).select("customer_id", "customer_key", "effective_from", "valid_to")
-    return as_of_join(m.stg_orders(spark, sf), versions, "customer_id", "purchase_at").drop("effective_from", "valid_to")
+    return as_of_join_by_window(m.stg_orders(spark, sf), m.dim_customer_state(spark, sf), "customer_id", "purchase_at", ["customer_key"])
 
 
 def fct_order_payment(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,10 +88,8 @@ def paid_contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 def fct_contract_payment(spark: SparkSession, sf: str) -> DataFrame:
     """Payments with the versions of both customer and contract that were in force; those without either go."""
-    people = m.dim_customer_state(spark, sf).select("customer_id", "customer_key", "state", "effective_from", "valid_to")
-    deals = dim_contract(spark, sf).select("contract_id", "contract_key", "status", "effective_from", "valid_to")
-    one = as_of_join(paid_contracts(spark, sf), people, "customer_id", "payment_at", "inner").drop("effective_from", "valid_to")
-    return as_of_join(one, deals, "contract_id", "payment_at", "inner").drop("effective_from", "valid_to")
+    one = as_of_join_by_window(paid_contracts(spark, sf), m.dim_customer_state(spark, sf), "customer_id", "payment_at", ["customer_key", "state"]).filter("customer_key IS NOT NULL")
+    return as_of_join_by_window(one, dim_contract(spark, sf), "contract_id", "payment_at", ["contract_key", "status"]).filter("contract_key IS NOT NULL")
 
 
 # --- order payments ------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute_hash, date_key, money, standardize
-from ..operators.history import as_of_join, current_records, date_dimension, dedupe_observations, scd2_fold, with_surrogate_key
+from ..operators.history import as_of_join_by_window, current_records, date_dimension, dedupe_observations, scd2_fold, with_surrogate_key
 
 # What the source's order statuses stand for here.
 STATUS = {"F": "DELIVERED", "O": "SHIPPED", "P": "PROCESSING"}
@@ -60,8 +60,12 @@ def dim_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(events: DataFrame) -> DataFrame:
     """State observations of users: all events but purchases; the event type is the state."""
-    e = table(spark, sf_dir, "events").filter("event_type <> 'purchase'")
+    e = events.filter("event_type <> 'purchase'")
     obs = e.select(
         F.col("user_id").alias("customer_id"), F.col("event_type").alias("state"), F.col("ts").alias("updated_at"), attribute_hash({"state": F.col("event_type")}).alias("attribute_hash"),
         F.col("event_id").alias("_ingested_at"), F.date_format("ts", "yyyyMMdd").alias("_batch_id"),
@@ -70,12 +74,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_customer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_states(observations(spark, sf_dir))
+
+
+def customer_states(observed: DataFrame) -> DataFrame:
     """Slowly changing dimension of user states with surrogate keys."""
-    return with_surrogate_key(scd2_fold(observations(spark, sf_dir), "customer_id", "attribute_hash", "updated_at"), "customer_id", "attribute_hash", "customer_key")
+    return with_surrogate_key(scd2_fold(observed, "customer_id", "attribute_hash", "updated_at"), "customer_id", "attribute_hash", "customer_key")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+    return purchases_of(table(spark, sf_dir, "events"))
+
+
+def purchases_of(events: DataFrame) -> DataFrame:
+    return events.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("payment_id"), F.col("user_id").alias("customer_id"), F.col("ts").alias("payment_at"), money(F.col("value")).alias("payment_value"), F.date_format("ts", "yyyyMMdd").alias("_batch_id")
     )
 
@@ -104,9 +116,12 @@ def fct_order_item(spark: SparkSession, sf_dir: str, items: DataFrame | None = N
 
 
 def fct_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments_in_state(purchases(spark, sf_dir), dim_customer_state(spark, sf_dir))
+
+
+def payments_in_state(paid: DataFrame, states: DataFrame) -> DataFrame:
     """Purchases with the state of the user in force at their time."""
-    versions = dim_customer_state(spark, sf_dir).select("customer_id", "customer_key", "state", "effective_from", "valid_to")
-    joined = as_of_join(purchases(spark, sf_dir), versions, "customer_id", "payment_at")
+    joined = as_of_join_by_window(paid, states, "customer_id", "payment_at", ["customer_key", "state"])
     return joined.select("payment_id", "customer_id", "customer_key", F.col("state").alias("state_at_payment"), date_key(F.col("payment_at")).alias("payment_date_key"), "payment_value", "_batch_id")
 
 

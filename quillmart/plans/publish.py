@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing, quality
+from ..sources.parts import table_metrics, write_observed
 from ..sources.pointer import Pointer
 
 
@@ -28,7 +29,7 @@ class Publisher:
 
     def __init__(self, spark: SparkSession, root: str, domains: dict[str, str]):
         self.spark, self.root, self.domains = spark, root, domains
-        self._current = Pointer(spark, root, "current", {"publish_id": None, "relations": {}, "held": [], "hashes": {}})
+        self._current = Pointer(spark, root, "current", {"publish_id": None, "relations": {}, "held": [], "hashes": {}, "rows": {}})
 
     def _pointer(self) -> dict:
         return self._current.read()
@@ -41,8 +42,8 @@ class Publisher:
         """
         run, old = uuid.uuid4().hex, self._pointer()
         paths = {name: f"{self.root}/runs/{run}/{name}" for name in tables}
-        for name, df in tables.items():
-            df.write.mode("errorifexists").parquet(paths[name])
+        # Each write counts and hashes what it writes, so no table is read again for that.
+        sums = {name: write_observed(df, paths[name], table_metrics(df)) for name, df in tables.items()}
         if callable(checks):
             checks = checks({name: self.spark.read.parquet(path) for name, path in paths.items()})
         decisions = {r.domain: r.decision for r in domain_decisions(quality.run_checks(checks)).collect()} if checks else {}
@@ -50,9 +51,9 @@ class Publisher:
             return []
         held = [n for n in tables if decisions.get(self.domains[n]) == "hold"]
         fresh = {n: paths[n] for n in tables if n not in held}
-        hashed = {r.relation: r.logical_hash for r in hashing.relation_hashes({n: self.spark.read.parquet(p) for n, p in fresh.items()}).collect()} if fresh else {}
-        new, hashes = old["relations"] | fresh, old["hashes"] | hashed
-        self._current.write({"publish_id": run, "relations": new, "held": held, "hashes": hashes})
+        new, hashes = old["relations"] | fresh, old["hashes"] | {n: hashing.hash_of(sums[n]) for n in fresh}
+        rows = old["rows"] | {n: int(sums[n]["n_rows"]) for n in fresh}
+        self._current.write({"publish_id": run, "relations": new, "held": held, "hashes": hashes, "rows": rows})
         return [n for n in new if hashes.get(n) != old["hashes"].get(n)]
 
     def published(self) -> dict[str, DataFrame]:
@@ -67,13 +68,17 @@ class Publisher:
     def hashes(self) -> dict[str, str]:
         return self._pointer()["hashes"]
 
+    def rows(self) -> dict[str, int]:
+        return self._pointer()["rows"]
+
 
 def export_serving(spark: SparkSession, publisher: Publisher, target: str, prefixes: tuple[str, ...]) -> DataFrame:
-    """Copies the published relations with these prefixes; returns the manifest: export and publish id, row counts, hashes."""
-    names = [n for n in publisher.published() if n.startswith(prefixes)]
-    counts = {}
-    for n in names:
-        publisher.published()[n].write.mode("errorifexists").parquet(f"{target}/{n}")
-        counts[n] = spark.read.parquet(f"{target}/{n}").count()
-    row = (uuid.uuid4().hex, publisher.live(), counts, {n: publisher.hashes()[n] for n in names})
+    """Copies the published relations with these prefixes; returns the manifest: export and publish id, row counts, hashes, as the copying counted them."""
+    tables = {n: df for n, df in publisher.published().items() if n.startswith(prefixes)}
+    sums = {n: write_observed(df, f"{target}/{n}", table_metrics(df)) for n, df in tables.items()}
+    hashes = {n: hashing.hash_of(s) for n, s in sums.items()}
+    if wrong := [n for n in tables if hashes[n] != publisher.hashes()[n]]:
+        raise ValueError(f"copies differ from what was published: {wrong}")
+    counts = {n: int(s["n_rows"]) for n, s in sums.items()}
+    row = (uuid.uuid4().hex, publisher.live(), counts, hashes)
     return spark.createDataFrame([row], "export_id string, publish_id string, row_counts map<string, bigint>, hashes map<string, string>")

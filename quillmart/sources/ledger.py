@@ -110,6 +110,24 @@ def orphan_objects(written: DataFrame, ledger: DataFrame) -> DataFrame:
     return written.join(ledger, ["source_table", "batch_id"], "left_anti")
 
 
+def unlisted_files(files: DataFrame, ledger: DataFrame, source_table: str, known: DataFrame | None = None) -> DataFrame:
+    """path, length, modified, batch_id and why of the files of a listing that no commit stands for.
+
+    UNCOMMITTED: the ledger has no such batch of the table. UNKNOWN_FILE: the batch is
+    committed, but the file is none of those that the commit named (known: path). NO_BATCH:
+    it lies outside the batch folders. Spark's own markers are no data files.
+    """
+    data = files.filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
+    batch = F.nullif(F.regexp_extract("path", r"/batch_id=([^/]+)/", 1), F.lit(""))
+    rows = ledger.filter(F.col("source_table") == source_table).select("batch_id", F.lit(True).alias("_there")).distinct()
+    found = data.withColumn("batch_id", batch).join(rows, "batch_id", "left")
+    why = F.when(F.col("batch_id").isNull(), "NO_BATCH").when(F.col("_there").isNull(), "UNCOMMITTED")
+    if known is not None:
+        found = found.join(known.select("path", F.lit(True).alias("_named")), "path", "left")
+        why = why.when(F.col("_named").isNull(), "UNKNOWN_FILE")
+    return found.withColumn("why", why).filter("why IS NOT NULL").select("path", "length", "modified", "batch_id", "why")
+
+
 def reconcile_orphans(orphans: DataFrame, manifests: DataFrame, last_committed: Column, runs: DataFrame | None = None) -> DataFrame:
     """accept, or the reasons against an orphan: no manifest, other rows or hash, not after the last commit.
 

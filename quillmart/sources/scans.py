@@ -22,6 +22,31 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
 
 
+#: The column that keeps a line that is no record of the schema.
+CORRUPT = "_corrupt_record"
+
+
+def read_permissive_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """Typed CSV and, for a line that is no record of the schema, its text in CORRUPT: too few or too many fields, a word for a number, an open quote."""
+    full = T.StructType([*(T.StructField(f.name, f.dataType) for f in schema), T.StructField(CORRUPT, T.StringType())])
+    read = spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True)
+    return read.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+
+
+def corrupt_kind(line: Column, n_fields: int) -> Column:
+    """SHORT, LONG, QUOTE (one stays open) or TYPE of a corrupt line, by its separators outside quotes."""
+    quotes = F.char_length(line) - F.char_length(F.replace(line, F.lit('"'), F.lit("")))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    fields = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    return F.when(quotes % 2 == 1, "QUOTE").when(fields < n_fields, "SHORT").when(fields > n_fields, "LONG").otherwise("TYPE")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, length and modified of the files under a folder, listed by Spark's own file index; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def export_csv_mirror(df: DataFrame, path: str, order: list[str]) -> None:
     """Range-partitioned, so that files follow the order without one task sorting all."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
