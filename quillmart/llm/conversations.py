@@ -21,14 +21,13 @@ import hashlib
 from collections.abc import Iterator
 from os.path import commonprefix
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, runs
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
 #: Costs of edits; an undeleted truncated row adds TRUNCATED.
@@ -138,22 +137,6 @@ def in_order(rows: DataFrame, *first: Column) -> DataFrame:
     return rows.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *first, F.col("turn").asc_nulls_first(), "role", "digest")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, pa.RecordBatch]]:
-    """Slices of the batches with one value of the first column each, and whether the value is new."""
-    started, last = False, None
-    for batch in batches:
-        keys = batch.column(0)
-        if not batch.num_rows:
-            continue
-        values, valid = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False), pc.is_valid(keys).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero((values[1:] != values[:-1]) | (valid[1:] != valid[:-1])) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            key = keys[a].as_py()
-            yield key, not started or key != last, batch.slice(a, b - a)
-            started, last = True, key
-
-
 class _Reading:
     """What is counted of a conversation while its rows pass."""
 

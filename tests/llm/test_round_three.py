@@ -273,3 +273,69 @@ def test_online_packing_of_nothing_and_of_many_tasks(spark, none, docs):
 
 def test_queries_are_registered():
     assert {"op11_centroid_clustering", "op12_conversation_repair", "op13_online_packing"} <= set(queries.QUERIES)
+
+
+# --- near copies ---------------------------------------------------------------------
+def shingles_of(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def templated(rng, pairs, template_words, own, tail):
+    """Pairs of pages on one template: `own` words of the pair, then `tail` words of the page."""
+    word = lambda: "w%d" % rng.randrange(10**9)
+    template = [word() for _ in range(template_words)]
+    out = []
+    for _ in range(pairs):
+        mine = [word() for _ in range(own)]
+        out += [" ".join(template + mine + [word() for _ in range(tail)]) for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 64])
+def test_pairs_on_one_template_are_all_linked(spark, block, monkeypatch):
+    from quillmart.llm import simhash
+    from quillmart.llm.common import materialize
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (block,))
+    rng = random.Random(8)
+    texts = templated(rng, 300, 400, 20, 33)
+    assert jaccard(texts[0], texts[1]) > 0.8 > jaccard(texts[0], texts[2]) > 0.75
+    texts += [texts[0]] * 40 + ["", None, "short text"]
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    both = sum(2 * k in kept and 2 * k + 1 in kept for k in range(300))
+    neither = sum(2 * k not in kept and 2 * k + 1 not in kept for k in range(300))
+    assert both <= 6 and neither == 0
+    assert kept & {640, 641} and 642 in kept and not kept & set(range(600, 640))
+
+
+def test_linked_rows_connect_what_a_plain_search_connects():
+    from quillmart.llm.simhash import linked_rows
+
+    rng = random.Random(1)
+    for trial in range(40):
+        pool = list(range(60))
+        base = [set(rng.sample(pool, 20)) for _ in range(3)]
+        sets = [s - {rng.choice(pool) for _ in range(2)} | {100 + rng.randrange(40)} for s in rng.choices(base, k=25)]
+        own = np.array([rng.randrange(2) if trial % 2 else 0 for _ in sets])
+        flat = np.array([x for s in sets for x in sorted(s)])
+        got = linked_rows(np.arange(25) * 10, own, np.array(list(map(len, sets))), flat, 0.8)
+        two = len(set(own)) > 1
+        label = list(range(25))
+        want = [(i, j) for i in range(25) for j in range(i) if (not two or own[i] != own[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        find = lambda x: x if label[x] == x else find(label[x])
+        for i, j in want:
+            label[find(i)] = find(j)
+        mine = list(range(25))
+        seek = lambda x: x if mine[x] == x else seek(mine[x])
+        for a, b in zip(*got):
+            mine[seek(a // 10)] = seek(b // 10)
+            assert find(a // 10) == find(b // 10)
+        assert len({(find(i), seek(i)) for i in range(25)}) == len({find(i) for i in range(25)}) == len({seek(i) for i in range(25)})
