@@ -108,14 +108,19 @@ def settled(docs: DataFrame) -> DataFrame:
     return docs if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias"} else materialize(docs)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as tell it from the columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken)
+
+
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs, whatever its columns, without the rows at the scan positions in rows (ROW).
 
     Positions are broadcast up to BROADCAST_ROWS of them, so that texts stay where
     they are; beyond that both sides are shuffled.
     """
-    taken = {c.lower() for c in docs.columns}
-    name = next(x for x in (ROW + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken)
+    name = free_name(docs, ROW)
     gone = materialize(rows.select(F.col(ROW).alias(name)))
     few = gone.count() <= BROADCAST_ROWS
     return docs.withColumn(name, F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone, name, "left_anti").drop(name)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, flat_words, keyed, materialize, place, raw_bytes, settled, slices, word_hashes
+from .common import ROW, flat_words, free_name, keyed, materialize, place, raw_bytes, settled, slices, word_hashes
 
 WINDOW = 10
 #: Most benchmark text in one broadcast.
@@ -100,12 +100,17 @@ class WindowSet:
         return spans, items
 
 
+def block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    """One for a benchmark whose texts are no longer than a block; else so many that blocks dealt by a hash are half full."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return 1 if size <= block_bytes else 2 * -(-size // block_bytes)
+
+
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
     """The benchmark's windows as broadcasts, in blocks of rows of bounded size, dealt by their place."""
     spark = benchmark.sparkSession
     rows = keyed(settled(benchmark), F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 if size <= block_bytes else 2 * -(-size // block_bytes)
+    blocks = block_count(benchmark, block_bytes)
     for b in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64(ROW), F.lit(blocks)) == b).select("item", "text")
         yield spark.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], window))
@@ -156,24 +161,47 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the words that windows of the benchmark hit cut out of the text, from a passage's first byte to its last; other texts stay as they are."""
+    """docs with the words that windows of the benchmark hit cut out of the text, from a passage's first byte to its last; other texts, null and empty ones too, stay as they are.
+
+    A benchmark of one block is cut out in the scan. Of a larger one the spans of all
+    blocks are gathered first, as what one block hits may begin another block's window.
+    """
+    name = next(c for c in docs.columns if c.lower() == "text")
+
+    def cut(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(name)
+        field = batch.schema.field(at)
+        return batch.set_column(at, field, pa.array([t if not s else _without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), spans)], field.type))
+
+    if block_count(benchmark, block_bytes) == 1:
+        return _in_scan(docs, benchmark, window, block_bytes, lambda batch, lists, spans: cut(batch, spans))
+    docs = settled(docs)
+    hit = materialize(scan(docs, benchmark, window, block_bytes).filter(F.size("spans") > 0).select(F.col(ROW).alias("_q_hit"), F.col("spans").alias("_q_spans")))
+    row = free_name(docs, ROW)
+    both = docs.withColumn(row, F.monotonically_increasing_id()).join(hit, F.col(row) == F.col("_q_hit"), "left").drop(row, "_q_hit")
 
-    def cut(batch: pa.RecordBatch, lists: list[list[bytes]], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-        at = batch.schema.get_field_index("text")
-        texts = [t if not s else _without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), spans)]
-        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), whole.schema.get_field_index(name)):
+                last = batch.num_columns - 1
+                yield cut(batch, batch.column(last).to_pylist()).select(range(last))
 
-    return _in_scan(docs, benchmark, window, block_bytes, cut)
+    return both.mapInArrow(joined, docs.schema)
 
 
 def _without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     raw = raw_bytes(text)
     at = [m.span() for m in WORD.finditer(raw)]
+    passages: list[list[int]] = []
+    for a, b in sorted(map(tuple, spans)):
+        if passages and a <= passages[-1][1]:
+            passages[-1][1] = max(passages[-1][1], b)
+        else:
+            passages.append([a, b])
     out, end = [], 0
-    for a, b in sorted(spans):
-        a, b = at[a][0], at[b - 1][1]
-        out.append(raw[end : max(a, end)])
-        end = max(end, b)
+    for a, b in passages:
+        out.append(raw[end : at[a][0]])
+        end = at[b - 1][1]
     return b"".join([*out, raw[end:]]).decode("utf-8", "surrogatepass")
 
 

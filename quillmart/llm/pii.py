@@ -177,8 +177,18 @@ def span_features(r) -> dict[str, float]:
     return {f"{r['kind']}": 1.0} | {f"{r['kind']} {x} {r[x]}": 1.0 for x in [*LABELERS, "f_digits"]}
 
 
+def apart_from_base(rows: DataFrame) -> DataFrame:
+    """The base candidates, and of the others those that touch no base span: a piece of what is found already teaches nothing."""
+    along = W.partitionBy(ROW).orderBy("start", F.desc("is_base"), "end")
+    base_end, base_start = F.when(F.col("is_base"), F.col("end")), F.when(F.col("is_base"), F.col("start"))
+    placed = rows.withColumns(
+        {"reach": F.max(base_end).over(along.rowsBetween(W.unboundedPreceding, 0)), "next": F.min(base_start).over(along.rowsBetween(0, W.unboundedFollowing))}
+    )
+    return placed.filter(F.col("is_base") | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))).drop("reach", "next")
+
+
 def added(rows: DataFrame) -> DataFrame:
-    """The candidates that are not base, that the classifier takes and that touch no base span."""
+    """The candidates that are not base and that the classifier takes."""
     features = [*LABELERS, "f_digits"]
     # Bounded: 4 kinds, 3 votes of 5 labelers, 6 feature values.
     table = rows.groupBy("kind", *features).agg(F.count("*").alias("n")).collect()
@@ -197,12 +207,7 @@ def added(rows: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         score = sum((F.coalesce(F.try_element_at(known, F.concat_ws(" ", "kind", F.lit(x), F.col(x))), F.lit(0.0)) for x in features), F.coalesce(F.try_element_at(known, F.col("kind")), F.lit(0.0)))
     scored = rows.withColumn("p", 1 / (1 + F.exp(-score)))
-    along = W.partitionBy(ROW).orderBy("start", F.desc("is_base"), "end")
-    base_end, base_start = F.when(F.col("is_base"), F.col("end")), F.when(F.col("is_base"), F.col("start"))
-    apart = scored.withColumns(
-        {"reach": F.max(base_end).over(along.rowsBetween(W.unboundedPreceding, 0)), "next": F.min(base_start).over(along.rowsBetween(0, W.unboundedFollowing))}
-    )
-    return apart.filter(~F.col("is_base") & (F.col("p") >= THRESHOLD) & (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))
+    return scored.filter(~F.col("is_base") & (F.col("p") >= THRESHOLD))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -214,7 +219,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Without candidates nothing is trained or added.
     """
     found = found_matches(docs, BASE | WIDE, NEEDS)
-    rows = materialize(candidates(located(found)))
+    rows = materialize(apart_from_base(candidates(located(found))))
     base = rows.filter("is_base").select(ROW, "kind", "start", "end", "is_base")
     spans = base.unionByName(added(rows).select(ROW, "kind", "start", "end", "is_base"))
     return with_digests(found, spans, KINDS)

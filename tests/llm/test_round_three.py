@@ -339,3 +339,57 @@ def test_linked_rows_connect_what_a_plain_search_connects():
             mine[seek(a // 10)] = seek(b // 10)
             assert find(a // 10) == find(b // 10)
         assert len({(find(i), seek(i)) for i in range(25)}) == len({find(i) for i in range(25)}) == len({seek(i) for i in range(25)})
+
+
+# --- what round two left --------------------------------------------------------------
+def test_passages_of_all_blocks_are_cut_at_once(spark, tmp_path):
+    from quillmart.llm import decontamination
+
+    w = [f"w{i}" for i in range(40)]
+    rng = random.Random(6)
+    texts = [" ".join(w[:15]), " ".join(w), None, "", "clean text " * 20] + [" ".join(rng.choice(w) for _ in range(5)) + " " + " ".join(w[a : a + 14]) for a in range(0, 26)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _q_row string")
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    items = spark.createDataFrame([(i, " ".join(w[a : a + 10])) for i, a in enumerate((0, 5, 12, 22, 29))] + [(99, None), (100, "")], "item_id long, text string")
+    one = decontamination.remove_passages(docs, items)
+    many = decontamination.remove_passages(docs, items, block_bytes=40)
+    assert decontamination.block_count(items, 40) > 1
+    key = lambda df: sorted((r.doc_id, str(r.text)) for r in df.collect())
+    assert key(one) == key(many) and many.columns == docs.columns
+    got = dict((r.doc_id, r.text) for r in many.collect())
+    assert got[0] == "" and got[2] is None and got[3] == "" and got[4] == texts[4]
+    assert decontamination.drop_contaminated(many, items).count() == len(texts)
+
+
+def test_pieces_of_base_spans_teach_nothing(spark):
+    from quillmart.llm import pii
+
+    rng = random.Random(3)
+    ips = [f"host 96.{rng.randint(100, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)} up and +1 (017) 555-{rng.randint(1000, 9999)} in" for _ in range(300)]
+    true = [f"call me at (0{rng.randint(20, 89)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)} today" for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(ips + true)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    wide = [i for i in range(300, 325) if "phone" in out[i].spans]
+    assert len(wide) >= 23
+    assert all(out[i].spans.count("phone") == 1 and out[i].spans.count(",") == 1 for i in range(300))
+
+
+def test_bins_close_on_a_whole_table_and_little_is_unused(spark):
+    from quillmart.llm import packing
+
+    rng = random.Random(12)
+    lengths = [min(2047, max(1, int(rng.lognormvariate(6.3, 0.9)))) for _ in range(9000)]
+    bins = packing.OpenBins(2048, packing.OPEN_BINS)
+    placed = packing.place_online(bins, lengths, packing.ARRIVALS)
+    assert bins.closed > 100 and bins.made <= 1.01 * sum(lengths) / 2048 + 1
+    used = Counter()
+    for (number, at), n in sorted(zip(placed, lengths)):
+        assert at == used[number]
+        used[number] += n
+    assert max(used.values()) <= 2048
+    rows = [(i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+    from quillmart.llm.common import materialize
+
+    packed = packing.pack(materialize(spark.createDataFrame(rows, packing.PIECES).repartition(4)))
+    assert packed.select("sequence_id").distinct().count() <= 1.01 * sum(lengths) / 2048 + 2
