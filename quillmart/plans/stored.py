@@ -247,3 +247,20 @@ def j16_replay_marts(spark: SparkSession, sf: str) -> DataFrame:
     again = hashing.relation_hashes(replayed(spark, path, book.rows(), bronze.schema, "2024-01-16T00:00:00Z"))
     then = spark.createDataFrame([(n, h, hashes[1][n]) for n, h in hashes[0].items()], "relation string, then string, now string")
     return again.join(then, "relation").select("relation", "n_rows", (F.col("logical_hash") == F.col("then")).alias("same_as_published"), (F.col("then") != F.col("now")).alias("changed_since"))
+
+
+# --- a source read by its cursor -------------------------------------------------------------
+@query("SELECT event_id, user_id, event_type, epoch_us(ts) AS at FROM events WHERE ts < TIMESTAMP '2024-01-25'")
+def a5_cursor_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as they arrive in three parts, streamed by their cursor; the query is stopped and started between the parts, in the middle of a day and between rows of one time."""
+    from ..streaming.cursor import read_cursor_stream
+
+    source, out, checkpoint = (scratch(spark) for _ in range(3))
+    e = m.table(spark, sf, "events").select(*EVENTS.schema.names).filter(F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz"))
+    cuts = [None, *[scans.bound(e, EVENTS, b) for b in (("2024-01-10 12:00:00", 3000), ("2024-01-20 00:00:00", 7000))], None]
+    for lower, upper in zip(cuts, cuts[1:]):
+        part = e if lower is None else e.filter(EVENTS.cursor_of() > lower)
+        (part if upper is None else part.filter(EVENTS.cursor_of() <= upper)).write.mode("append").parquet(source)
+        stream = read_cursor_stream(spark, source, EVENTS).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(EVENTS.schema).parquet(out).select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))

@@ -142,3 +142,88 @@ def test_tree_difference_joins_only_leaves_that_differ(spark):
     reached = hashing.placed_in_tree(left, ["k"], 64, 16).join(leaves.toDF("_bucket", "_leaf"), ["_bucket", "_leaf"], "left_semi").count()
     assert reached <= 10 * 20_000 // (64 * 16) * 2
     assert hashing.tree_difference(left, left, ["k"], 64, 16).isEmpty() and hashing.tree_difference(left.limit(0), right, ["k"], 4, 4).count() == right.count()
+
+
+# --- sources ----------------------------------------------------------------------------
+def test_a_cursor_stream_reads_each_row_once_over_restarts(spark, tmp_path):
+    from quillmart.sources.contracts import TableContract
+    from quillmart.streaming.cursor import read_cursor_stream
+
+    c = TableContract("t", ("id",), "at", "id bigint NOT NULL, at timestamp_ntz NOT NULL, v string")
+    source, start = str(tmp_path / "in"), dt(2026, 1, 1)
+    batches = []
+
+    def run():
+        sink = lambda df, n: batches.append([r.id for r in df.collect()])
+        q = read_cursor_stream(spark, source, c, 3).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    def add(ids, hours):
+        rows = [(i, start + timedelta(hours=hours(i)), f"v{i}") for i in ids]
+        spark.createDataFrame(rows, c.ddl.replace(" NOT NULL", "")).repartition(2).write.mode("append").parquet(source)
+
+    run()
+    assert sum(batches, []) == []
+    add(range(10), lambda i: i // 4)
+    run()
+    assert sorted(sum(batches, [])) == list(range(10))
+    run()
+    add(range(10, 25), lambda i: max(2, i // 8))  # the first ones share the last row's time: only their keys are greater
+    run()
+    assert sorted(sum(batches, [])) == list(range(25))
+
+
+def test_bucketed_facts_join_without_an_exchange(spark, monkeypatch):
+    from quillmart.plans import stored
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = stored.bucketed_sources(spark, "/root/testdata/sf0.001", 4)
+        for df in (stored.facts(spark, "", s["orders"].drop("customer_key"), s["items"]), stored.fct_order_payment_of(s["payments"], s["orders"])):
+            df.count()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_that_are_no_records_keep_their_text(spark, tmp_path):
+    from quillmart.sources.scans import CORRUPT, corrupt_kind, read_permissive_csv
+
+    lines = ['1,"a, b",2', "2,c", "3,d,4,5", '4,"open,5', "five,e,6", "6,,7", "7,f,x"]
+    (tmp_path / "t.csv").write_text("id,name,n\n" + "\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "id int, name string, n int").schema
+    got = read_permissive_csv(spark, str(tmp_path / "t.csv"), schema).cache()
+    rows = {(r.id, r.name, r.n) for r in got.filter(f"{CORRUPT} IS NULL").select("id", "name", "n").collect()}
+    assert rows == {(1, "a, b", 2), (6, None, 7)}
+    kinds = {r[0]: r.k for r in got.filter(f"{CORRUPT} IS NOT NULL").select(CORRUPT, corrupt_kind(F.col(CORRUPT), 3).alias("k")).collect()}
+    assert kinds == {"2,c": "SHORT", "3,d,4,5": "LONG", '4,"open,5': "QUOTE", "five,e,6": "TYPE", "7,f,x": "TYPE"}
+
+
+def test_files_without_a_commit_are_told_apart(spark, tmp_path):
+    from quillmart.sources import ledger, scans
+
+    root = str(tmp_path / "bronze")
+    spark.range(20).selectExpr("id", "CAST(id % 4 AS string) batch_id").repartition(1).write.partitionBy("batch_id").parquet(root)
+    named = scans.list_files(spark, root).select("path").cache()
+    assert named.count() == 4
+    spark.range(1).write.parquet(f"{root}/stray")
+    spark.range(3).write.mode("append").parquet(f"{root}/batch_id=1")
+    book = spark.createDataFrame([("t", "o", 3, b, dt(2026, 1, 1), 5, "h") for b in "012"] + [("other", "o", 3, "3", dt(2026, 1, 1), 5, "h")], ledger.LEDGER)
+    got = [(r.batch_id, r.why) for r in ledger.unlisted_files(scans.list_files(spark, root), book, "t", named).collect()]
+    assert set(got) == {("3", "UNCOMMITTED"), ("1", "UNKNOWN_FILE"), (None, "NO_BATCH")}
+    assert {(r.batch_id, r.why) for r in ledger.unlisted_files(scans.list_files(spark, root), book, "t").collect()} == {("3", "UNCOMMITTED"), (None, "NO_BATCH")}
+
+
+def test_a_copy_that_differs_from_its_publish_is_refused(spark, tmp_path):
+    from quillmart.plans.publish import Publisher, export_serving
+
+    pub = Publisher(spark, str(tmp_path / "pub"), {"fct_a": "orders"})
+    pub.publish({"fct_a": spark.range(10).repartition(3)}, [])
+    assert pub.rows() == {"fct_a": 10} and pub.hashes()["fct_a"] == hashing.logical_hash(spark.range(10)).first().logical_hash
+    row = export_serving(spark, pub, str(tmp_path / "ok"), ("fct_",)).first()
+    assert row.row_counts == {"fct_a": 10} and row.hashes == pub.hashes()
+    monkey = pub.published
+    pub.published = lambda: {"fct_a": monkey()["fct_a"].filter("id > 0")}
+    with pytest.raises(ValueError):
+        export_serving(spark, pub, str(tmp_path / "bad"), ("fct_",))
