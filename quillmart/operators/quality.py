@@ -188,6 +188,24 @@ def unparsable(raw: DataFrame, types: dict[str, str]) -> DataFrame:
     return raw.agg(*bad).select(F.expr(f"stack({len(types)}, {stacked}) AS (column_name, n_bad)"))
 
 
+def strict(text: Column, kind: str) -> Column:
+    """A text as the kind that a seed column has, null if it is not that: `integer` takes whole numbers only, also ones written 3.0 or 3e0; `money` is rounded half to even at two decimals; `timestamp` is in UTC unless it says an offset."""
+    if kind == "integer":
+        number = text.try_cast("decimal(38,10)")
+        return F.when(number == F.floor(number), number.try_cast("bigint"))
+    if kind == "money":
+        return F.bround(text.try_cast("decimal(38,10)"), 2).try_cast("decimal(14,2)")
+    if kind == "timestamp":
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    raise ValueError(f"no such kind of column: {kind}")
+
+
+def strict_errors(raw: DataFrame, kinds: dict[str, str], required: tuple[str, ...] = ()) -> Column:
+    """The names of the columns that do not read as their kind, and of required ones that are empty, in order."""
+    bad = [F.when(F.col(c).isNotNull() & strict(F.col(c), k).isNull() | (F.col(c).isNull() if c in required else F.lit(False)), c) for c, k in kinds.items()]
+    return F.filter(F.array(*bad), lambda x: x.isNotNull())
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds _violations: the names of the rules (true where broken) that a row breaks, in order."""
     return df.withColumn("_violations", F.filter(F.array(*[F.when(c, k) for k, c in rules.items()]), lambda x: x.isNotNull()))

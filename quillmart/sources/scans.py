@@ -52,9 +52,10 @@ def export_csv_mirror(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
 
 
-def dataset_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """name, sha256 for each file, read by Spark."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+def dataset_checksum(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """name, sha256 for each file, read by Spark; the name is a function of `path`, the file's own if not given."""
+    own = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(path).select((own if name is None else name).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 def combined_checksum(files: DataFrame) -> DataFrame:
