@@ -49,11 +49,6 @@ def staged_and_raw(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, D
     }
 
 
-def spoilt(df: DataFrame, column: str, every: int) -> DataFrame:
-    """df with the column null for the keys whose hash is a multiple of `every`."""
-    return df.withColumn(column, F.when(F.crc32(F.col("k").cast("string").cast("binary")) % every != 0, F.col(column)))
-
-
 @query(f"""WITH {ITEMS}, {k.CONTRACT_OBS}, n AS (
     SELECT 'stg_orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'stg_order_items', count(*) FROM items_m UNION ALL SELECT 'stg_order_payments', count(*) FROM orders UNION ALL SELECT 'dim_product', count(*) FROM part
     UNION ALL SELECT 'dim_seller', count(*) FROM supplier UNION ALL SELECT 'dim_customer_geo', count(*) FROM customer UNION ALL SELECT 'stg_states', count(*) FROM (SELECT DISTINCT user_id, ts, event_type FROM events WHERE event_type <> 'purchase')
@@ -63,13 +58,14 @@ def i20_staging_models(spark: SparkSession, sf: str) -> DataFrame:
     """Each staging function's columns against the source's: none is wrong, and a spoilt one is found in as many rows as it was spoilt in."""
     out = []
     for name, (staged, raw, pairs) in staged_and_raw(spark, sf).items():
-        wrong = quality.mapping_differences(staged, raw, "k", pairs).agg(F.sum("n_rows").alias("n_wrong"))
         first = next(iter(pairs))
-        hit = spoilt(staged, first, 7)
-        found = quality.mapping_differences(hit, raw, "k", {first: pairs[first]}).agg(F.sum("n_rows").alias("found"))
-        there = staged.agg(F.count("*").alias("n_rows"), F.count_if((F.crc32(F.col("k").cast("string").cast("binary")) % 7 == 0) & F.col(first).isNotNull()).alias("spoilt"))
+        hit = F.crc32(F.col("k").cast("string").cast("binary")) % 7 == 0
+        both = staged.withColumn("spoilt", F.when(~hit, F.col(first)))
+        wrong = quality.mapping_differences(both, raw, "k", pairs | {"spoilt": pairs[first]})
+        counts = wrong.agg(F.sum(F.when(F.col("column_name") != "spoilt", F.col("n_rows"))).cast("int").alias("n_wrong"), F.sum(F.when(F.col("column_name") == "spoilt", F.col("n_rows"))).alias("found"))
+        there = staged.agg(F.count("*").alias("n_rows"), F.count_if(hit & F.col(first).isNotNull()).alias("hit"))
         # One row each.
-        out.append(there.crossJoin(wrong).crossJoin(found).select(F.lit(name).alias("model"), "n_rows", F.col("n_wrong").cast("int").alias("n_wrong"), (F.col("found") == F.col("spoilt")).alias("finds_spoilt")))
+        out.append(there.crossJoin(counts).select(F.lit(name).alias("model"), "n_rows", "n_wrong", (F.col("found") == F.col("hit")).alias("finds_spoilt")))
     return reduce(DataFrame.unionByName, out)
 
 

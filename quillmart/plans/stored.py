@@ -71,8 +71,9 @@ def merged_facts(spark: SparkSession, sf: str) -> PartitionedTable:
     """fct_order by month after two runs. The first has read orders up to July, some of them under an earlier day, and lines shipped up to August."""
     after = lambda c, day: F.col(c) > F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
     orders, items = stored(m.stg_orders(spark, sf)), stored(m.stg_order_items(spark, sf))
-    moved = orders.filter("order_id % 900 = 7").select("order_id")
-    early = orders.filter(~after("purchase_at", "2001-07-01")).withColumn("purchase_at", F.when(F.col("order_id") % 900 == 7, F.col("purchase_at") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("purchase_at")))
+    is_moved = (F.col("order_id") % 90 == 7) & after("purchase_at", "2001-03-01")
+    moved = orders.filter(is_moved).select("order_id")
+    early = orders.filter(~after("purchase_at", "2001-07-01")).withColumn("purchase_at", F.when(is_moved, F.col("purchase_at") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("purchase_at")))
     first = facts(spark, sf, early, items.filter(~after("shipped_at", "2001-08-01")))
     table = PartitionedTable(spark, scratch(spark), "order_month", first.schema)
     merge_facts(table, stored(first), spark.createDataFrame([], "order_id bigint"), ["order_id"], "20010701")

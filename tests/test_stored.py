@@ -227,3 +227,27 @@ def test_a_copy_that_differs_from_its_publish_is_refused(spark, tmp_path):
     pub.published = lambda: {"fct_a": monkey()["fct_a"].filter("id > 0")}
     with pytest.raises(ValueError):
         export_serving(spark, pub, str(tmp_path / "bad"), ("fct_",))
+
+
+def test_strict_types_of_seed_columns(spark):
+    from quillmart.operators.quality import strict, strict_errors
+
+    rows = [("3", "1.005", "2026-01-01"), ("3.0", "2.125", "2026-01-01 10:00:00+09:00"), ("3e0", "-7", "2026-01-01T10:00:00Z"), ("3.5", "x", "soon"), (None, None, None), ("1e40", "1e40", "01/02/2026")]
+    df = spark.createDataFrame(rows, "n string, m string, t string")
+    kinds = {"n": "integer", "m": "money", "t": "timestamp"}
+    got = df.select(*[strict(F.col(c), k).cast("string").alias(c) for c, k in kinds.items()], strict_errors(df, kinds, ("t",)).alias("e")).collect()
+    assert [tuple(r)[:3] for r in got] == [
+        ("3", "1.00", "2026-01-01 00:00:00"), ("3", "2.12", "2026-01-01 01:00:00"), ("3", "-7.00", "2026-01-01 10:00:00"), (None, None, None), (None, None, None), (None, None, None),
+    ]
+    assert [r.e for r in got] == [[], [], [], ["n", "m", "t"], ["t"], ["n", "m", "t"]]
+    with pytest.raises(ValueError):
+        strict(F.col("n"), "colour")
+
+
+def test_serving_status_comes_from_publishes_that_took_place(spark):
+    from quillmart.plans.rules import serving_status
+
+    rows = [("a", "r1", True, False), ("a", "r2", True, True), ("a", "r3", False, False), ("a", "r4", True, True), ("b", "r1", True, True), ("c", "r1", True, False)]
+    as_of = spark.createDataFrame([("a", dt(2026, 1, 1)), ("d", dt(2026, 1, 2))], "domain string, as_of timestamp")
+    got = {r.domain: (r.refreshed_at, r.is_held, r.consecutive_holds) for r in serving_status(spark.createDataFrame(rows, "domain string, run_id string, published boolean, held boolean"), as_of).collect()}
+    assert got == {"a": ("r1", True, 2), "b": (None, True, 1), "c": ("r1", False, 0), "d": (None, None, None)}
