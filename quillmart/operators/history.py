@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import BEGINNING, date_key, surrogate_key
+from ..sources.scratch import stored
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -138,11 +139,10 @@ def date_dimension(days: DataFrame, at: str) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Rows numbered from 0 in an order, by range partitions and their offsets.
 
-    df must be a table scan or otherwise repeatable: the rows are ranged twice.
+    The ranged rows are stored, as a range partition that is made again may be cut elsewhere.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else ranged.persist()
+    ranged = stored(df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # A row for each range partition.

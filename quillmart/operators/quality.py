@@ -39,8 +39,11 @@ def validate(df: DataFrame, contract: TableContract, parents: dict[str, DataFram
     df = df.withColumn("_claim", F.row_number().over(W.partitionBy(*contract.keys, "_spread").orderBy(*order))).drop("_spread")
     missing: list[Column] = []
     for i, (column, parent) in enumerate((parents or {}).items()):
-        known = parent.select(F.col(column).cast("string").alias(f"_p{i}")).distinct()
-        df = df.join(known, F.col(column).cast("string") == F.col(f"_p{i}"), "left")
+        # Keys of one type are compared as they are, others by their text.
+        alike = df.schema[column].dataType == parent.schema[column].dataType
+        key = F.col(column) if alike else F.col(column).cast("string")
+        known = parent.select(key.alias(f"_p{i}")).distinct()
+        df = df.join(known, key == F.col(f"_p{i}"), "left")
         missing.append(F.when(F.col(column).isNotNull() & F.col(f"_p{i}").isNull(), BROKEN_REFERENCE))
     codes = [F.when(key_null, KEY_NULL), F.when(~key_null & (F.col("_claim") > 1), BATCH_DUPLICATE)]
     for f in contract.schema:

@@ -6,10 +6,6 @@ and run reports are all derived from the rows themselves.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +14,7 @@ from ..operators import hashing, incremental, quality
 from ..operators.history import keep_first, newest, scd2_fold, with_surrogate_key
 from ..sources import ledger, scans
 from ..sources.contracts import EVENTS, TableContract
+from ..sources.scratch import scratch, stored
 from . import model as m
 from .registry import ITEMS, ORDERS, VERSIONS, query
 
@@ -26,22 +23,6 @@ LOWER, UPPER = ("2024-01-10 00:00:00", 3000), ("2024-01-20 00:00:00", 7000)
 DAY = "strftime(ts, '%Y%m%d')"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a query's own tables: in spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/quillmart/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to a folder of their own and read back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return m.table(spark, sf, "events").select(*EVENTS.schema.names)
 
