@@ -138,7 +138,7 @@ def fct_order_payment_of(payments: DataFrame, orders: DataFrame) -> DataFrame:
 def j11_bucketed_fct_order(spark: SparkSession, sf: str) -> DataFrame:
     """Orders and the totals of their lines, both stored in buckets of the order: no exchange."""
     s = bucketed_sources(spark, sf)
-    return facts(spark, sf, s["orders"].drop("customer_key"), s["items"])
+    return facts(spark, sf, s["orders"].drop("customer_key"), s["items"]).select(*FACT)
 
 
 def j13_bucketed_order_payment(spark: SparkSession, sf: str) -> DataFrame:
