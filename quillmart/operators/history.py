@@ -109,20 +109,24 @@ def hot_key_cuts(events: DataFrame, key: str, at: str, slice_rows: int) -> DataF
     """_key and _cuts (times in microseconds, ascending) for keys with over slice_rows events; None if there are none.
 
     Keys are counted first, and only hot ones' times are looked at: by mergeable
-    sketches, so no task holds a key's events. There is at most a key for each
+    sketches, so no task holds a key's events. Keys of like counts get as many cuts as
+    the largest of them needs, so all cuts together are at most some four for each
     slice_rows events.
     """
     counts = events.filter(F.col(at).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter((F.col("_n") > slice_rows) & F.col("_key").isNotNull())
-    hot = [(r["_key"], -(-r["_n"] // slice_rows)) for r in counts.collect()]
-    if not hot:
+    alike: dict[int, list] = {}
+    for r in counts.collect():
+        alike.setdefault((-(-r["_n"] // slice_rows) - 1).bit_length(), []).append(r["_key"])
+    if not alike:
         return None
     spark, kind = events.sparkSession, events.schema[key].dataType
-    keys = F.broadcast(spark.createDataFrame([(k,) for k, _ in hot], T.StructType([T.StructField("_key", kind)])))
-    most = max(n for _, n in hot)
-    mine = events.select(F.col(key).alias("_key"), micros(F.col(at)).alias("_t")).join(keys, "_key", "left_semi")
-    # All hot keys get the cuts of the hottest: a row for each key.
-    found = mine.groupBy("_key").agg(F.percentile_approx("_t", [k / most for k in range(1, most)], 100 * most).alias("_cuts"))
-    rows = [(r["_key"], sorted(set(r["_cuts"]))) for r in found.collect()]
+    rows = []
+    for power, keys in alike.items():
+        n = 1 << power
+        wanted = F.broadcast(spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("_key", kind)])))
+        mine = events.select(F.col(key).alias("_key"), micros(F.col(at)).alias("_t")).join(wanted, "_key", "left_semi")
+        found = mine.groupBy("_key").agg(F.percentile_approx("_t", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("_cuts"))
+        rows += [(r["_key"], sorted(set(r["_cuts"]))) for r in found.collect()]
     return F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField("_key", kind), T.StructField("_cuts", T.ArrayType(T.LongType()))])))
 
 

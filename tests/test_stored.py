@@ -251,3 +251,15 @@ def test_serving_status_comes_from_publishes_that_took_place(spark):
     as_of = spark.createDataFrame([("a", dt(2026, 1, 1)), ("d", dt(2026, 1, 2))], "domain string, as_of timestamp")
     got = {r.domain: (r.refreshed_at, r.is_held, r.consecutive_holds) for r in serving_status(spark.createDataFrame(rows, "domain string, run_id string, published boolean, held boolean"), as_of).collect()}
     assert got == {"a": ("r1", True, 2), "b": (None, True, 1), "c": ("r1", False, 0), "d": (None, None, None)}
+
+
+def test_a_snapshot_over_jdbc_is_read_in_slices(spark, tmp_path):
+    from quillmart.sources import scans
+
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    own = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(500).selectExpr("id * 3 AS k", "CAST(id % 7 AS int) AS v").unionByName(spark.createDataFrame([(None, 9)], "k bigint, v int"))
+    rows.toDF("K", "V").coalesce(1).write.jdbc(url, "T", properties=own)
+    parts = scans.slices(spark.read.jdbc(url, "T", properties=own), "K", 4)
+    got = scans.read_snapshot(spark, url, "T", parts, own)
+    assert got.rdd.getNumPartitions() == 4 and sorted((str(r.K), r.V) for r in got.collect()) == sorted((str(r.k), r.v) for r in rows.collect())
