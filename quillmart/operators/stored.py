@@ -91,7 +91,7 @@ class StoredDimension:
         last = old.filter("is_current").select(key, F.col("_last_seen").alias("_before"))
         first_new = fresh.groupBy(key).agg(F.min(at).alias("_from"), F.max(at).alias("_upto"))
         # A row for each key with something new: when that begins, how far it reaches, and whether it comes before something seen.
-        plan = first_new.join(last, key, "left").withColumn("_late", F.coalesce(F.col("_from") <= F.col("_before"), F.lit(False)))
+        plan = self._stage(first_new.join(last, key, "left").withColumn("_late", F.coalesce(F.col("_from") <= F.col("_before"), F.lit(False))))
         late = plan.filter("_late").select(key)
         again = self._fold(seen.join(late, key, "left_semi").unionByName(fresh.join(late, key, "left_semi")).drop("_bucket"))
         on = self._continued(old, fresh, plan.filter("NOT _late").select(key))
