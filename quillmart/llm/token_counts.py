@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, materialize, settled, shared_dir
+from .common import BROADCAST_ROWS, ROW, keyed, materialize, settled, shared_dir
 from .encoder import encoder
 
 CACHE = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
@@ -45,8 +45,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     their row; a null doc_id stays null. An empty table gives no rows and leaves
     the cache as it is. The content key is the text itself, byte for byte, as any
     normalisation could change its count. Copies of a text are encoded once: the
-    representative row is chosen from (digest, row key) pairs alone and texts
-    move once, dealt by the row key, which no group can make uneven.
+    representative row is chosen from (digest, row key) pairs alone. Rows to encode
+    are told by their scan position: up to BROADCAST_ROWS positions are broadcast, so
+    that texts stay where they are; beyond that texts move once, dealt by position,
+    which no group can make uneven. If nothing misses, texts are read for their digests alone.
     """
     spark, version, docs = docs.sparkSession, tokenizer_version(tokenizer), settled(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -56,7 +58,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     misses = (
         digests.groupBy("content_sha256").agg(F.min(ROW).alias(ROW))
         .join(stored, "content_sha256", "left_anti")
+        .select(ROW)
     )
+    misses = materialize(misses)
+    n = misses.count()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -65,8 +70,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
             counts = [len(x) // 4 for at in range(0, batch.num_rows, 256) for x in enc.encode(batch.column(1).slice(at, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["content_sha256", "tokenizer_sha256", "n_tokens"])
 
-    fresh = rows.select(ROW, "text").join(misses, ROW).select("content_sha256", "text").mapInArrow(lengths, CACHE)
-    fresh.write.mode("append").parquet(cache_path)
+    if n:
+        chosen = rows.select(ROW, "text").join(F.broadcast(misses) if n <= BROADCAST_ROWS else misses, ROW)
+        chosen.select(F.sha2("text", 256).alias("content_sha256"), "text").mapInArrow(lengths, CACHE).write.mode("append").parquet(cache_path)
     cache = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version)
     if cache.count() > 2 * digests.count():  # a cache of many runs: only this run's contents are copied
         cache = cache.join(digests.select("content_sha256").distinct(), "content_sha256", "left_semi")

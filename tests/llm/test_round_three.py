@@ -393,3 +393,43 @@ def test_bins_close_on_a_whole_table_and_little_is_unused(spark):
 
     packed = packing.pack(materialize(spark.createDataFrame(rows, packing.PIECES).repartition(4)))
     assert packed.select("sequence_id").distinct().count() <= 1.01 * sum(lengths) / 2048 + 2
+
+
+def test_a_large_benchmark_is_joined_in_one_scan(spark, tmp_path):
+    """Passages that repeat in documents and in many items, items shorter than a window, and no scan of the documents beyond one."""
+    from quillmart.llm import decontamination
+
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = text(30)
+    items = [(i, f"{text(rng.randint(0, 12))} {shared} {text(5)}") for i in range(40)] + [(i, text(rng.randint(1, 9))) for i in range(40, 60)] + [(None, text(25)), (61, None), (61, ""), (0, shared)]
+    texts = [text(rng.randint(0, 80)) for _ in range(150)] + [f"{text(3)} {shared} " * rng.randint(1, 40) for _ in range(20)]
+    texts += [items[k][1] for k in range(30, 61)] + [None, "", "ÄÖ 漢字 " + shared.upper()] + [text(60_000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs, bench = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in df.collect())
+    one, many = decontamination.scan(docs, bench), decontamination.scan(docs, bench, block_bytes=500)
+    assert key(one) == key(many) and sum(r.n_hit > 0 for r in many.collect()) > 50
+    assert not any(str(tmp_path) in f for f in many.inputFiles())  # the windows are written out: nothing reads the texts again
+
+
+def test_texts_that_are_counted_are_not_written_again(spark, tmp_path):
+    import public_tokenizers
+
+    from quillmart.llm import token_counts
+
+    rng = random.Random(22)
+    rows = [(i, " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(i % 40))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs, path = spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "cache")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    key = lambda df: sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in df.collect())
+    first = key(token_counts.count_tokens(docs, tokenizer, path))
+    files = sorted(spark.read.parquet(path).inputFiles())
+    assert key(token_counts.count_tokens(docs, tokenizer, path)) == first
+    assert sorted(spark.read.parquet(path).inputFiles()) == files
+    more = docs.unionByName(spark.createDataFrame([(200, "a new text"), (201, rows[30][1])], "doc_id long, text string"))
+    again = key(token_counts.count_tokens(more, tokenizer, path))
+    assert again[:200] == first and again[201][1:] == again[30][1:]
+    assert spark.read.parquet(path).count() == len({t for _, t in rows}) + 1
