@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Row key of one scan of the input; operators never let it out.
 ROW = "_q_row"
-#: Most row keys that are broadcast, some 16 bytes each; more are joined by a shuffle.
+#: Most row keys that are broadcast, some 70 bytes each as the driver holds them; more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
