@@ -116,8 +116,10 @@ def i12_open_contracts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {AFFECTED} SELECT order_id + 10000000 AS order_id FROM affected WHERE order_id % 5 = 0")
 def i17_affected_keys_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Affected keys that no order has: every fifth of them is moved out of range."""
-    off = F.when(F.col("order_id") % 5 == 0, 10_000_000).otherwise(0)
-    return quality.relationships(affected_orders(spark, sf).select((F.col("order_id") + off).alias("order_id")), "order_id", m.table(spark, sf, "orders"), "o_orderkey")
+    # Below zero, where no order is: orders may reach beyond any number added.
+    moved = F.when(F.col("order_id") % 5 == 0, -1 - F.col("order_id")).otherwise(F.col("order_id"))
+    found = quality.relationships(affected_orders(spark, sf).select(moved.alias("order_id")), "order_id", m.table(spark, sf, "orders"), "o_orderkey")
+    return found.select(F.when(F.col("order_id") < 0, 10_000_000 - 1 - F.col("order_id")).otherwise(F.col("order_id")).alias("order_id"))
 
 
 @query("SELECT o_orderkey AS order_id FROM orders WHERE (o_orderstatus = 'F') <> (o_orderpriority IN ('1-URGENT', '2-HIGH'))")

@@ -190,10 +190,11 @@ def a26_observed_manifest(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT o_orderkey + 1000000000, 'right_only' FROM orders WHERE o_orderkey % 900 = 2""")
 def l5_tree_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Orders that two builds differ in; rows in leaves of equal digests never reach the join."""
-    left = m.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus")
+    left = m.table(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus")
     right = left.filter("k % 500 <> 0").withColumn("o_custkey", F.when(F.col("k") % 777 == 1, -1).otherwise(F.col("o_custkey")))
-    right = right.unionByName(left.filter("k % 900 = 2").withColumn("k", F.col("k") + 1_000_000_000))
-    return hashing.tree_difference(left, right, ["k"])
+    # Of another source, which may use an order's number: the key is both.
+    right = right.unionByName(left.filter("k % 900 = 2").withColumns({"source": F.lit("other"), "k": F.col("k") + 1_000_000_000}))
+    return hashing.tree_difference(left, right, ["source", "k"]).select("k", "status")
 
 
 @query("""WITH c AS (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'SHORT' WHEN c_custkey % 13 = 0 THEN 'LONG' WHEN c_custkey % 17 = 0 THEN 'QUOTE' WHEN c_custkey % 19 = 0 THEN 'TYPE' ELSE '' END AS kind FROM customer)
