@@ -86,12 +86,12 @@ def as_of_join_by_window(events: DataFrame, versions: DataFrame, key: str, at: s
     if cuts is None:
         by = ["_key"]
     else:
-        by = ["_key", "_slice"]
-        before = lambda x, upto: F.coalesce(F.size(F.filter("_cuts", lambda c: (c <= x) if upto else (c < x))), F.lit(0))
-        e = e.join(cuts, "_key", "left").withColumn("_slice", F.greatest(before(micros(F.col("_at")), True), F.lit(0))).drop("_cuts")
-        ends = F.when(F.col("_to").isNull(), F.greatest(F.size("_cuts"), F.lit(0))).otherwise(F.greatest(before(micros(F.col("_to")), False), F.lit(0)))
-        v = v.join(cuts, "_key", "left").withColumn("_first", F.greatest(before(micros(F.col("_at")), True), F.lit(0)))
-        v = v.withColumn("_slice", F.explode(F.sequence("_first", F.greatest("_first", F.coalesce(ends, F.lit(0)))))).drop("_cuts", "_first")
+        by, levels = ["_key", "_slice"], cut_levels(cuts)
+        e = e.withColumn("_x", micros(F.col("_at"))).transform(with_cuts_before, levels, "_x", "_slice", True).drop("_x")
+        # A version without an end reaches the last slice.
+        ends = {"_x": micros(F.col("_at")), "_y": F.when(F.col("_to").isNull(), (1 << 63) - 1).otherwise(micros(F.col("_to")))}
+        v = v.withColumns(ends).transform(with_cuts_before, levels, "_x", "_first", True).transform(with_cuts_before, levels, "_y", "_upto", False)
+        v = v.withColumn("_slice", F.explode(F.sequence("_first", F.greatest("_first", "_upto")))).drop("_x", "_y", "_first", "_upto")
     both = e.unionByName(v, allowMissingColumns=True)
     along = W.partitionBy(*by).orderBy("_at", "_is_event", F.col("_to").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_is_event") == 0, F.struct("_to", "_v")), ignorenulls=True).over(along)
@@ -130,6 +130,40 @@ def hot_key_cuts(events: DataFrame, key: str, at: str, slice_rows: int) -> DataF
     return F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField("_key", kind), T.StructField("_cuts", T.ArrayType(T.LongType()))])))
 
 
+#: Cuts that a row is held against at once.
+CUT_FANOUT = 64
+
+
+def cut_levels(cuts: DataFrame) -> list[DataFrame]:
+    """The cuts of each key as a search tree, a table for each level from the root down: _key, _node and _part, CUT_FANOUT ascending cuts at most.
+
+    The number of levels is the logarithm of the most cuts of a key.
+    """
+    at = lambda c: F.explode(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CUT_FANOUT).cast("int"))).alias("_node")
+    most = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    left, out = cuts.filter(F.size("_cuts") > 0), []
+    while True:
+        out.append(F.broadcast(left.select("_key", at(F.col("_cuts")), "_cuts").select("_key", "_node", F.slice("_cuts", F.col("_node") * CUT_FANOUT + 1, CUT_FANOUT).alias("_part"))))
+        if most <= CUT_FANOUT:
+            return out[::-1]
+        # The level above tells the parts by the cuts that they begin with, but for the first part's.
+        most = (most - 1) // CUT_FANOUT
+        left = left.filter(F.size("_cuts") > CUT_FANOUT).withColumn("_cuts", F.filter("_cuts", lambda _, i: (i > 0) & (i % CUT_FANOUT == 0)))
+
+
+def with_cuts_before(df: DataFrame, levels: list[DataFrame], x: str, name: str, upto: bool) -> DataFrame:
+    """Adds how many of the key's cuts are below the number x, or equal to it if upto; 0 for a key without cuts.
+
+    A row is held against CUT_FANOUT cuts a level and carries no more of them, however many its key has.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for level in levels:
+        df = df.join(level.withColumnRenamed("_node", name), ["_key", name], "left")
+        below = F.filter("_part", lambda c: (c <= F.col(x)) if upto else (c < F.col(x)))
+        df = df.withColumn(name, F.col(name) * CUT_FANOUT + F.greatest(F.size(below), F.lit(0))).drop("_part")
+    return df
+
+
 def date_dimension(days: DataFrame, at: str) -> DataFrame:
     """A row for each day from the first to the last of `at`; Sunday is day 0 of the week."""
     ends = days.agg(F.min(F.to_date(at)).alias("lo"), F.max(F.to_date(at)).alias("hi")).filter("lo IS NOT NULL")

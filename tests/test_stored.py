@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmart.operators import hashing
-from quillmart.operators.history import as_of_join, as_of_join_by_window, hot_key_cuts, scd2_fold, with_surrogate_key
+from quillmart.operators.history import CUT_FANOUT, as_of_join, as_of_join_by_window, cut_levels, hot_key_cuts, scd2_fold, with_cuts_before, with_surrogate_key
 from quillmart.operators.stored import StoredDimension, merge_facts
 from quillmart.sources.parts import PartitionedTable, table_metrics, write_observed
 
@@ -130,6 +130,17 @@ def test_slices_of_a_hot_key_are_bounded(spark):
     assert hot_key_cuts(events, "k", "t", 10_000) is None
 
 
+@pytest.mark.parametrize("most", [0, 1, 64, 65, 128, 129, 5000])
+def test_a_row_is_held_against_few_of_many_cuts(spark, most):
+    cuts = {"hot": [3 * i for i in range(most)], "warm": [5, 7], "cold": []}
+    levels = cut_levels(spark.createDataFrame(list(cuts.items()), "_key string, _cuts array<long>"))
+    assert len(levels) <= 3 and max((len(r["_part"]) for t in levels for r in t.collect()), default=0) <= CUT_FANOUT
+    rows = [(k, x) for k in [*cuts, "none"] for x in [-1, 0, 1, 5, 6, 189, 190, 192, 193, 384, 387, 3 * most, 1 << 60]]
+    df = spark.createDataFrame(rows, "_key string, x long").transform(with_cuts_before, levels, "x", "upto", True).transform(with_cuts_before, levels, "x", "below", False)
+    want = sorted((k, x, sum(c <= x for c in cuts.get(k, [])), sum(c < x for c in cuts.get(k, []))) for k, x in rows)
+    assert sorted((r["_key"], r["x"], r["upto"], r["below"]) for r in df.collect()) == want
+
+
 def test_tree_difference_joins_only_leaves_that_differ(spark):
     left = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 13).alias("x"))
     right = left.filter("k % 5000 <> 1").withColumn("x", F.when(F.col("k") % 4000 == 2, -1).otherwise(F.col("x"))).unionByName(spark.createDataFrame([(-5, 1)], "k long, x long"))
