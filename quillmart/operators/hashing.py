@@ -22,10 +22,13 @@ SUMS = ("n_rows", "s0", "s1", "s2", "s3")
 
 def digest_sums(digest: Column, only: Column | None = None) -> list[Column]:
     """The row count and four sums over the numbers that each row's digest is cut into, of the rows for which `only` holds."""
-    lanes = [F.conv(F.substring(digest, 16 * i + 1, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    if only is None:
-        return [F.count("*").alias("n_rows"), *[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, x in enumerate(lanes)]]
-    return [F.count_if(only).alias("n_rows"), *[F.coalesce(F.sum(F.when(only, x)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, x in enumerate(lanes)]]
+    out = [F.count("*") if only is None else F.count_if(only)]
+    for i in range(4):
+        lane = F.conv(F.substring(digest, 16 * i + 1, 15), 16, 10).cast("bigint")
+        # Halves of 30 bits add up in longs, up to 2 ** 33 rows; beyond that the sum fails.
+        total = lambda x: F.coalesce(F.sum(x if only is None else F.when(only, x)), F.lit(0)).cast("decimal(20,0)")
+        out.append((total(F.shiftright(lane, 30)) * F.lit(1 << 30).cast("decimal(10,0)") + total(lane.bitwiseAND(F.lit((1 << 30) - 1)))).cast("decimal(38,0)"))
+    return [c.alias(name) for c, name in zip(out, SUMS)]
 
 
 def hash_of(sums: dict[str, int]) -> str:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hashing, quality
-from ..sources.parts import table_metrics, write_observed
+from ..sources.parts import write_hashed
 from ..sources.pointer import Pointer
 
 
@@ -19,6 +20,14 @@ def domain_decisions(results: DataFrame) -> DataFrame:
     return results.groupBy("domain").agg(failed.alias("_f")).select("domain", F.when(F.col("_f") & (F.col("domain") == "shared"), "block").when(F.col("_f"), "hold").otherwise("publish").alias("decision"))
 
 
+class Build(NamedTuple):
+    """Tables as they were written: run, relation -> folder, relation -> sums of its hash."""
+
+    run: str
+    paths: dict[str, str]
+    sums: dict[str, dict]
+
+
 class Publisher:
     """Publishes relations under a folder. domains: relation -> domain.
 
@@ -34,23 +43,28 @@ class Publisher:
     def _pointer(self) -> dict:
         return self._current.read()
 
-    def publish(self, tables: dict[str, DataFrame], checks: list[quality.Check] | Callable[[dict[str, DataFrame]], list[quality.Check]]) -> list[str]:
+    def build(self, tables: dict[str, DataFrame]) -> Build:
+        """The tables written to new folders; each write counts and hashes what it writes, so no table is read again for that."""
+        run = uuid.uuid4().hex
+        paths = {name: f"{self.root}/runs/{run}/{name}" for name in tables}
+        return Build(run, paths, {name: write_hashed(df, paths[name]) for name, df in tables.items()})
+
+    def publish(self, tables: dict[str, DataFrame] | Build, checks: list[quality.Check] | Callable[[dict[str, DataFrame]], list[quality.Check]]) -> list[str]:
         """The relations that changed; none if a shared check fails.
 
+        tables: may be a build, of any publisher, which is not written again.
         checks: given as a function of the tables, it gets them as they were written,
         so that what is published is what was audited.
         """
-        run, old = uuid.uuid4().hex, self._pointer()
-        paths = {name: f"{self.root}/runs/{run}/{name}" for name in tables}
-        # Each write counts and hashes what it writes, so no table is read again for that.
-        sums = {name: write_observed(df, paths[name], table_metrics(df)) for name, df in tables.items()}
+        old = self._pointer()
+        run, paths, sums = tables if isinstance(tables, Build) else self.build(tables)
         if callable(checks):
             checks = checks({name: self.spark.read.parquet(path) for name, path in paths.items()})
         decisions = {r.domain: r.decision for r in domain_decisions(quality.run_checks(checks)).collect()} if checks else {}
         if "block" in decisions.values():
             return []
-        held = [n for n in tables if decisions.get(self.domains[n]) == "hold"]
-        fresh = {n: paths[n] for n in tables if n not in held}
+        held = [n for n in paths if decisions.get(self.domains[n]) == "hold"]
+        fresh = {n: paths[n] for n in paths if n not in held}
         new, hashes = old["relations"] | fresh, old["hashes"] | {n: hashing.hash_of(sums[n]) for n in fresh}
         rows = old["rows"] | {n: int(sums[n]["n_rows"]) for n in fresh}
         self._current.write({"publish_id": run, "relations": new, "held": held, "hashes": hashes, "rows": rows})
@@ -75,7 +89,7 @@ class Publisher:
 def export_serving(spark: SparkSession, publisher: Publisher, target: str, prefixes: tuple[str, ...]) -> DataFrame:
     """Copies the published relations with these prefixes; returns the manifest: export and publish id, row counts, hashes, as the copying counted them."""
     tables = {n: df for n, df in publisher.published().items() if n.startswith(prefixes)}
-    sums = {n: write_observed(df, f"{target}/{n}", table_metrics(df)) for n, df in tables.items()}
+    sums = {n: write_hashed(df, f"{target}/{n}") for n, df in tables.items()}
     hashes = {n: hashing.hash_of(s) for n, s in sums.items()}
     if wrong := [n for n in tables if hashes[n] != publisher.hashes()[n]]:
         raise ValueError(f"copies differ from what was published: {wrong}")

@@ -101,18 +101,18 @@ CANARIES = {
 
 @query("SELECT canary, decisions, changed FROM (VALUES " + ", ".join(f"('{c}', '{d}', '{'' if s == 'shared' else ','.join(sorted(t for t, o in (('dim_product', 'shared'), ('fct_order', 'orders'), ('fct_payment', 'subscriptions')) if o != s))}')" for c, (s, d) in CANARIES.items()) + ") t(canary, decisions, changed), (SELECT count(*) FROM orders)")
 def i25_five_canaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Five checks forced to fail, one a publish: what each domain's gate decides, and which relations the publish changes."""
+    """Five checks forced to fail, one a publish of the same build: what each domain's gate decides, and which relations the publish changes."""
     from .publish import Publisher, domain_decisions
 
     tables = {"fct_order": m.stg_orders(spark, sf), "fct_payment": m.purchases(spark, sf), "dim_product": m.dim_product(spark, sf)}
     domains = {"fct_order": "orders", "fct_payment": "subscriptions", "dim_product": "shared"}
-    rows = []
+    rows, build = [], Publisher(spark, scratch(spark), domains).build(tables)
     for canary, (domain, _) in CANARIES.items():
         pub = Publisher(spark, scratch(spark), domains)
         first = next(iter(tables.values()))
         checks = [quality.Check(f"{d}_rows", d, lambda: first.filter("order_id IS NULL")) for d in sorted(set(domains.values()))] + [quality.Check(f"{canary}_canary", domain, lambda: first.limit(1))]
         decided = {r.domain: r.decision for r in domain_decisions(quality.run_checks(checks)).collect()}
-        rows.append((canary, ",".join(decided[d] for d in sorted(decided)), ",".join(sorted(pub.publish(tables, checks)))))
+        rows.append((canary, ",".join(decided[d] for d in sorted(decided)), ",".join(sorted(pub.publish(build, checks)))))
     return spark.createDataFrame(rows, "canary string, decisions string, changed string")
 
 

@@ -30,6 +30,12 @@ def table_metrics(df: DataFrame, only: Column | None = None, columns: list[str]
     return dict(zip(hashing.SUMS, hashing.digest_sums(hashing.row_hash(df, columns or df.columns), only)))
 
 
+def write_hashed(df: DataFrame, path: str, only: Column | None = None, columns: list[str] | None = None, drop: tuple[str, ...] = (), by: str | None = None) -> dict:
+    """write_observed() with the sums of the table's hash, for which each row is hashed once: the digest is a column of the rows observed."""
+    hashed = df.withColumn("_digest", hashing.row_hash(df, columns or df.columns))
+    return write_observed(hashed, path, dict(zip(hashing.SUMS, hashing.digest_sums(F.col("_digest"), only))), ("_digest", *drop), by)
+
+
 class PartitionedTable:
     """A table in a folder, dealt by a column of integers or dates.
 
@@ -74,8 +80,8 @@ class PartitionedTable:
         part = F.coalesce(F.col(self.by).cast("string"), F.lit("none"))
         # Rows of a partition go to few files, and those of a large one to many.
         dealt = rows.withColumn("_part", part).hint("rebalance", "_part")
-        added = write_observed(dealt, run, table_metrics(dealt, F.col("_fresh"), self.hashed), ("_fresh",), "_part")
-        gone = removed.agg(*hashing.digest_sums(hashing.row_hash(removed, self.hashed))).first() if removed is not None else dict.fromkeys(hashing.SUMS, 0)
+        added = write_hashed(dealt, run, F.col("_fresh"), self.hashed, ("_fresh",), "_part")
+        gone = removed.select(hashing.row_hash(removed, self.hashed).alias("_h")).agg(*hashing.digest_sums(F.col("_h"))).first() if removed is not None else dict.fromkeys(hashing.SUMS, 0)
         sums = {c: int(state["sums"][c]) + int(added[c]) - int(gone[c]) for c in hashing.SUMS}
         parts = {v: p for v, p in state["parts"].items() if v not in {str(x) for x in values}}
         written = self._written(run)

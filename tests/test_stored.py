@@ -274,3 +274,19 @@ def test_a_snapshot_over_jdbc_is_read_in_slices(spark, tmp_path):
     parts = scans.slices(spark.read.jdbc(url, "T", properties=own), "K", 4)
     got = scans.read_snapshot(spark, url, "T", parts, own)
     assert got.rdd.getNumPartitions() == 4 and sorted((str(r.K), r.V) for r in got.collect()) == sorted((str(r.k), r.v) for r in rows.collect())
+
+
+def test_a_build_is_written_and_hashed_once_for_all_its_publishes(spark, tmp_path):
+    from quillmart.operators import quality
+    from quillmart.plans.publish import Publisher
+
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("x"))
+    domains = {"a": "orders", "b": "shared"}
+    build = Publisher(spark, str(tmp_path / "built"), domains).build({"a": df, "b": df.filter("id < 10")})
+    fails = lambda domain: [quality.Check(f"{domain}_canary", domain, lambda: df.limit(1))]
+    for domain, changed in (("orders", ["b"]), ("shared", []), ("none", ["a", "b"])):
+        pub = Publisher(spark, str(tmp_path / domain), domains)
+        assert sorted(pub.publish(build, fails(domain) if domain in domains.values() else [])) == changed
+        assert not (tmp_path / domain / "runs").exists()
+        assert {n: bag(t) for n, t in pub.published().items()} == {n: bag(df.filter("id < 10") if n == "b" else df) for n in changed}
+        assert pub.hashes() == {n: hashing.logical_hash(t).first().logical_hash for n, t in pub.published().items()}
