@@ -30,7 +30,7 @@ def late_events(df: DataFrame) -> DataFrame:
 
 def merged_states(spark: SparkSession, sf: str) -> tuple[StoredDimension, DataFrame]:
     """The dimension of user states after two merges, and the report of the second, which brings late, back-dated and new observations."""
-    seen = m.observations(spark, sf)
+    seen = stored(m.observations(spark, sf))
     dim = StoredDimension(spark, scratch(spark), seen.schema, "customer_id", "attribute_hash", "updated_at", "customer_key", BUCKETS)
     dim.merge(late_events(seen))
     return dim, dim.merge(seen.filter("NOT (_batch_id <= '20240120' AND _ingested_at % 5 <> 0)"))

@@ -290,3 +290,14 @@ def test_a_build_is_written_and_hashed_once_for_all_its_publishes(spark, tmp_pat
         assert not (tmp_path / domain / "runs").exists()
         assert {n: bag(t) for n, t in pub.published().items()} == {n: bag(df.filter("id < 10") if n == "b" else df) for n in changed}
         assert pub.hashes() == {n: hashing.logical_hash(t).first().logical_hash for n, t in pub.published().items()}
+
+
+def test_merged_states_are_read_from_a_table(spark, monkeypatch):
+    from quillmart.plans import stored as plans
+
+    merged = []
+    merge = StoredDimension.merge
+    monkeypatch.setattr(StoredDimension, "merge", lambda self, new: merged.append(new) or merge(self, new))
+    dim, _ = plans.merged_states(spark, "/root/testdata/sf0.001")
+    # A merge reads its observations more than once: their window must not run anew each time.
+    assert len(merged) == 2 and not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in merged)
