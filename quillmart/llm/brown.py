@@ -174,12 +174,12 @@ def class_matrix(adjacency: DataFrame, classes: np.ndarray, k: int) -> np.ndarra
         for pdf in frames:
             for u, vs, out in zip(pdf["u"], pdf["vs"], pdf["outs"]):
                 m[sent.value[u]] += np.bincount(sent.value[np.asarray(vs)], np.asarray(out, float), k)
-        a, b = np.nonzero(m)
-        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": m[a, b]})
+        yield pd.DataFrame({"m": [m.tobytes()]})
 
+    # A task gives one row of k x k numbers; there are 1 / own_share + POOLS units at most, TASK_UNITS to a task.
     m = np.zeros((k, k))
-    for r in adjacency.select("u", "vs", "outs").mapInPandas(add, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        m[r.a, r.b] = r.n
+    for r in adjacency.select("u", "vs", "outs").mapInPandas(add, "m binary").collect():
+        m += np.frombuffer(r.m).reshape(k, k)
     return m
 
 

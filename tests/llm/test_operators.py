@@ -633,3 +633,21 @@ def test_quality_tells_words_from_letters_of_the_same_shape(spark, tmp_path):
     spark.createDataFrame([*((i, t, "en") for i, t in enumerate(texts)), (1000, salad, "en")], "doc_id long, text string, lang string").write.parquet(path)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert [r.doc_id for r in kneser_ney.quality(spark.read.parquet(path), labels).collect() if r.rejected] == [1000]
+
+
+def test_class_bigrams_of_a_task_are_one_row(spark):
+    from pyspark.sql import Row
+
+    units, k, rng = 300, 8, np.random.default_rng(5)
+    counts, classes = rng.integers(0, 9, (units, units)), rng.integers(0, k, units)
+    rows = [Row(u=u, vs=[int(v) for v in np.flatnonzero(counts[u])], outs=[int(n) for n in counts[u][counts[u] > 0]]) for u in range(units)]
+    sent = []
+    df = spark.createDataFrame(rows).repartition(3)
+    kept, df.__class__.mapInPandas = df.__class__.mapInPandas, lambda self, f, schema: sent.append(kept(self, f, schema)) or sent[-1]
+    try:
+        got = brown.class_matrix(df, classes, k)
+    finally:
+        df.__class__.mapInPandas = kept
+    want = np.zeros((k, k))
+    np.add.at(want, (classes[:, None], classes[None, :]), counts)
+    assert (got == want).all() and sent[0].count() <= 3
