@@ -1,23 +1,27 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on a bounded sample of trusted rows (labels: quality 1, not
-toxic), over all their words, which are numbered. A word that the sample lacks is an
-unknown event, one for each shape. Counts and continuation counts are tables keyed by
-n-gram, the words' numbers side by side in a long.
+The model is fitted on every other trusted row (labels: quality 1, not toxic), over
+all words of those rows; the rest of the trusted rows calibrates. A word's number is
+a hash that carries its shape, and an n-gram's key a hash of its words' numbers, so
+there is no list of words: counts and continuation counts are tables keyed by word
+numbers, and neither they nor the weights pass the driver whole. A word that the
+fitted rows lack is an unknown event, one for each shape.
 
 The log probability of a text is a sum over its n-grams of all three orders: a
 unigram weighs its own log probability, less an unknown word's, and the back-off
 of its bigrams; a bigram or trigram weighs what its own probability is above that
-of backing off, and the back-off of what follows it. An n-gram that the sample
+of backing off, and the back-off of what follows it. An n-gram that the model
 lacks weighs nothing, so each n-gram of a document is looked up by one key: the
 frequent ones where the text is read, the others by a join. A bitmap of fixed size
-keeps most n-grams that the sample lacks out of the join; those it lets through
-find no row there.
+keeps n-grams that the model lacks out of the join, most of them while the model has
+fewer n-grams than the bitmap has bits; those it lets through find no row there.
+Most n-grams of the model are of one place in one fitted row. Their weights go
+to that row straight from the model, and fitted rows do not look them up.
 
 A second model of the same kind reads the text's form: its symbols are the 53 most
 frequent tokens and the shapes of all others, and its table of all trigrams is of
 fixed size. It alone has a lower bound, as the model of words knows copies of
-its own sample by heart.
+its own rows by heart.
 
 A document's scores are its mean negative log10 probabilities, each drawn to its
 language's mean by PRIOR tokens' weight. Documents beyond their language's
@@ -37,11 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import ROW, discard, keyed, materialize, place, settled, slices, without
+from .common import BROADCAST_ROWS, ROW, discard, keyed, materialize, place, raw_bytes, settled, slices, without
 
-#: Most trusted rows that the model is fitted on, chosen by a hash of doc_id.
-FIT_ROWS = 2_500
 #: Symbols of the model of forms; its n-gram codes have BITS for each.
 SYMBOLS, BITS = 64, 6
 LOW, HIGH = 0.005, 0.995
@@ -54,15 +57,17 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Fixed symbols, in the order of their numbers: the edge of a text, shapes, and a token equal to the one before.
 SHAPES = ("edge", "number", "upper", "title", "short", "middle", "long", "mixed", "sign", "signs", "again")
 AGAIN = SHAPES.index("again")
-#: Numbers of events that are no word; unknown ones follow, by shape, and then the words. Zero is none's, so n-grams of different orders differ.
-BEGIN, END, REPEAT, UNKNOWN = 1, 2, 3, 4
-FIRST_WORD = UNKNOWN + len(SHAPES)
-#: Bits for a number in an n-gram. If the sample has more words than they hold, the rarest are unknown.
-WORD_BITS = 21
+#: Low bits of a word's number, which hold its shape. Events that are no word have small numbers; END's shape is an edge.
+SHAPE_BITS = 4
+BEGIN, END, REPEAT = 1 << SHAPE_BITS, 2 << SHAPE_BITS, 3 << SHAPE_BITS | AGAIN
 #: Most n-grams that travel with the tasks, the most frequent ones, 16 bytes each.
 FAST_NGRAMS = 1_200_000
-#: Bits of the bitmap of the n-grams that do not travel: 2 to this power, 2 MB.
-MAP_BITS = 24
+#: Most bits of the bitmap of the model's n-grams, 2 to this power (32 MB), and of the one that fitted rows use (4 MB). Fewer n-grams have some 16 bits each.
+MAP_BITS, OWN_MAP_BITS = 28, 25
+#: Bits of a piece of a bitmap, as Spark's bitmap functions make it: 2 to this power.
+PIECE_BITS = 15
+#: Distinct tokens that a task counts before it sends the counts on.
+COUNTED = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -112,29 +117,28 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return good.filter("q >= 1 AND t = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fit"))
 
 
-def fit_sample(trusted: DataFrame, fit_rows: int) -> DataFrame:
-    """About fit_rows ids to fit on, all if there are fewer."""
-    n = trusted.filter("fit").count()
-    share = min(1.0, fit_rows / max(n, 1))
-    return trusted.filter(F.col("fit") & (F.pmod(F.shiftright(F.xxhash64("doc_id"), 1), F.lit(1_000_000)) < int(1_000_000 * share))).select("doc_id")
+def frequent_words(fitted: DataFrame, most: int) -> list[str]:
+    """The `most` most frequent tokens of the fitted rows, ties in their order."""
 
-
-def sample_words(sample: DataFrame, most: int = (1 << WORD_BITS) - FIRST_WORD) -> list[str]:
-    """The tokens of the bounded sample, the most frequent first, ties in their order."""
+    def batch_of(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0):
                 seen.update(tokens(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+            if len(seen) > COUNTED:
+                yield batch_of(seen)
+                seen = Counter()
+        yield batch_of(seen)
 
-    found = sample.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow().column("token").to_pylist()
+    found = fitted.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return [r.token for r in found.orderBy(F.desc("n"), "token").limit(most).collect()]
 
 
-def form_counts(sample: DataFrame, symbols: Symbols) -> np.ndarray:
-    """How often each trigram of symbols is in the sample: SYMBOLS ** 3 numbers, whatever its size."""
+def form_counts(fitted: DataFrame, symbols: Symbols) -> np.ndarray:
+    """How often each trigram of symbols is in the fitted rows: SYMBOLS ** 3 numbers, however many rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
@@ -144,7 +148,7 @@ def form_counts(sample: DataFrame, symbols: Symbols) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
-    found = sample.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    found = fitted.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SYMBOLS**3, np.int64)
     out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -193,87 +197,81 @@ def contexts(counts: DataFrame, d: tuple[float, float, float], context: str) ->
 
 
 class Words(dict):
-    """Token -> number; a token that the sample lacks gets its shape's unknown event, which is remembered for up to `room` tokens."""
+    """Token -> number: a hash whose low bits are the token's shape. Remembers up to `room` tokens."""
 
-    def __init__(self, words: list[str], room: int = 50_000):
-        super().__init__({w: i for i, w in enumerate(words, FIRST_WORD)})
-        self.words, self.room = words, room
+    def __init__(self, room: int = 100_000):
+        super().__init__()
+        self.room = room
 
     def __missing__(self, token: str) -> int:
-        out = UNKNOWN + shape(token)
+        out = xxh64_intdigest(raw_bytes(token)) >> SHAPE_BITS << SHAPE_BITS | shape(token)
         if self.room and len(token) < 64:
             self.room -= 1
             self[token] = out
         return out
 
-    def __reduce__(self):
-        return (Words, (self.words,))
-
-
-class WordList:
-    """The words on the driver, which looks none up: they become Words where they arrive."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
-
-    def __reduce__(self):
-        return (Words, (self.words,))
-
-    def shapes(self) -> np.ndarray:
-        """The shape of each number: END counts as an edge."""
-        return np.array([0, 0, 0, AGAIN, *range(len(SHAPES)), *map(shape, self.words)], np.int64)
+def chained(seed: np.ndarray | int, values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long after the columns whose hash is the seed: that of columns a, b is chained(chained(42, a), b)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    first = seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(len(values), seed, np.uint64)
+    h = first + p5 + np.uint64(8) ^ turned(values.view(np.uint64) * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def streams(texts: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts one after the other, each as two BEGINs, its tokens and END: numbers, bigrams and trigrams that end there, number of the text, place in it."""
+    """For the texts one after the other, each as two BEGINs, its tokens and END: numbers, keys of the bigrams and trigrams that end there, number of the text, place in it."""
     parts = []
     for every in texts:
-        ids = np.array([BEGIN, BEGIN, *map(words.__getitem__, every), END], np.int64)
+        ids = np.array([BEGIN, BEGIN, *map(words.__getitem__, every), END], np.uint64)
         if len(every) > 1:
             ids[3:-1][np.fromiter(map(eq, every[1:], every), bool, len(every) - 1)] = REPEAT
         parts.append(ids)
-    ids = np.concatenate(parts or [np.zeros(0, np.int64)])
+    ids = np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)
     sizes = np.array([len(x) for x in parts], np.int64)
-    before = np.concatenate((ids[:1], ids[:-1]))
-    two = before << WORD_BITS | ids
-    three = np.concatenate((before[:1], before[:-1])) << 2 * WORD_BITS | two
+    one = chained(42, ids)
+    two = chained(np.concatenate((one[:1], one[:-1])), ids)
+    three = chained(np.concatenate((two[:1], two[:-1])), ids)
     return ids, two, three, np.repeat(np.arange(len(parts)), sizes), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def word_trigrams(sample: DataFrame, words: WordList) -> DataFrame:
-    """gram, n over the sample, the context's total and its numbers of words seen once, twice and more often (k1, k2, k3), and first, true once for each context.
+def word_trigrams(fitted: DataFrame) -> DataFrame:
+    """u, v, w, n and, of a trigram with one place, the ROW of its text; the total of the context (u, v), its numbers of words seen once, twice and more often (k1, k2, k3), and first, true once for each context.
 
     Dealt once, by context, so the figures of a context need no further exchange.
     """
-    sent = sample.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in slices(batches):
-            _, _, three, _, at = streams([tokens(x) for x in batch.column(0).to_pylist()], sent.value)
-            grams, n = np.unique(three[at > 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
-
-    tasks = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sample.select("text").mapInArrow(count, "gram long, n long").select(F.shiftright("gram", WORD_BITS).alias("uv"), "gram", "n")
-    grams = found.repartition(tasks, "uv").groupBy("uv", "gram").agg(F.sum("n").alias("n"))
-    mine, n = W.partitionBy("uv"), F.col("n")
+            ids, _, three, doc, at = streams([tokens(x) for x in batch.column(1).to_pylist()], words)
+            ends = np.flatnonzero(at > 1)
+            _, some, n = np.unique(three[ends], return_index=True, return_counts=True)
+            some = ends[some]
+            u, v, w = ids[some - 2], ids[some - 1], ids[some]
+            order = np.lexsort((w, v, u))
+            rows = batch.column(0).to_numpy()[doc[some]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[order]) for x in (u, v, w, n)), pa.array(rows[order], mask=n[order] > 1)], ["u", "v", "w", "n", ROW])
+
+    tasks = int(fitted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = fitted.select(ROW, "text").mapInArrow(count, f"u long, v long, w long, n long, {ROW} long")
+    grams = found.repartition(tasks, "u", "v").groupBy("u", "v", "w").agg(F.sum("n").alias("n"), F.when(F.sum("n") == 1, F.max(ROW)).alias(ROW))
+    mine, n = W.partitionBy("u", "v"), F.col("n")
     ks = [F.sum(x.cast("long")).over(mine).alias(f"k{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))]
-    return grams.select("gram", "n", F.sum("n").over(mine).alias("total"), *ks, (F.row_number().over(mine.orderBy("gram")) == 1).alias("first"))
+    return grams.select("u", "v", "w", "n", ROW, F.sum("n").over(mine).alias("total"), *ks, (F.row_number().over(mine.orderBy("w")) == 1).alias("first"))
 
 
-def ngram_weights(tri: DataFrame, words: WordList) -> tuple[DataFrame, np.ndarray]:
-    """key, n (how often the sample has it) and weight for each n-gram of the model, and the log10 probability of an unknown word of each shape."""
-    spark = tri.sparkSession
-    low = lambda x, bits: F.col(x).bitwiseAND((1 << bits) - 1)
-    bi = tri.groupBy(low("gram", 2 * WORD_BITS).alias("vw")).agg(F.count("*").alias("n"), F.sum("n").alias("seen"))
-    bi = materialize(bi).withColumns({"v": F.shiftright("vw", WORD_BITS), "w": low("vw", WORD_BITS)})
-    uni = materialize(bi.groupBy("w").agg(F.count("*").alias("n"), F.sum("seen").alias("seen")))
+def ngram_weights(tri: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """key, n (how often the fitted rows have it), weight and, if it has one place, ROW for each n-gram of the model, and the log10 probability of an unknown word of each shape."""
+    bi = materialize(tri.groupBy("v", "w").agg(F.count("*").alias("n"), F.sum("n").alias("seen"), F.when(F.sum("n") == 1, F.max(ROW)).alias(ROW)))
+    uni = materialize(bi.groupBy("w").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.when(F.sum("seen") == 1, F.max(ROW)).alias(ROW)))
     d3, d2, d1 = discounts(tri), discounts(bi), discounts(uni)
-    # Tables with a row for each word of the sample are broadcast: 2 ** WORD_BITS rows at most.
-    of = words.shapes()
-    kinds = F.broadcast(spark.createDataFrame(pa.table({"w": np.arange(len(of)), "shape": of.astype(np.int32)})))
-    uni = uni.join(kinds, "w")
-    shapes = uni.groupBy("shape").agg(F.sum("n"), F.sum(discounted(d1)), F.count_if(F.col("n") == 1), F.count("*")).collect()
+    kind = F.col("w").bitwiseAND((1 << SHAPE_BITS) - 1).cast("int")
+    shapes = uni.groupBy(kind.alias("shape")).agg(F.sum("n"), F.sum(discounted(d1)), F.count_if(F.col("n") == 1), F.count("*")).collect()
     total = float(sum(r[1] for r in shapes)) or 1.0
     # What the discounts leave goes to all words and unknown events alike; unknown events by the shapes of the words that follow one word only.
     share = np.ones(len(SHAPES))
@@ -282,44 +280,55 @@ def ngram_weights(tri: DataFrame, words: WordList) -> tuple[DataFrame, np.ndarra
     back = (total - sum(r[2] for r in shapes)) / total if shapes else 1.0
     size = len(SHAPES) + sum(r[4] for r in shapes)
     unknown = np.log10(back * len(SHAPES) / size * share / share.sum())
-    at = F.get(F.array(*[F.lit(float(x)) for x in unknown]), F.col("shape"))
-    p1 = uni.select("w", "seen", (discounted(d1) / total + back / size).alias("p1"), at.alias("at"))
+    at = F.get(F.array(*[F.lit(float(x)) for x in unknown]), kind)
+    p1 = uni.select("w", "seen", ROW, (discounted(d1) / total + back / size).alias("p1"), at.alias("at"))
     c2 = materialize(contexts(bi, d2, "v").withColumnsRenamed({"total": "t2", "back": "b2"}))
-    free = (F.col("k1") * d3[0] + F.col("k2") * d3[1] + F.col("k3") * d3[2]) / F.col("total")
-    c3 = tri.filter("first").select(F.shiftright("gram", WORD_BITS).alias("vw"), F.col("total").alias("t3"), free.alias("b3"))
     log = lambda x: F.log10(F.coalesce(x, F.lit(1.0)))
+    whole = F.col("n").cast("int").alias("n")
     # BEGIN and the pair of BEGINs only come before words, END only after them.
     ones = p1.join(c2.withColumnRenamed("v", "w"), "w", "full").select(
-        F.col("w").alias("key"), F.coalesce("seen", "t2").alias("n"), (F.when(F.col("p1").isNotNull(), F.log10("p1") - F.col("at")).otherwise(0.0) + log(F.col("b2"))).alias("weight")
+        F.col("w").alias("key"), F.coalesce("seen", "t2").alias("n"), (F.when(F.col("p1").isNotNull(), F.log10("p1") - F.col("at")).otherwise(0.0) + log(F.col("b2"))).alias("weight"), ROW
     )
+    ones = materialize(ones.withColumn("n", whole))
+    lower = F.col("b2") * F.col("p1")
     p2 = materialize(
-        bi.select("vw", "v", "w", "seen", discounted(d2).alias("a2")).join(F.broadcast(c2), "v").join(F.broadcast(p1.select("w", "p1")), "w")
-        .select("vw", "seen", (F.col("a2") / F.col("t2") + F.col("b2") * F.col("p1")).alias("p2"), (F.col("b2") * F.col("p1")).alias("lower"))
+        bi.select("v", "w", "seen", ROW, discounted(d2).alias("a2")).join(c2, "v").join(p1.select("w", "p1"), "w")
+        .select("v", "w", "seen", ROW, (F.col("a2") / F.col("t2") + lower).alias("p2"), lower.alias("lower"))
+        .select(F.xxhash64("v", "w").alias("vw"), "seen", ROW, "p2", F.log10(F.col("p2") / F.col("lower")).alias("gain"))
     )
-    discard(bi)
-    twos = p2.join(c3, "vw", "full").select(
-        F.col("vw").alias("key"), F.coalesce("seen", "t3").alias("n"), (F.log10(F.coalesce(F.col("p2") / F.col("lower"), F.lit(1.0))) + log(F.col("b3"))).alias("weight")
-    )
-    lower = F.col("b3") * F.col("p2")
-    own = tri.select("gram", low("gram", 2 * WORD_BITS).alias("vw"), "n", (discounted(d3) / F.col("total")).alias("own"), free.alias("b3"))
-    threes = own.join(p2.select("vw", "p2"), "vw").select(F.col("gram").alias("key"), "n", F.log10((F.col("own") + lower) / lower).alias("weight"))
+    for table in (bi, uni, c2):
+        discard(table)
+    # An n-gram's share as its context's last word, over what the context leaves to the lower order.
+    left = F.col("k1") * d3[0] + F.col("k2") * d3[1] + F.col("k3") * d3[2]
+    own = tri.select(F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v", "w").alias("key"), "n", ROW, (discounted(d3) / left).alias("own"))
+    threes = materialize(own.join(p2.select("vw", "p2"), "vw").select("key", whole, F.log10(1 + F.col("own") / F.col("p2")).alias("weight"), ROW))
+    c3 = tri.filter("first").select(F.xxhash64("u", "v").alias("vw"), F.col("total").alias("t3"), (left / F.col("total")).alias("b3"))
+    twos = p2.drop("p2").join(c3, "vw", "full").select(F.col("vw").alias("key"), F.coalesce("seen", "t3").alias("n"), (F.coalesce("gain", F.lit(0.0)) + log(F.col("b3"))).alias("weight"), ROW)
+    twos = materialize(twos.withColumn("n", whole))
+    discard(p2)
     return ones.unionByName(twos).unionByName(threes), unknown
 
 
-def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the bitmap for each key."""
-    h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h >> np.uint64(64 - MAP_BITS), (h >> np.uint64(10)) & np.uint64((1 << MAP_BITS) - 1)
+def key_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each key in a bitmap: its highest bits."""
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def key_bitmap(keys: np.ndarray) -> np.ndarray:
-    """A bitmap in which the places of all keys are set, as bytes."""
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for at in range(0, len(keys), 100_000):
-        for spots in places(keys[at : at + 100_000]):
-            np.bitwise_or.at(out, (spots >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spots & np.uint64(7)).astype(np.uint8))
-    return out
+def key_bitmap(weights: DataFrame, most: int) -> np.ndarray:
+    """A bitmap of up to 2 ** most bits, as bytes, in which the places of all keys are set. Tasks set the bits; only the bitmap comes to the driver."""
+    bits = max(PIECE_BITS, min(most, (16 * weights.count()).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - bits)
+    pieces = weights.groupBy(F.shiftright(at, PIECE_BITS).alias("piece")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << PIECE_BITS) - 1)).alias("bits"))
+    out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
+    for batch in pieces.toArrow().to_batches():
+        for piece, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out[piece] = np.frombuffer(found.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = key_places(keys, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def is_fast(weights: DataFrame, most: int) -> Column:
@@ -333,51 +342,59 @@ def is_fast(weights: DataFrame, most: int) -> Column:
     return out
 
 
-def document_grams(docs: DataFrame, weights: DataFrame, unknown: np.ndarray, fast: Column, table: np.ndarray, symbols: Symbols, words: WordList) -> DataFrame:
-    """ROW, doc_id, lang, n_tokens, form (negative log10 probability by form), near (log10 probability by unknown words and frequent n-grams) and the other n-grams that may be in the model, with their counts, as arrays."""
-    # The keys alone of the others pass the driver, 8 bytes each: the sample bounds them.
-    bitmap = key_bitmap(weights.filter(~fast).select("key").toArrow().column("key").to_numpy())
-    pa.default_memory_pool().release_unused()
+def document_grams(rows: DataFrame, weights: DataFrame, unknown: np.ndarray, fast: Column, table: np.ndarray, symbols: Symbols) -> DataFrame:
+    """Of rows (ROW, fit, text) one row each with found (n_tokens; form: negative log10 probability by form; near: log10 probability by unknown words and frequent n-grams), and one row for each other n-gram that may be in the model: ROW, key, times.
+
+    Rows with fit are not looked up for n-grams of one place: those are their own.
+    """
+    spark = rows.sparkSession
     chosen = weights.filter(fast).select("key", "weight").toArrow()
     keys, values = chosen.column("key").to_numpy(), chosen.column("weight").to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     del chosen, order
-    sent = docs.sparkSession.sparkContext.broadcast((keys, values, bitmap, unknown[words.shapes()], table, symbols, words))
-    del keys, values, bitmap
     pa.default_memory_pool().release_unused()
+    frequent = spark.sparkContext.broadcast((keys, values, unknown, table, symbols))
+    del keys, values
+    bitmaps = spark.sparkContext.broadcast((key_bitmap(weights, MAP_BITS), key_bitmap(weights.filter(fast | F.col(ROW).isNull()), OWN_MAP_BITS)))
+    pa.default_memory_pool().release_unused()
+    fields = pa.struct([("n_tokens", pa.int64()), ("form", pa.float64()), ("near", pa.float64())])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, fast_weight, bitmap, unknown, table, symbols, words = sent.value
+        fast, fast_weight, unknown, table, symbols = frequent.value
+        every_map, own_map = bitmaps.value
+        words = Words()
         for batch in slices(batches, most=SLICE_BYTES):
-            texts = [tokens(x) for x in batch.column(3).to_pylist()]
+            row, fit = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = [tokens(x) for x in batch.column(2).to_pylist()]
             form = np.array([table[codes(x, symbols)].sum() for x in texts], float)
             ids, two, three, doc, at = streams(texts, words)
             size = batch.num_rows
             later, last = at > 0, at > 1
-            near = np.bincount(doc[last], unknown[ids[last]], size)
+            near = np.bincount(doc[last], unknown[ids[last] & ((1 << SHAPE_BITS) - 1)], size)
             key, of = np.concatenate((ids[later], two[later], three[last])), np.concatenate((doc[later], doc[later], doc[last]))
+            may = in_bitmap(every_map, key)
+            key, of = key[may], of[may]
+            may = ~fit[of]
+            may[~may] = in_bitmap(own_map, key[~may])
+            key, of = key[may], of[may]
             spot = place(fast, key)
             known = spot >= 0
             near += np.bincount(of[known], fast_weight[spot[known]], size)
             key, of = key[~known], of[~known]
-            a, b = (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) for p in places(key))
-            may = (a & b & 1).astype(bool)
-            key, of = key[may], of[may]
             order = np.lexsort((key, of))
             key, of = key[order], of[order]
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (of[1:] != of[:-1]))))
             n = np.diff(np.append(first, len(key))).astype(np.int32)
-            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[first], minlength=size)))).astype(np.int32))
             sizes = np.bincount(doc, minlength=size) - 3
-            flat = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes.astype(np.int64)), pa.array(form), pa.array(near), flat(key[first]), flat(n)], [ROW, "doc_id", "lang", "n_tokens", "form", "near", "grams", "counts"])
+            found = pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(form), pa.array(near)], fields=list(fields))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.nulls(size, pa.int32()), found], [ROW, "key", "times", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[of[first]]), pa.array(key[first]), pa.array(n), pa.nulls(len(first), fields)], [ROW, "key", "times", "found"])
 
-    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(grams, f"{ROW} long, doc_id long, lang string, n_tokens long, form double, near double, grams array<long>, counts array<int>")
+    return rows.mapInArrow(grams, f"{ROW} long, key long, times int, found struct<n_tokens: long, form: double, near: double>")
 
 
-def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
     """ROW, doc_id, lang, n_tokens, nll, perplexity, score, highest, form_score, form_lowest, form_highest, rejected for each row of docs (doc_id, text, lang).
 
     Null and empty texts have no tokens; they are scored by the end alone, drawn to
@@ -386,23 +403,35 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, low: f
     Repeated rows are scored each; an empty table gives no rows.
     """
     trusted = materialize(trusted_labels(labels))
-    ids = fit_sample(trusted, fit_rows)
-    # At most about fit_rows ids of 8 bytes each.
-    sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("text"))
-    every = sample_words(sample)
-    symbols, words = Symbols(every[: SYMBOLS - len(SHAPES)]), WordList(every)
-    table = form_table(form_counts(sample, symbols))
-    trigrams = materialize(word_trigrams(sample, words))
-    weights, unknown = ngram_weights(trigrams, words)
-    weights = materialize(weights.select("key", F.col("n").cast("int").alias("n"), "weight"))
-    fast = is_fast(weights, FAST_NGRAMS)
+    ids = trusted.filter("fit").select("doc_id")
+    few = ids.count() <= BROADCAST_ROWS
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    fitted = materialize(rows.select(ROW, "doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(ROW, "text"))
+    symbols = Symbols(frequent_words(fitted, SYMBOLS - len(SHAPES)))
+    table = form_table(form_counts(fitted, symbols))
+    trigrams = materialize(word_trigrams(fitted))
+    discard(fitted)
+    weights, unknown = ngram_weights(trigrams)
     discard(trigrams)
-    held = materialize(document_grams(docs, weights, unknown, fast, table, symbols, words))
-    entries = held.select(ROW, F.explode(F.arrays_zip("grams", "counts")).alias("e")).select(ROW, F.col("e.grams").alias("key"), F.col("e.counts").alias("times"))
+    if few:
+        marked = rows.join(F.broadcast(ids.withColumn("fit", F.lit(True))), "doc_id", "left").select(ROW, F.coalesce("fit", F.lit(False)).alias("fit"), "text")
+    else:
+        # Texts would be shuffled to be told from others, so fitted rows are looked up as all rows are.
+        weights = weights.withColumn(ROW, F.lit(None).cast("long"))
+        marked = rows.select(ROW, F.lit(False).alias("fit"), "text")
+    fast = is_fast(weights, FAST_NGRAMS)
+    entries = document_grams(marked, weights, unknown, fast, table, symbols)
     # Frequent n-grams are summed already; what is still a hot key the adaptive join splits.
-    sums = entries.join(weights.filter(~fast).select("key", "weight"), "key").groupBy(ROW).agg(F.sum(F.col("times") * F.col("weight")).alias("far"))
+    far = weights.filter(~fast).select("key", "weight", F.col(ROW).alias("of"))
+    single = weights.filter(~fast & F.col(ROW).isNotNull()).select(ROW, F.col("weight").alias("x"))
+    # A fitted row's own n-grams of one place come from the model, so those that its bitmap lets through are left out.
+    mine = F.col("of").eqNullSafe(F.col(ROW))
+    looked = entries.join(far, "key", "left").select(ROW, F.when(~mine, F.col("times") * F.col("weight")).alias("x"), "found.*")
+    sums = looked.unionByName(single, allowMissingColumns=True).groupBy(ROW).agg(F.max("n_tokens").alias("n_tokens"), F.max("form").alias("form"), F.max("near").alias("near"), F.sum("x").alias("far"))
     total = -(F.col("near") + F.coalesce("far", F.lit(0.0)))
-    scored = materialize(held.select(ROW, "doc_id", "lang", "n_tokens", "form", "near").join(sums, ROW, "left").select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
+    names = rows.select(ROW, "doc_id", "lang")
+    scored = materialize(sums.join(names, ROW).select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
+    discard(weights)
     size = F.col("n_tokens") + 1
     check = scored.join(trusted.filter(~F.col("fit")), "doc_id", "left_semi")
     # Hot languages are summed before they are dealt; there are as many rows as languages, one for all of them with a null key.

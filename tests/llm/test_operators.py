@@ -621,6 +621,55 @@ def test_quality_counts_words(spark, docs, rows, most, monkeypatch):
     assert Counter((r.doc_id, r.n_tokens, round(r.nll, 6)) for r in kneser_ney.quality(docs, labels).collect()) == want
 
 
+@pytest.mark.parametrize("most", [0, 500, 10**6])
+def test_quality_is_fitted_on_all_trusted_rows_that_do_not_calibrate(spark, tmp_path, most, monkeypatch):
+    """Some 2,800 fitted rows, looked up behind bitmaps that let much through."""
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["9", "Ünï", "!!"]
+    texts = [" ".join(rng.choice(words[: rng.choice((20, 3003))]) for _ in range(rng.randint(0, 6))) for _ in range(6000)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5600)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(kneser_ney, "FAST_NGRAMS", most)
+    monkeypatch.setattr(kneser_ney, "MAP_BITS", 16, raising=False)
+    monkeypatch.setattr(kneser_ney, "OWN_MAP_BITS", 15, raising=False)
+    fit = {r.doc_id for r in kneser_ney.trusted_labels(labels).collect() if r.fit}
+    assert len(fit) > 2600
+    nll = plain_kneser_ney([kneser_ney.tokens(texts[i]) for i in sorted(fit)])
+    want = {i: round(nll(ts) / (len(ts) + 1), 6) for i, ts in enumerate(map(kneser_ney.tokens, texts))}
+    got = {r.doc_id: round(r.nll, 6) for r in kneser_ney.quality(spark.read.parquet(path), labels).collect()}
+    assert got.keys() == want.keys() and sum(abs(got[i] - want[i]) > 1.5e-6 for i in want) == 0
+
+
+def test_fitted_rows_too_many_to_broadcast_are_scored_alike(spark, docs, rows, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i is not None and i < 100], "doc_id long, quality int, toxic int")
+    scores = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.nll, 9), r.rejected) for r in kneser_ney.quality(docs, labels).collect())
+    monkeypatch.setattr(kneser_ney, "FAST_NGRAMS", 500)
+    want = scores()
+    monkeypatch.setattr(kneser_ney, "BROADCAST_ROWS", 10)
+    assert scores() == want
+
+
+def test_ngram_keys_are_sparks_hashes(spark):
+    from pyspark.sql import Row
+
+    words = kneser_ney.Words()
+    ids, two, three, _, at = kneser_ney.streams([["a", "Bc", "Bc", "😀", "-1"], []], words)
+    assert [int(x) & 15 for x in ids[2:7]] == [kneser_ney.AGAIN if x is None else kneser_ney.shape(x) for x in ("a", "Bc", None, "😀", "-1")]
+    k = np.flatnonzero(at > 1)
+    d = spark.createDataFrame([Row(i=i, u=int(ids[i - 2]), v=int(ids[i - 1]), w=int(ids[i])) for i in k.tolist()])
+    got = {r.i: (r.two, r.three) for r in d.select("i", F.xxhash64("v", "w").alias("two"), F.xxhash64("u", "v", "w").alias("three")).collect()}
+    assert got == {i: (int(two[i]), int(three[i])) for i in k.tolist()}
+    keys = np.array([*two, *three, -1, 0, 1 << 62], np.int64)
+    table = spark.createDataFrame([(int(x),) for x in keys], "key long").repartition(3)
+    bitmap = kneser_ney.key_bitmap(table.unionByName(spark.range(1 << 14).select(F.xxhash64("id").alias("key"))), 18)
+    assert len(bitmap) == 1 << 15 and kneser_ney.in_bitmap(bitmap, keys).all()
+    small = kneser_ney.key_bitmap(table, 28)
+    assert len(small) == 1 << 12 and np.unpackbits(small).sum() == len(set(kneser_ney.key_places(keys, 15).tolist()))
+
+
 def test_quality_tells_words_from_letters_of_the_same_shape(spark, tmp_path):
     import random
 
