@@ -34,6 +34,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -64,6 +65,8 @@ BEGIN, END, REPEAT = 1 << SHAPE_BITS, 2 << SHAPE_BITS, 3 << SHAPE_BITS | AGAIN
 FAST_NGRAMS = 1_200_000
 #: Most bits of the bitmap of the model's n-grams, 2 to this power (32 MB), and of the one that fitted rows use (4 MB). Fewer n-grams have some 16 bits each.
 MAP_BITS, OWN_MAP_BITS = 28, 25
+#: The join with the model goes in 2 to this power parts.
+PART_BITS = 2
 #: Bits of a piece of a bitmap, as Spark's bitmap functions make it: 2 to this power.
 PIECE_BITS = 15
 #: Distinct tokens that a task counts before it sends the counts on.
@@ -388,7 +391,7 @@ def document_grams(rows: DataFrame, weights: DataFrame, unknown: np.ndarray, fas
             n = np.diff(np.append(first, len(key))).astype(np.int32)
             sizes = np.bincount(doc, minlength=size) - 3
             found = pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(form), pa.array(near)], fields=list(fields))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.nulls(size, pa.int32()), found], [ROW, "key", "times", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), found], [ROW, "key", "times", "found"])
             yield pa.RecordBatch.from_arrays([pa.array(row[of[first]]), pa.array(key[first]), pa.array(n), pa.nulls(len(first), fields)], [ROW, "key", "times", "found"])
 
     return rows.mapInArrow(grams, f"{ROW} long, key long, times int, found struct<n_tokens: long, form: double, near: double>")
@@ -420,18 +423,24 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
         weights = weights.withColumn(ROW, F.lit(None).cast("long"))
         marked = rows.select(ROW, F.lit(False).alias("fit"), "text")
     fast = is_fast(weights, FAST_NGRAMS)
-    entries = document_grams(marked, weights, unknown, fast, table, symbols)
+    entries = materialize(document_grams(marked, weights, unknown, fast, table, symbols))
     # Frequent n-grams are summed already; what is still a hot key the adaptive join splits.
     far = weights.filter(~fast).select("key", "weight", F.col(ROW).alias("of"))
-    single = weights.filter(~fast & F.col(ROW).isNotNull()).select(ROW, F.col("weight").alias("x"))
+    sums = [materialize(far.filter("of IS NOT NULL").groupBy(F.col("of").alias(ROW)).agg(F.sum("weight").alias("far")))]
     # A fitted row's own n-grams of one place come from the model, so those that its bitmap lets through are left out.
-    mine = F.col("of").eqNullSafe(F.col(ROW))
-    looked = entries.join(far, "key", "left").select(ROW, F.when(~mine, F.col("times") * F.col("weight")).alias("x"), "found.*")
-    sums = looked.unionByName(single, allowMissingColumns=True).groupBy(ROW).agg(F.max("n_tokens").alias("n_tokens"), F.max("form").alias("form"), F.max("near").alias("near"), F.sum("x").alias("far"))
-    total = -(F.col("near") + F.coalesce("far", F.lit(0.0)))
-    names = rows.select(ROW, "doc_id", "lang")
-    scored = materialize(sums.join(names, ROW).select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
+    theirs = ~F.col("of").eqNullSafe(F.col(ROW))
+    # Joined by ranges of the key, one after the other, so that a part alone of both sides is shuffled at a time.
+    for part in range(1 << PART_BITS):
+        here = F.shiftrightunsigned("key", 64 - PART_BITS) == part
+        looked = entries.filter(F.col("times").isNotNull() & here).select(ROW, "key", "times").join(far.filter(here), "key").filter(theirs)
+        sums.append(materialize(looked.groupBy(ROW).agg(F.sum(F.col("times") * F.col("weight")).alias("far"))))
     discard(weights)
+    summed = reduce(DataFrame.unionByName, sums).groupBy(ROW).agg(F.sum("far").alias("far"))
+    held = entries.filter(F.col("found").isNotNull()).select(ROW, "found.*").join(rows.select(ROW, "doc_id", "lang"), ROW)
+    total = -(F.col("near") + F.coalesce("far", F.lit(0.0)))
+    scored = materialize(held.join(summed, ROW, "left").select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
+    for done in (entries, *sums):
+        discard(done)
     size = F.col("n_tokens") + 1
     check = scored.join(trusted.filter(~F.col("fit")), "doc_id", "left_semi")
     # Hot languages are summed before they are dealt; there are as many rows as languages, one for all of them with a null key.
