@@ -12,11 +12,12 @@ unigram weighs its own log probability, less an unknown word's, and the back-off
 of its bigrams; a bigram or trigram weighs what its own probability is above that
 of backing off, and the back-off of what follows it. An n-gram that the model
 lacks weighs nothing, so each n-gram of a document is looked up by one key: the
-frequent ones where the text is read, the others by a join. A bitmap of fixed size
-keeps n-grams that the model lacks out of the join, most of them while the model has
-fewer n-grams than the bitmap has bits; those it lets through find no row there.
-Most n-grams of the model are of one place in one fitted row. Their weights go
-to that row straight from the model, and fitted rows do not look them up.
+frequent ones where the text is read, the others by a join of packed shards
+(ngrams). Two bitmaps of fixed size keep most n-grams that the model lacks out of
+the join, while the model has fewer n-grams than they have bits; those they let
+through find no row there. Most n-grams of the model are of one place in one
+fitted row. Their weights go to that row straight from the model, and fitted rows
+do not look them up.
 
 A second model of the same kind reads the text's form: its symbols are the 53 most
 frequent tokens and the shapes of all others, and its table of all trigrams is of
@@ -33,18 +34,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
-from operator import eq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import BROADCAST_ROWS, ROW, discard, keyed, materialize, place, raw_bytes, settled, slices, without
+from .common import BROADCAST_ROWS, ROW, discard, flat_words, keyed, materialize, place, raw_bytes, settled, slices, without
+from .ngrams import (
+    BEGIN, END, ENTRY, HELD, OWN, PACKED, SCHEMA, SHAPE_BITS, SHARD_TOKENS, WEIGHT, by_row, chained, count_trigrams, count_words, cuts, look_up, pack, parts_of, shard_of, shards, starts, trigram_keys, unfixed, union, unpack, weigh
+)
 
 #: Symbols of the model of forms; its n-gram codes have BITS for each.
 SYMBOLS, BITS = 64, 6
@@ -58,15 +59,14 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Fixed symbols, in the order of their numbers: the edge of a text, shapes, and a token equal to the one before.
 SHAPES = ("edge", "number", "upper", "title", "short", "middle", "long", "mixed", "sign", "signs", "again")
 AGAIN = SHAPES.index("again")
-#: Low bits of a word's number, which hold its shape. Events that are no word have small numbers; END's shape is an edge.
-SHAPE_BITS = 4
-BEGIN, END, REPEAT = 1 << SHAPE_BITS, 2 << SHAPE_BITS, 3 << SHAPE_BITS | AGAIN
+#: The number of a token equal to the one before.
+REPEAT = 3 << SHAPE_BITS | AGAIN
 #: Most n-grams that travel with the tasks, the most frequent ones, 16 bytes each.
 FAST_NGRAMS = 1_200_000
-#: Most bits of the bitmap of the model's n-grams, 2 to this power (32 MB), and of the one that fitted rows use (4 MB). Fewer n-grams have some 16 bits each.
-MAP_BITS, OWN_MAP_BITS = 28, 25
-#: The join with the model goes in 2 to this power parts.
-PART_BITS = 2
+#: Most bits of each of two bitmaps of the model's n-grams, 2 to this power (16 MB), and of the one that fitted rows use (4 MB). Fewer n-grams have some 16 bits each.
+MAP_BITS, OWN_MAP_BITS = 27, 25
+#: The documents are looked up in so many rounds at most.
+ROUNDS = 4
 #: Bits of a piece of a bitmap, as Spark's bitmap functions make it: 2 to this power.
 PIECE_BITS = 15
 #: Distinct tokens that a task counts before it sends the counts on.
@@ -106,12 +106,40 @@ class Symbols(dict):
         return (Symbols, (self.words,))
 
 
-def codes(every: list[str], symbols: Symbols) -> np.ndarray:
-    """The text's trigram codes, one for each token and one for the end."""
-    ids = np.array([0, 0, *map(symbols.__getitem__, every), 0], np.int32)
-    if len(every) > 1:
-        ids[3:-1][np.fromiter(map(eq, every[1:], every), bool, len(every) - 1)] = AGAIN
-    return (ids[:-2] << 2 * BITS) | (ids[1:-1] << BITS) | ids[2:]
+class Layout:
+    """The tokens of texts one after the other, each text as two edges, its tokens and an edge."""
+
+    def __init__(self, texts: list[list[str]]):
+        #: Each token as a number into the distinct ones, and whether it equals the one before.
+        self.of, self.distinct = flat_words(texts)
+        n = np.array([len(x) for x in texts], np.int64)
+        self.again = np.zeros(len(self.of), bool)
+        self.again[1:] = self.of[1:] == self.of[:-1]
+        self.again[(np.cumsum(n) - n)[n > 0]] = False
+        #: Number of the text and place in it, of each token and edge.
+        sizes = n + 3
+        self.doc = np.repeat(np.arange(len(n)), sizes)
+        self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.end = np.cumsum(sizes) - 1
+        self.token = self.at > 1
+        self.token[self.end] = False
+
+    def filled(self, number: Callable[[str], int], begin: int, end: int, again: int) -> np.ndarray:
+        """A number for each token and edge."""
+        out = np.full(len(self.doc), begin, np.int64)
+        out[self.end] = end
+        values = np.fromiter(map(number, self.distinct), np.uint64, len(self.distinct)).view(np.int64)
+        out[self.token] = np.where(self.again, again, values[self.of]) if len(self.of) else 0
+        return out
+
+    def codes(self, symbols: Symbols) -> np.ndarray:
+        """The trigram codes of symbols, for each place after the first two of a text."""
+        ids = self.filled(symbols.__getitem__, 0, 0, AGAIN)
+        at = np.flatnonzero(self.at > 1)
+        return ids[at - 2] << 2 * BITS | ids[at - 1] << BITS | ids[at]
+
+    def numbers(self, words: Words) -> np.ndarray:
+        return self.filled(words.__getitem__, BEGIN, END, REPEAT)
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -145,9 +173,8 @@ def form_counts(fitted: DataFrame, symbols: Symbols) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(total, codes(tokens(text.as_py()), symbols), 1)
+        for batch in slices(batches):
+            total += np.bincount(Layout([tokens(x) for x in batch.column(0).to_pylist()]).codes(symbols), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
@@ -175,30 +202,6 @@ def form_table(counts: np.ndarray) -> np.ndarray:
     return -np.log10(p).reshape(-1)
 
 
-def cuts(n: list[int]) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many n-grams are counted once to four times."""
-    if not (n[0] and n[1]):
-        return 0.5, 0.5, 0.5
-    y = n[0] / (n[0] + 2 * n[1])
-    return tuple(min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    return cuts(list(counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()))
-
-
-def discounted(d: tuple[float, float, float]) -> Column:
-    n = F.col("n")
-    return F.greatest(F.lit(0.0), n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]))
-
-
-def contexts(counts: DataFrame, d: tuple[float, float, float], context: str) -> DataFrame:
-    """For each context its total and the weight of the lower order."""
-    n = F.col("n")
-    free = F.count_if(n == 1) * d[0] + F.count_if(n == 2) * d[1] + F.count_if(n > 2) * d[2]
-    return counts.groupBy(context).agg(F.sum("n").alias("total"), free.alias("free")).select(context, "total", (F.col("free") / F.col("total")).alias("back"))
-
-
 class Words(dict):
     """Token -> number: a hash whose low bits are the token's shape. Remembers up to `room` tokens."""
 
@@ -214,102 +217,26 @@ class Words(dict):
         return out
 
 
-def chained(seed: np.ndarray | int, values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long after the columns whose hash is the seed: that of columns a, b is chained(chained(42, a), b)."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turned = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    first = seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(len(values), seed, np.uint64)
-    h = first + p5 + np.uint64(8) ^ turned(values.view(np.uint64) * p2, 31) * p1
-    h = turned(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return (h ^ h >> np.uint64(32)).view(np.int64)
-
-
-def streams(texts: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def streams(texts: list[list[str]], words: Words, layout: Layout | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the texts one after the other, each as two BEGINs, its tokens and END: numbers, keys of the bigrams and trigrams that end there, number of the text, place in it."""
-    parts = []
-    for every in texts:
-        ids = np.array([BEGIN, BEGIN, *map(words.__getitem__, every), END], np.uint64)
-        if len(every) > 1:
-            ids[3:-1][np.fromiter(map(eq, every[1:], every), bool, len(every) - 1)] = REPEAT
-        parts.append(ids)
-    ids = np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)
-    sizes = np.array([len(x) for x in parts], np.int64)
+    layout = layout or Layout(texts)
+    ids = layout.numbers(words)
     one = chained(42, ids)
     two = chained(np.concatenate((one[:1], one[:-1])), ids)
-    three = chained(np.concatenate((two[:1], two[:-1])), ids)
-    return ids, two, three, np.repeat(np.arange(len(parts)), sizes), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
+    return ids, two, chained(np.concatenate((two[:1], two[:-1])), ids), layout.doc, layout.at
 
-def word_trigrams(fitted: DataFrame) -> DataFrame:
-    """u, v, w, n and, of a trigram with one place, the ROW of its text; the total of the context (u, v), its numbers of words seen once, twice and more often (k1, k2, k3), and first, true once for each context.
 
-    Dealt once, by context, so the figures of a context need no further exchange.
-    """
+def fitted_streams(fitted: DataFrame) -> DataFrame:
+    """ROW, ids (the word numbers of the text, in binary)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches):
-            ids, _, three, doc, at = streams([tokens(x) for x in batch.column(1).to_pylist()], words)
-            ends = np.flatnonzero(at > 1)
-            _, some, n = np.unique(three[ends], return_index=True, return_counts=True)
-            some = ends[some]
-            u, v, w = ids[some - 2], ids[some - 1], ids[some]
-            order = np.lexsort((w, v, u))
-            rows = batch.column(0).to_numpy()[doc[some]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[order]) for x in (u, v, w, n)), pa.array(rows[order], mask=n[order] > 1)], ["u", "v", "w", "n", ROW])
-
-    tasks = int(fitted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = fitted.select(ROW, "text").mapInArrow(count, f"u long, v long, w long, n long, {ROW} long")
-    grams = found.repartition(tasks, "u", "v").groupBy("u", "v", "w").agg(F.sum("n").alias("n"), F.when(F.sum("n") == 1, F.max(ROW)).alias(ROW))
-    mine, n = W.partitionBy("u", "v"), F.col("n")
-    ks = [F.sum(x.cast("long")).over(mine).alias(f"k{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))]
-    return grams.select("u", "v", "w", "n", ROW, F.sum("n").over(mine).alias("total"), *ks, (F.row_number().over(mine.orderBy("w")) == 1).alias("first"))
-
-
-def ngram_weights(tri: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """key, n (how often the fitted rows have it), weight and, if it has one place, ROW for each n-gram of the model, and the log10 probability of an unknown word of each shape."""
-    bi = materialize(tri.groupBy("v", "w").agg(F.count("*").alias("n"), F.sum("n").alias("seen"), F.when(F.sum("n") == 1, F.max(ROW)).alias(ROW)))
-    uni = materialize(bi.groupBy("w").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.when(F.sum("seen") == 1, F.max(ROW)).alias(ROW)))
-    d3, d2, d1 = discounts(tri), discounts(bi), discounts(uni)
-    kind = F.col("w").bitwiseAND((1 << SHAPE_BITS) - 1).cast("int")
-    shapes = uni.groupBy(kind.alias("shape")).agg(F.sum("n"), F.sum(discounted(d1)), F.count_if(F.col("n") == 1), F.count("*")).collect()
-    total = float(sum(r[1] for r in shapes)) or 1.0
-    # What the discounts leave goes to all words and unknown events alike; unknown events by the shapes of the words that follow one word only.
-    share = np.ones(len(SHAPES))
-    for r in shapes:
-        share[r[0]] += r[3]
-    back = (total - sum(r[2] for r in shapes)) / total if shapes else 1.0
-    size = len(SHAPES) + sum(r[4] for r in shapes)
-    unknown = np.log10(back * len(SHAPES) / size * share / share.sum())
-    at = F.get(F.array(*[F.lit(float(x)) for x in unknown]), kind)
-    p1 = uni.select("w", "seen", ROW, (discounted(d1) / total + back / size).alias("p1"), at.alias("at"))
-    c2 = materialize(contexts(bi, d2, "v").withColumnsRenamed({"total": "t2", "back": "b2"}))
-    log = lambda x: F.log10(F.coalesce(x, F.lit(1.0)))
-    whole = F.col("n").cast("int").alias("n")
-    # BEGIN and the pair of BEGINs only come before words, END only after them.
-    ones = p1.join(c2.withColumnRenamed("v", "w"), "w", "full").select(
-        F.col("w").alias("key"), F.coalesce("seen", "t2").alias("n"), (F.when(F.col("p1").isNotNull(), F.log10("p1") - F.col("at")).otherwise(0.0) + log(F.col("b2"))).alias("weight"), ROW
-    )
-    ones = materialize(ones.withColumn("n", whole))
-    lower = F.col("b2") * F.col("p1")
-    p2 = materialize(
-        bi.select("v", "w", "seen", ROW, discounted(d2).alias("a2")).join(c2, "v").join(p1.select("w", "p1"), "w")
-        .select("v", "w", "seen", ROW, (F.col("a2") / F.col("t2") + lower).alias("p2"), lower.alias("lower"))
-        .select(F.xxhash64("v", "w").alias("vw"), "seen", ROW, "p2", F.log10(F.col("p2") / F.col("lower")).alias("gain"))
-    )
-    for table in (bi, uni, c2):
-        discard(table)
-    # An n-gram's share as its context's last word, over what the context leaves to the lower order.
-    left = F.col("k1") * d3[0] + F.col("k2") * d3[1] + F.col("k3") * d3[2]
-    own = tri.select(F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v", "w").alias("key"), "n", ROW, (discounted(d3) / left).alias("own"))
-    threes = materialize(own.join(p2.select("vw", "p2"), "vw").select("key", whole, F.log10(1 + F.col("own") / F.col("p2")).alias("weight"), ROW))
-    c3 = tri.filter("first").select(F.xxhash64("u", "v").alias("vw"), F.col("total").alias("t3"), (left / F.col("total")).alias("b3"))
-    twos = p2.drop("p2").join(c3, "vw", "full").select(F.col("vw").alias("key"), F.coalesce("seen", "t3").alias("n"), (F.coalesce("gain", F.lit(0.0)) + log(F.col("b3"))).alias("weight"), ROW)
-    twos = materialize(twos.withColumn("n", whole))
-    discard(p2)
-    return ones.unionByName(twos).unionByName(threes), unknown
+            layout = Layout([tokens(x) for x in batch.column(1).to_pylist()])
+            ids = np.split(layout.numbers(words), layout.end[:-1] + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], [ROW, "ids"])
+
+    return materialize(fitted.select(ROW, "text").mapInArrow(number, f"{ROW} long, ids binary"), compression="zstd")
 
 
 def key_places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -317,9 +244,9 @@ def key_places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def key_bitmap(weights: DataFrame, most: int) -> np.ndarray:
+def key_bitmap(weights: DataFrame, most: int, count: int | None = None) -> np.ndarray:
     """A bitmap of up to 2 ** most bits, as bytes, in which the places of all keys are set. Tasks set the bits; only the bitmap comes to the driver."""
-    bits = max(PIECE_BITS, min(most, (16 * weights.count()).bit_length()))
+    bits = max(PIECE_BITS, min(most, (16 * (weights.count() if count is None else count)).bit_length()))
     at = F.shiftrightunsigned("key", 64 - bits)
     pieces = weights.groupBy(F.shiftright(at, PIECE_BITS).alias("piece")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << PIECE_BITS) - 1)).alias("bits"))
     out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
@@ -334,67 +261,119 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def is_fast(weights: DataFrame, most: int) -> Column:
-    """Whether an n-gram is among the `most` most frequent ones, about; a hash chooses among those as frequent as the last."""
-    sizes = weights.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()  # a row for each count
-    left, out = most, F.lit(False)
-    for r in sizes:
-        if r.k > left:
-            return out | ((F.col("n") == r.n) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * left / r.k)))
-        left, out = left - r.k, F.col("n") >= r.n
-    return out
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Keys with other places in a bitmap."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+class Lookups:
+    """What tasks look documents up in: the most frequent n-grams with their weights, about `most` of them, and bitmaps of all n-grams and of those that fitted rows look up."""
+
+    def __init__(self, weights: list[DataFrame], most: int):
+        table = union(weights).filter(F.col("kind") == WEIGHT)
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, kinds in shards(batches):
+                n, k = np.unique(unpack(WEIGHT, kinds[WEIGHT])[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(k)], ["n", "k"])
+
+        found = table.mapInArrow(sizes, "n long, k long").groupBy("n").agg(F.sum("k").alias("k")).orderBy(F.desc("n")).collect()  # a row for each count
+        left, bound, share = most, 0, 1.0
+        for r in found:
+            if r.k > left:
+                bound, share = r.n, left / r.k
+                break
+            left -= r.k
+        count = sum(r.k for r in found)
+
+        def is_fast(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+            # A hash chooses among those as frequent as the last.
+            return (n > bound) | ((n == bound) & ((mixed(key).view(np.uint64) >> np.uint64(44)) < share * (1 << 20)))
 
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, kinds in shards(batches):
+                _, key, weight, n = unpack(WEIGHT, kinds[WEIGHT])
+                own = is_fast(key, n)
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(unfixed(weight[own])), pa.array(n[own] == 1)], ["key", "weight", "single"])
 
-def document_grams(rows: DataFrame, weights: DataFrame, unknown: np.ndarray, fast: Column, table: np.ndarray, symbols: Symbols) -> DataFrame:
-    """Of rows (ROW, fit, text) one row each with found (n_tokens; form: negative log10 probability by form; near: log10 probability by unknown words and frequent n-grams), and one row for each other n-gram that may be in the model: ROW, key, times.
+        def keys(other: bool, own: bool) -> DataFrame:
+            def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for _, kinds in shards(batches):
+                    _, key, _, n = unpack(WEIGHT, kinds[WEIGHT])
+                    key = key[n > 1] if own else key
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed(key) if other else key)], ["key"])
+
+            return table.mapInArrow(take, "key long")
+
+        self.count, sc = count, table.sparkSession.sparkContext
+        fast = table.mapInArrow(chosen, "key long, weight double, single boolean").toArrow()
+        order = np.argsort(fast.column("key").to_numpy())
+        self.fast = sc.broadcast(tuple(fast.column(c).to_numpy()[order] for c in ("key", "weight", "single")))
+        del fast, order
+        pa.default_memory_pool().release_unused()
+        self.maps = sc.broadcast((key_bitmap(keys(False, False), MAP_BITS, count), key_bitmap(keys(True, False), MAP_BITS, count), key_bitmap(keys(False, True), OWN_MAP_BITS)))
+        pa.default_memory_pool().release_unused()
+
+
+def document_grams(rows: DataFrame, lookups: Lookups, unknown: np.ndarray, table: np.ndarray, symbols: Symbols, bits: int) -> DataFrame:
+    """Of rows (ROW, fit, text) one row each with n_tokens, form (negative log10 probability by form) and near (log10 probability by unknown words and frequent n-grams), and as packed ENTRY rows the other n-grams that may be in the model.
 
     Rows with fit are not looked up for n-grams of one place: those are their own.
     """
-    spark = rows.sparkSession
-    chosen = weights.filter(fast).select("key", "weight").toArrow()
-    keys, values = chosen.column("key").to_numpy(), chosen.column("weight").to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    del chosen, order
-    pa.default_memory_pool().release_unused()
-    frequent = spark.sparkContext.broadcast((keys, values, unknown, table, symbols))
-    del keys, values
-    bitmaps = spark.sparkContext.broadcast((key_bitmap(weights, MAP_BITS), key_bitmap(weights.filter(fast | F.col(ROW).isNull()), OWN_MAP_BITS)))
-    pa.default_memory_pool().release_unused()
-    fields = pa.struct([("n_tokens", pa.int64()), ("form", pa.float64()), ("near", pa.float64())])
+    fast_ngrams, maps = lookups.fast, lookups.maps
+    scoring = rows.sparkSession.sparkContext.broadcast((unknown, table, symbols))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, fast_weight, unknown, table, symbols = frequent.value
-        every_map, own_map = bitmaps.value
+        fast, fast_weight, fast_single = fast_ngrams.value
+        every_map, other_map, own_map = maps.value
+        unknown, table, symbols = scoring.value
         words = Words()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def entries() -> pa.RecordBatch:
+            key, row, times, fit = (np.concatenate(x) for x in zip(*held))
+            low = row & ((1 << 32) - 1)
+            packed = pack(ENTRY, shard_of(key, bits), key, low, times, fit, base=row - low)
+            none = [pa.nulls(packed.num_rows, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([*none, *packed.columns], names)
+
+        names = [ROW, "n_tokens", "form", "near", "shard", "kind", "base", "size", "cols"]
         for batch in slices(batches, most=SLICE_BYTES):
             row, fit = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            texts = [tokens(x) for x in batch.column(2).to_pylist()]
-            form = np.array([table[codes(x, symbols)].sum() for x in texts], float)
-            ids, two, three, doc, at = streams(texts, words)
-            size = batch.num_rows
-            later, last = at > 0, at > 1
-            near = np.bincount(doc[last], unknown[ids[last] & ((1 << SHAPE_BITS) - 1)], size)
-            key, of = np.concatenate((ids[later], two[later], three[last])), np.concatenate((doc[later], doc[later], doc[last]))
-            may = in_bitmap(every_map, key)
-            key, of = key[may], of[may]
-            may = ~fit[of]
-            may[~may] = in_bitmap(own_map, key[~may])
+            layout, docs = Layout([tokens(x) for x in batch.column(2).to_pylist()]), batch.num_rows
+            ids, two, three, doc, at = streams([], words, layout)
+            later, last = np.flatnonzero(at > 0), np.flatnonzero(at > 1)
+            form = np.bincount(doc[last], table[layout.codes(symbols)], docs)
+            near = np.bincount(doc[last], unknown[ids[last] & ((1 << SHAPE_BITS) - 1)], docs)
+            key, of = np.concatenate((ids[later], two[later], trigram_keys(two[last], three[last], bits))), np.concatenate((doc[later], doc[later], doc[last]))
+            may = np.flatnonzero(in_bitmap(every_map, key))
+            may = may[in_bitmap(other_map, mixed(key[may]))]
             key, of = key[may], of[may]
+            own = np.flatnonzero(fit[of])
+            gone = np.zeros(len(key), bool)
+            gone[own] = ~in_bitmap(own_map, key[own])
+            key, of = key[~gone], of[~gone]
             spot = place(fast, key)
             known = spot >= 0
-            near += np.bincount(of[known], fast_weight[spot[known]], size)
+            near += np.bincount(of[known], fast_weight[spot[known]] * ~(fit[of[known]] & fast_single[spot[known]]), docs)
             key, of = key[~known], of[~known]
             order = np.lexsort((key, of))
             key, of = key[order], of[order]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (of[1:] != of[:-1]))))
-            n = np.diff(np.append(first, len(key))).astype(np.int32)
-            sizes = np.bincount(doc, minlength=size) - 3
-            found = pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(form), pa.array(near)], fields=list(fields))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), found], [ROW, "key", "times", "found"])
-            yield pa.RecordBatch.from_arrays([pa.array(row[of[first]]), pa.array(key[first]), pa.array(n), pa.nulls(len(first), fields)], [ROW, "key", "times", "found"])
-
-    return rows.mapInArrow(grams, f"{ROW} long, key long, times int, found struct<n_tokens: long, form: double, near: double>")
+            first = starts(of, key)
+            n = np.diff(np.append(first, len(key)))
+            held.append((key[first], row[of[first]], n, fit[of[first]]))
+            size += len(first)
+            tokens_of = np.bincount(doc, minlength=docs) - 3
+            none = [pa.nulls(docs, t) for t in SCHEMA.types]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(tokens_of), pa.array(form), pa.array(near), *none], names)
+            if size > HELD:
+                yield entries()
+                held, size = [], 0
+        if held:
+            yield entries()
+
+    return rows.mapInArrow(grams, f"{ROW} long, n_tokens long, form double, near double, {PACKED}")
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
@@ -412,34 +391,43 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     fitted = materialize(rows.select(ROW, "doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(ROW, "text"))
     symbols = Symbols(frequent_words(fitted, SYMBOLS - len(SHAPES)))
     table = form_table(form_counts(fitted, symbols))
-    trigrams = materialize(word_trigrams(fitted))
+    streamed = fitted_streams(fitted)
     discard(fitted)
-    weights, unknown = ngram_weights(trigrams)
-    discard(trigrams)
+    n_tokens = streamed.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 8
+    bits = max(3, (n_tokens // SHARD_TOKENS).bit_length())
+    counted = count_trigrams(streamed, bits)
+    discard(streamed)
+    words, stats = count_words(counted, bits)
+    weights, unknown = weigh(counted, words, stats, bits, len(SHAPES))
     if few:
         marked = rows.join(F.broadcast(ids.withColumn("fit", F.lit(True))), "doc_id", "left").select(ROW, F.coalesce("fit", F.lit(False)).alias("fit"), "text")
     else:
         # Texts would be shuffled to be told from others, so fitted rows are looked up as all rows are.
-        weights = weights.withColumn(ROW, F.lit(None).cast("long"))
         marked = rows.select(ROW, F.lit(False).alias("fit"), "text")
-    fast = is_fast(weights, FAST_NGRAMS)
-    entries = materialize(document_grams(marked, weights, unknown, fast, table, symbols))
-    # Frequent n-grams are summed already; what is still a hot key the adaptive join splits.
-    far = weights.filter(~fast).select("key", "weight", F.col(ROW).alias("of"))
-    sums = [materialize(far.filter("of IS NOT NULL").groupBy(F.col("of").alias(ROW)).agg(F.sum("weight").alias("far")))]
-    # A fitted row's own n-grams of one place come from the model, so those that its bitmap lets through are left out.
-    theirs = ~F.col("of").eqNullSafe(F.col(ROW))
-    # Joined by ranges of the key, one after the other, so that a part alone of both sides is shuffled at a time.
-    for part in range(1 << PART_BITS):
-        here = F.shiftrightunsigned("key", 64 - PART_BITS) == part
-        looked = entries.filter(F.col("times").isNotNull() & here).select(ROW, "key", "times").join(far.filter(here), "key").filter(theirs)
-        sums.append(materialize(looked.groupBy(ROW).agg(F.sum(F.col("times") * F.col("weight")).alias("far"))))
-    discard(weights)
-    summed = reduce(DataFrame.unionByName, sums).groupBy(ROW).agg(F.sum("far").alias("far"))
-    held = entries.filter(F.col("found").isNotNull()).select(ROW, "found.*").join(rows.select(ROW, "doc_id", "lang"), ROW)
+    lookups = Lookups(weights, FAST_NGRAMS)
+    sums = [materialize(by_row([w.filter(F.col("kind") == OWN) for w in weights], bits))] if few else []
+    held = []
+    # The documents are looked up in rounds, and in each by parts of the model, one after the other, so that a share alone of the entries is kept, and a part of both sides shuffled, at a time.
+    rounds = parts_of(bits, ROUNDS)
+    for turn in range(rounds):
+        scanned = materialize(document_grams(marked.filter(F.pmod(F.col(ROW), F.lit(rounds)) == turn), lookups, unknown, table, symbols, bits), compression="zstd")
+        held.append(materialize(scanned.filter(F.col(ROW).isNotNull()).select(ROW, "n_tokens", "form", "near")))
+        entries = scanned.filter(F.col("kind").isNotNull()).select("shard", "kind", "base", "size", "cols")
+        far = [materialize(look_up(entries.filter(F.col("shard") % len(weights) == part), w.filter(F.col("kind") == WEIGHT), bits), compression="zstd") for part, w in enumerate(weights)]
+        discard(scanned)
+        sums.append(materialize(by_row(far, bits)))
+        for done in far:
+            discard(done)
+    for done in weights:
+        discard(done)
+    lookups.fast.unpersist()
+    lookups.maps.unpersist()
+    del lookups
+    summed = union(sums).groupBy(ROW).agg(F.sum("far").alias("far"))
+    found, held = held, union(held).join(rows.select(ROW, "doc_id", "lang"), ROW)
     total = -(F.col("near") + F.coalesce("far", F.lit(0.0)))
     scored = materialize(held.join(summed, ROW, "left").select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
-    for done in (entries, *sums):
+    for done in (*found, *sums):
         discard(done)
     size = F.col("n_tokens") + 1
     check = scored.join(trusted.filter(~F.col("fit")), "doc_id", "left_semi")

@@ -652,6 +652,24 @@ def test_fitted_rows_too_many_to_broadcast_are_scored_alike(spark, docs, rows, m
     assert scores() == want
 
 
+def test_quality_in_parts_gives_the_same_and_no_table_has_a_row_for_each_ngram(spark, docs, rows, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i is not None and i < 100], "doc_id long, quality int, toxic int")
+    fit = {r.doc_id for r in kneser_ney.trusted_labels(labels).collect() if r.fit}
+    nll = plain_kneser_ney([kneser_ney.tokens(t) for i, t, *_ in rows if i in fit])
+    want = Counter((i, len(ts := kneser_ney.tokens(t)), round(nll(ts) / (len(ts) + 1), 6)) for i, t, *_ in rows)
+    counts = []
+
+    def counted(df, *by, f=kneser_ney.materialize, **options):
+        counts.append((out := f(df, *by, **options)).count())
+        return out
+
+    monkeypatch.setattr(kneser_ney, "materialize", counted)
+    monkeypatch.setattr(kneser_ney, "FAST_NGRAMS", 300)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 600, raising=False)
+    assert Counter((r.doc_id, r.n_tokens, round(r.nll, 6)) for r in kneser_ney.quality(docs, labels).collect()) == want
+    assert max(counts) < 2000 < sum(len(kneser_ney.tokens(t)) for _, t, *_ in rows)
+
+
 def test_ngram_keys_are_sparks_hashes(spark):
     from pyspark.sql import Row
 
