@@ -665,7 +665,7 @@ def test_quality_in_parts_gives_the_same_and_no_table_has_a_row_for_each_ngram(s
 
     monkeypatch.setattr(kneser_ney, "materialize", counted)
     monkeypatch.setattr(kneser_ney, "FAST_NGRAMS", 300)
-    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 600, raising=False)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 150, raising=False)
     assert Counter((r.doc_id, r.n_tokens, round(r.nll, 6)) for r in kneser_ney.quality(docs, labels).collect()) == want
     assert max(counts) < 2000 < sum(len(kneser_ney.tokens(t)) for _, t, *_ in rows)
 
