@@ -38,14 +38,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import BROADCAST_ROWS, ROW, discard, flat_words, keyed, materialize, place, raw_bytes, settled, slices, without
+from .common import BROADCAST_ROWS, ROW, cleaning, discard, keyed, materialize, place, settled, slices, without
 from .ngrams import (
-    BEGIN, END, ENTRY, HELD, OWN, PACKED, SCHEMA, SHAPE_BITS, SHARD_TOKENS, WEIGHT, by_row, chained, count_trigrams, count_words, cuts, look_up, pack, parts_of, shard_of, shards, starts, trigram_keys, unfixed, union, unpack, weigh
+    COLUMNS, ENTRY, FAST, HELD, PACKED, SCHEMA, SHAPE_BITS, SHARD_TOKENS, WEIGHT, by_row, chained, count_trigrams, count_words, cuts, kept, look_up, pack, parts_of, shard_of, shards, starts, trigram_keys, unfixed, union, unpack, weigh
 )
+from .words import AGAIN, Layout, Words, shape
 
 #: Symbols of the model of forms; its n-gram codes have BITS for each.
 SYMBOLS, BITS = 64, 6
@@ -58,17 +59,17 @@ SLICE_BYTES = 1 << 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Fixed symbols, in the order of their numbers: the edge of a text, shapes, and a token equal to the one before.
 SHAPES = ("edge", "number", "upper", "title", "short", "middle", "long", "mixed", "sign", "signs", "again")
-AGAIN = SHAPES.index("again")
-#: The number of a token equal to the one before.
-REPEAT = 3 << SHAPE_BITS | AGAIN
 #: Most n-grams that travel with the tasks, the most frequent ones, 16 bytes each.
 FAST_NGRAMS = 1_200_000
 #: Most bits of each of two bitmaps of the model's n-grams, 2 to this power (16 MB), and of the one that fitted rows use (4 MB). Fewer n-grams have some 16 bits each.
 MAP_BITS, OWN_MAP_BITS = 27, 25
 #: The documents are looked up in so many rounds at most.
-ROUNDS = 4
+ROUNDS = 3
+#: The most frequent n-grams are found by their highest bits, so many at most.
+INDEX_BITS = 21
 #: Bits of a piece of a bitmap, as Spark's bitmap functions make it: 2 to this power.
 PIECE_BITS = 15
+PIECES = "which int, piece long, bits binary"
 #: Distinct tokens that a task counts before it sends the counts on.
 COUNTED = 200_000
 
@@ -77,69 +78,17 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text or "")
 
 
-def shape(token: str) -> int:
-    """The number of the shape of a token that is not in the vocabulary."""
-    if token.isalpha():
-        if token.islower():
-            return 4 if len(token) < 5 else 5 if len(token) < 9 else 6
-        return 3 if token[1:].islower() or len(token) == 1 else 2 if token.isupper() else 7
-    if token[0].isalnum() or token[0] == "_":
-        return 1 if token.isdigit() else 7
-    return 8 if len(token) == 1 else 9
+class Symbols:
+    """The symbols of tokens: a word's place in the list, after the shapes, and any other token's shape."""
 
+    def __init__(self, words: list[str]):
+        numbers = Words().numbers(words)
+        order = np.argsort(numbers)
+        self.keys, self.values = numbers[order], np.append(order + len(SHAPES), 0)
 
-class Symbols(dict):
-    """Token -> symbol; remembers the shapes of up to `most` other tokens."""
-
-    def __init__(self, words: list[str], most: int = 50_000):
-        super().__init__({w: i + len(SHAPES) for i, w in enumerate(words)})
-        self.words, self.room = words, most
-
-    def __missing__(self, token: str) -> int:
-        out = shape(token)
-        if self.room and len(token) < 64:
-            self.room -= 1
-            self[token] = out
-        return out
-
-    def __reduce__(self):
-        return (Symbols, (self.words,))
-
-
-class Layout:
-    """The tokens of texts one after the other, each text as two edges, its tokens and an edge."""
-
-    def __init__(self, texts: list[list[str]]):
-        #: Each token as a number into the distinct ones, and whether it equals the one before.
-        self.of, self.distinct = flat_words(texts)
-        n = np.array([len(x) for x in texts], np.int64)
-        self.again = np.zeros(len(self.of), bool)
-        self.again[1:] = self.of[1:] == self.of[:-1]
-        self.again[(np.cumsum(n) - n)[n > 0]] = False
-        #: Number of the text and place in it, of each token and edge.
-        sizes = n + 3
-        self.doc = np.repeat(np.arange(len(n)), sizes)
-        self.at = np.arange(len(self.doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.end = np.cumsum(sizes) - 1
-        self.token = self.at > 1
-        self.token[self.end] = False
-
-    def filled(self, number: Callable[[str], int], begin: int, end: int, again: int) -> np.ndarray:
-        """A number for each token and edge."""
-        out = np.full(len(self.doc), begin, np.int64)
-        out[self.end] = end
-        values = np.fromiter(map(number, self.distinct), np.uint64, len(self.distinct)).view(np.int64)
-        out[self.token] = np.where(self.again, again, values[self.of]) if len(self.of) else 0
-        return out
-
-    def codes(self, symbols: Symbols) -> np.ndarray:
-        """The trigram codes of symbols, for each place after the first two of a text."""
-        ids = self.filled(symbols.__getitem__, 0, 0, AGAIN)
-        at = np.flatnonzero(self.at > 1)
-        return ids[at - 2] << 2 * BITS | ids[at - 1] << BITS | ids[at]
-
-    def numbers(self, words: Words) -> np.ndarray:
-        return self.filled(words.__getitem__, BEGIN, END, REPEAT)
+    def of(self, numbers: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        at = place(self.keys, numbers)
+        return np.where(at < 0, shapes, self.values[at])
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -172,9 +121,9 @@ def form_counts(fitted: DataFrame, symbols: Symbols) -> np.ndarray:
     """How often each trigram of symbols is in the fitted rows: SYMBOLS ** 3 numbers, however many rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total, words = np.zeros(SYMBOLS**3, np.int64), Words()
         for batch in slices(batches):
-            total += np.bincount(Layout([tokens(x) for x in batch.column(0).to_pylist()]).codes(symbols), minlength=len(total))
+            total += np.bincount(words.of_texts(batch.column(0).to_pylist()).symbols(symbols.of, BITS), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
@@ -202,26 +151,10 @@ def form_table(counts: np.ndarray) -> np.ndarray:
     return -np.log10(p).reshape(-1)
 
 
-class Words(dict):
-    """Token -> number: a hash whose low bits are the token's shape. Remembers up to `room` tokens."""
-
-    def __init__(self, room: int = 100_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, token: str) -> int:
-        out = xxh64_intdigest(raw_bytes(token)) >> SHAPE_BITS << SHAPE_BITS | shape(token)
-        if self.room and len(token) < 64:
-            self.room -= 1
-            self[token] = out
-        return out
-
-
 def streams(texts: list[list[str]], words: Words, layout: Layout | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the texts one after the other, each as two BEGINs, its tokens and END: numbers, keys of the bigrams and trigrams that end there, number of the text, place in it."""
-    layout = layout or Layout(texts)
-    ids = layout.numbers(words)
-    one = chained(42, ids)
+    layout = layout or words.of_tokens(texts)
+    ids, one = layout.numbers(), chained(42, layout.vocabulary)[layout.codes]
     two = chained(np.concatenate((one[:1], one[:-1])), ids)
     return ids, two, chained(np.concatenate((two[:1], two[:-1])), ids), layout.doc, layout.at
 
@@ -232,8 +165,8 @@ def fitted_streams(fitted: DataFrame) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches):
-            layout = Layout([tokens(x) for x in batch.column(1).to_pylist()])
-            ids = np.split(layout.numbers(words), layout.end[:-1] + 1)
+            layout = words.of_texts(batch.column(1).to_pylist())
+            ids = np.split(layout.numbers(), layout.end[:-1] + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], [ROW, "ids"])
 
     return materialize(fitted.select(ROW, "text").mapInArrow(number, f"{ROW} long, ids binary"), compression="zstd")
@@ -244,16 +177,42 @@ def key_places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def key_bitmap(weights: DataFrame, most: int, count: int | None = None) -> np.ndarray:
-    """A bitmap of up to 2 ** most bits, as bytes, in which the places of all keys are set. Tasks set the bits; only the bitmap comes to the driver."""
-    bits = max(PIECE_BITS, min(most, (16 * (weights.count() if count is None else count)).bit_length()))
-    at = F.shiftrightunsigned("key", 64 - bits)
-    pieces = weights.groupBy(F.shiftright(at, PIECE_BITS).alias("piece")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << PIECE_BITS) - 1)).alias("bits"))
-    out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
-    for batch in pieces.toArrow().to_batches():
-        for piece, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-            out[piece] = np.frombuffer(found.as_buffer(), np.uint8)
-    return out.reshape(-1)
+def map_bits(count: int, most: int) -> int:
+    """Bits of a bitmap of so many keys, as a power of 2: some 16 a key."""
+    return max(PIECE_BITS, min(most, (16 * count).bit_length()))
+
+
+def pieces(which: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The pieces of a bitmap that have places of the keys, which lie near each other."""
+    at = key_places(keys, bits)
+    low, high = (int(at.min()) >> PIECE_BITS, int(at.max()) >> PIECE_BITS) if len(at) else (0, -1)
+    flags = np.zeros((high - low + 1) << PIECE_BITS, bool)
+    flags[at - (low << PIECE_BITS)] = True
+    made = np.packbits(flags, bitorder="little").reshape(-1, 1 << (PIECE_BITS - 3))
+    some = np.flatnonzero(made.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), which, np.int32)), pa.array(some + low), pa.array([made[i].tobytes() for i in some], pa.binary())], ["which", "piece", "bits"])
+
+
+def bitmaps(found: DataFrame, bits: list[int]) -> list[np.ndarray]:
+    """Bitmaps as bytes, from their pieces; tasks set the bits and only the bitmaps come to the driver."""
+    out = [np.zeros((1 << (b - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8) for b in bits]
+    with cleaning(found.sparkSession):
+        whole = found.groupBy("which", "piece").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    for batch in whole.to_batches():
+        for which, piece, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            out[which][piece] = np.frombuffer(made.as_buffer(), np.uint8)
+    return [x.reshape(-1) for x in out]
+
+
+def key_bitmap(keys: DataFrame, most: int) -> np.ndarray:
+    """A bitmap of up to 2 ** most bits in which the places of all keys are set."""
+    bits = map_bits(keys.count(), most)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pieces(0, batch.column(0).to_numpy(), bits)
+
+    return bitmaps(keys.select("key").mapInArrow(made, PIECES), [bits])[0]
 
 
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -261,9 +220,54 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def scattered(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
-    """Keys with other places in a bitmap."""
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    """Keys with other places in a bitmap, near their own: the first 12 bits stay, so that a shard's keys are in few pieces."""
+    top = np.uint64(52)
+    return (keys.view(np.uint64) >> top << top | scattered(keys) >> np.uint64(12)).view(np.int64)
+
+
+class Tables:
+    """The most frequent n-grams and three bitmaps as tasks look documents up in them; travels compressed."""
+
+    def __init__(self, fast: list[tuple[int, int, bytes]], maps: list[np.ndarray]):
+        self.fast = fast
+        self.maps = [(pa.compress(m.tobytes(), codec="zstd", asbytes=True), len(m)) for m in maps]
+        self.opened = False
+
+    def open(self) -> Tables:
+        """Unpacks the tables, once a worker."""
+        if not self.opened:
+            _, key, weight, single = unpack(FAST, self.fast)
+            order = np.argsort(key.view(np.uint64))
+            self.key, self.weight, self.single = key[order], unfixed(weight)[order], single[order]
+            self.bits = min(INDEX_BITS, len(key).bit_length() + 1)
+            self.index = np.concatenate(([0], np.cumsum(np.bincount(key_places(self.key, self.bits), minlength=1 << self.bits)))).astype(np.int32)
+            self.every, self.other, self.own = (np.frombuffer(pa.decompress(m, size, codec="zstd", asbytes=True), np.uint8) for m, size in self.maps)
+            self.fast, self.maps, self.opened = [], [], True
+        return self
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        """The places of the keys that may be in the model."""
+        at = np.flatnonzero(in_bitmap(self.every, keys))
+        return at[in_bitmap(self.other, mixed(keys[at]))]
+
+    def spots(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key among the most frequent n-grams, -1 if it is not there."""
+        out = np.full(len(wanted), -1)
+        bucket = key_places(wanted, self.bits)
+        at, end = self.index[bucket], self.index[bucket + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.key[at] == wanted[live]
+            out[live[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            live, at, end = live[more], at[more] + 1, end[more]
+        return out
 
 
 class Lookups:
@@ -288,44 +292,40 @@ class Lookups:
 
         def is_fast(key: np.ndarray, n: np.ndarray) -> np.ndarray:
             # A hash chooses among those as frequent as the last.
-            return (n > bound) | ((n == bound) & ((mixed(key).view(np.uint64) >> np.uint64(44)) < share * (1 << 20)))
+            return (n > bound) | ((n == bound) & (scattered(key) >> np.uint64(44) < share * (1 << 20)))
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, kinds in shards(batches):
+            for shard, kinds in shards(batches):
                 _, key, weight, n = unpack(WEIGHT, kinds[WEIGHT])
                 own = is_fast(key, n)
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(unfixed(weight[own])), pa.array(n[own] == 1)], ["key", "weight", "single"])
-
-        def keys(other: bool, own: bool) -> DataFrame:
-            def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for _, kinds in shards(batches):
-                    _, key, _, n = unpack(WEIGHT, kinds[WEIGHT])
-                    key = key[n > 1] if own else key
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(key) if other else key)], ["key"])
-
-            return table.mapInArrow(take, "key long")
-
-        self.count, sc = count, table.sparkSession.sparkContext
-        fast = table.mapInArrow(chosen, "key long, weight double, single boolean").toArrow()
-        order = np.argsort(fast.column("key").to_numpy())
-        self.fast = sc.broadcast(tuple(fast.column(c).to_numpy()[order] for c in ("key", "weight", "single")))
-        del fast, order
-        pa.default_memory_pool().release_unused()
-        self.maps = sc.broadcast((key_bitmap(keys(False, False), MAP_BITS, count), key_bitmap(keys(True, False), MAP_BITS, count), key_bitmap(keys(False, True), OWN_MAP_BITS)))
+                yield pack(FAST, np.full(own.sum(), shard), key[own], weight[own], n[own] == 1)
+
+        single = sum(r.k for r in found if r.n == 1)
+        bits = [map_bits(count, MAP_BITS), map_bits(count, MAP_BITS), map_bits(count - single, OWN_MAP_BITS)]
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, kinds in shards(batches):
+                _, key, _, n = unpack(WEIGHT, kinds[WEIGHT])
+                for which, keys in enumerate((key, mixed(key), key[n > 1])):
+                    yield pieces(which, keys, bits[which])
+
+        fast = [(0, r.size, bytes(r.data)) for r in table.mapInArrow(chosen, PACKED).select("size", "data").collect()]
+        maps = bitmaps(table.mapInArrow(mapped, PIECES), bits)
+        self.tables = table.sparkSession.sparkContext.broadcast(Tables(fast, maps))
+        del fast, maps
         pa.default_memory_pool().release_unused()
 
 
-def document_grams(rows: DataFrame, lookups: Lookups, unknown: np.ndarray, table: np.ndarray, symbols: Symbols, bits: int) -> DataFrame:
+def document_grams(rows: DataFrame, lookups: Lookups, scoring: Broadcast, bits: int) -> DataFrame:
     """Of rows (ROW, fit, text) one row each with n_tokens, form (negative log10 probability by form) and near (log10 probability by unknown words and frequent n-grams), and as packed ENTRY rows the other n-grams that may be in the model.
 
     Rows with fit are not looked up for n-grams of one place: those are their own.
+    scoring: log10 probabilities of unknown words by shape, the table of forms and its symbols.
     """
-    fast_ngrams, maps = lookups.fast, lookups.maps
-    scoring = rows.sparkSession.sparkContext.broadcast((unknown, table, symbols))
+    broadcast = lookups.tables
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, fast_weight, fast_single = fast_ngrams.value
-        every_map, other_map, own_map = maps.value
+        model = broadcast.value.open()
         unknown, table, symbols = scoring.value
         words = Words()
         held: list[tuple[np.ndarray, ...]] = []
@@ -338,35 +338,46 @@ def document_grams(rows: DataFrame, lookups: Lookups, unknown: np.ndarray, table
             none = [pa.nulls(packed.num_rows, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([*none, *packed.columns], names)
 
-        names = [ROW, "n_tokens", "form", "near", "shard", "kind", "base", "size", "cols"]
+        names = [ROW, "n_tokens", "form", "near", *COLUMNS]
         for batch in slices(batches, most=SLICE_BYTES):
             row, fit = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            layout, docs = Layout([tokens(x) for x in batch.column(2).to_pylist()]), batch.num_rows
+            layout, docs = words.of_texts(batch.column(2).to_pylist()), batch.num_rows
             ids, two, three, doc, at = streams([], words, layout)
             later, last = np.flatnonzero(at > 0), np.flatnonzero(at > 1)
-            form = np.bincount(doc[last], table[layout.codes(symbols)], docs)
-            near = np.bincount(doc[last], unknown[ids[last] & ((1 << SHAPE_BITS) - 1)], docs)
-            key, of = np.concatenate((ids[later], two[later], trigram_keys(two[last], three[last], bits))), np.concatenate((doc[later], doc[later], doc[last]))
-            may = np.flatnonzero(in_bitmap(every_map, key))
-            may = may[in_bitmap(other_map, mixed(key[may]))]
+            form = np.bincount(doc[last], table[layout.symbols(symbols.of, BITS)], docs)
+            # Single words are looked up once for all their places.
+            every, code, of = layout.vocabulary, layout.codes[later], doc[later]
+            near = np.bincount(doc[last], unknown[every & ((1 << SHAPE_BITS) - 1)][layout.codes[last]], docs)
+            spot = np.full(len(every), -1)
+            may = model.may(every)
+            spot[may] = model.spots(every[may])
+            known, asked = spot >= 0, np.zeros(len(every), bool)
+            asked[may] = spot[may] < 0
+            weight, single = np.zeros(len(every)), np.zeros(len(every), bool)
+            weight[known], single[known] = model.weight[spot[known]], model.single[spot[known]]
+            near += np.bincount(of, weight[code] * ~(fit[of] & single[code]), docs)
+            asked = asked[code] & ~(fit[of] & ~in_bitmap(model.own, every)[code])
+            words_key, words_of = every[code[asked]], of[asked]
+            # Two and three words.
+            key, of = np.concatenate((two[later], trigram_keys(two[last], three[last], bits))), np.concatenate((of, doc[last]))
+            may = model.may(key)
             key, of = key[may], of[may]
             own = np.flatnonzero(fit[of])
             gone = np.zeros(len(key), bool)
-            gone[own] = ~in_bitmap(own_map, key[own])
+            gone[own] = ~in_bitmap(model.own, key[own])
             key, of = key[~gone], of[~gone]
-            spot = place(fast, key)
+            spot = model.spots(key)
             known = spot >= 0
-            near += np.bincount(of[known], fast_weight[spot[known]] * ~(fit[of[known]] & fast_single[spot[known]]), docs)
-            key, of = key[~known], of[~known]
+            near += np.bincount(of[known], model.weight[spot[known]] * ~(fit[of[known]] & model.single[spot[known]]), docs)
+            key, of = np.concatenate((words_key, key[~known])), np.concatenate((words_of, of[~known]))
             order = np.lexsort((key, of))
             key, of = key[order], of[order]
             first = starts(of, key)
             n = np.diff(np.append(first, len(key)))
             held.append((key[first], row[of[first]], n, fit[of[first]]))
             size += len(first)
-            tokens_of = np.bincount(doc, minlength=docs) - 3
             none = [pa.nulls(docs, t) for t in SCHEMA.types]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(tokens_of), pa.array(form), pa.array(near), *none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(layout.tokens_of), pa.array(form), pa.array(near), *none], names)
             if size > HELD:
                 yield entries()
                 held, size = [], 0
@@ -398,36 +409,36 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     counted = count_trigrams(streamed, bits)
     discard(streamed)
     words, stats = count_words(counted, bits)
-    weights, unknown = weigh(counted, words, stats, bits, len(SHAPES))
+    weights, own, unknown = weigh(counted, words, stats, bits, len(SHAPES))
     if few:
         marked = rows.join(F.broadcast(ids.withColumn("fit", F.lit(True))), "doc_id", "left").select(ROW, F.coalesce("fit", F.lit(False)).alias("fit"), "text")
     else:
         # Texts would be shuffled to be told from others, so fitted rows are looked up as all rows are.
         marked = rows.select(ROW, F.lit(False).alias("fit"), "text")
     lookups = Lookups(weights, FAST_NGRAMS)
-    sums = [materialize(by_row([w.filter(F.col("kind") == OWN) for w in weights], bits))] if few else []
-    held = []
+    scoring = docs.sparkSession.sparkContext.broadcast((unknown, table, symbols))
+    held, sums = [], own if few else []
     # The documents are looked up in rounds, and in each by parts of the model, one after the other, so that a share alone of the entries is kept, and a part of both sides shuffled, at a time.
     rounds = parts_of(bits, ROUNDS)
     for turn in range(rounds):
-        scanned = materialize(document_grams(marked.filter(F.pmod(F.col(ROW), F.lit(rounds)) == turn), lookups, unknown, table, symbols, bits), compression="zstd")
+        scanned = kept(document_grams(marked.filter(F.pmod(F.col(ROW), F.lit(rounds)) == turn), lookups, scoring, bits))
         held.append(materialize(scanned.filter(F.col(ROW).isNotNull()).select(ROW, "n_tokens", "form", "near")))
-        entries = scanned.filter(F.col("kind").isNotNull()).select("shard", "kind", "base", "size", "cols")
-        far = [materialize(look_up(entries.filter(F.col("shard") % len(weights) == part), w.filter(F.col("kind") == WEIGHT), bits), compression="zstd") for part, w in enumerate(weights)]
+        entries = scanned.filter(F.col("kind").isNotNull()).select(*COLUMNS)
+        far = [kept(look_up(entries.filter(F.col("shard") % len(weights) == part), w.filter(F.col("kind") == WEIGHT), bits)) for part, w in enumerate(weights)]
         discard(scanned)
         sums.append(materialize(by_row(far, bits)))
         for done in far:
             discard(done)
     for done in weights:
         discard(done)
-    lookups.fast.unpersist()
-    lookups.maps.unpersist()
-    del lookups
+    lookups.tables.unpersist()
+    scoring.unpersist()
+    del lookups, scoring
     summed = union(sums).groupBy(ROW).agg(F.sum("far").alias("far"))
     found, held = held, union(held).join(rows.select(ROW, "doc_id", "lang"), ROW)
     total = -(F.col("near") + F.coalesce("far", F.lit(0.0)))
     scored = materialize(held.join(summed, ROW, "left").select(ROW, "doc_id", "lang", "n_tokens", "form", total.alias("total")))
-    for done in (*found, *sums):
+    for done in (*found, *own, *sums):
         discard(done)
     size = F.col("n_tokens") + 1
     check = scored.join(trusted.filter(~F.col("fit")), "doc_id", "left_semi")

@@ -1,8 +1,8 @@
 """Tables of n-grams in packed shards: the counts and weights of the quality model.
 
-A shard is a range of hashes. Its rows of one kind lie column by column in binary
-values, so Spark deals out and stores a few large rows, and a task works on the
-shards that it got with numpy. There are as many shards as the fitted rows need
+A shard is a range of hashes. Its rows of one kind lie in one compressed binary
+value (encode), so Spark deals out and stores a few large rows, and a task works on
+the shards that it got with numpy. There are as many shards as the fitted rows need
 at SHARD_TOKENS tokens each; steps go by parts, a share of the shards at a time,
 so that a part alone of a table is shuffled at once.
 
@@ -24,53 +24,96 @@ from pyspark.sql import functions as F
 
 from .common import ROW, discard, materialize, place
 
-#: shard; kind of the rows; base: a number that they share; their number; their columns.
-PACKED = "shard int, kind int, base long, size int, cols array<binary>"
-SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("size", pa.int32()), ("cols", pa.list_(pa.binary()))])
+#: shard; kind of the rows; base: a number that they share; their number; their columns, encoded.
+PACKED = "shard int, kind int, base long, size int, data binary"
+SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("size", pa.int32()), ("data", pa.binary())])
+COLUMNS = SCHEMA.names
 #: Tokens of fitted rows for each shard, about.
-SHARD_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 19
 #: The steps go by so many parts of the shards at most, the counting of trigrams by fewer.
 PARTS, COUNT_PARTS = 8, 4
 #: Tokens or entries that a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: A weight is held as a whole number of 2 to this power parts, in five bytes.
 WEIGHT_BITS = 35
 #: Low bits of a word's number, which hold its shape. Events that are no word have small numbers; END's shape is an edge.
 SHAPE_BITS = 4
 BEGIN, END = 1 << SHAPE_BITS, 2 << SHAPE_BITS
-RAW, TRIGRAM, BIGRAM, SHARE, WORD, FIGURES, WEIGHT, OWN, ENTRY, FAR, STATS = range(11)
-L, N = np.int64, np.uint32
+RAW, TRIGRAM, BIGRAM, SHARE, WORD, FIGURES, WEIGHT, OWN, ENTRY, FAR, STATS, FAST = range(12)
+#: How a column is written: its values as they are, or byte by byte (all first bytes, all second ones, and so on), or so the differences of sorted values.
+PLAIN, BYTES, STEPS = range(3)
+L, N = np.dtype(np.int64), np.dtype(np.uint32)
+WEIGHED = np.dtype("V5")
 FORMS = {
-    RAW: (L, L, L, N, L),  # u, v, w, n, row of its place if there is one only, else -1
-    TRIGRAM: (L, L, N, N, N, N, L),  # hash of v and w, key, n, the numbers of words seen once, twice and more often after u and v, row
-    BIGRAM: (L, L, N, N, N, N),  # v, w, how often it is a context, the numbers of words seen once, twice and more often after it
-    SHARE: (L, L, L, L, L, L, L, L),  # word; as a context: total, bigrams of 1, 2, more first words; as a last word: bigrams, places, row
-    WORD: (L, L, L, L, L, L, L, L),
-    FIGURES: (L, L, L, L, L, L),  # word, as above without places and row
-    WEIGHT: (L, "V5", N),  # key, weight, n
-    OWN: (L, np.float64),  # row, summed weights
-    ENTRY: (L, N, N, np.bool_),  # key, row less the base, times, whether the row is fitted
-    FAR: (L, np.float64),
+    RAW: ((L, PLAIN), (L, PLAIN), (L, PLAIN), (N, BYTES), (L, BYTES)),  # u, v, w, n, row of its place if there is one only, else -1
+    TRIGRAM: ((L, STEPS), (L, PLAIN), *[(N, BYTES)] * 4, (L, BYTES)),  # hash of v and w, u, n, the numbers of words seen once, twice and more often after u and v, row
+    BIGRAM: ((L, STEPS), (L, PLAIN), *[(N, BYTES)] * 4),  # v, w, how often it is a context, the numbers of words seen once, twice and more often after it
+    SHARE: ((L, STEPS), *[(L, BYTES)] * 7),  # word; as a context: total, bigrams of 1, 2, more first words; as a last word: bigrams, places, row
+    WORD: ((L, STEPS), *[(L, BYTES)] * 7),
+    FIGURES: ((L, STEPS), *[(L, BYTES)] * 5),  # word, as above without places and row
+    WEIGHT: ((L, STEPS), (WEIGHED, BYTES), (N, BYTES)),  # key, weight, n
+    OWN: ((L, STEPS), (np.dtype(float), BYTES)),  # row, summed weights
+    ENTRY: ((L, STEPS), (N, BYTES), (N, BYTES), (np.dtype(bool), BYTES)),  # key, row less the base, times, whether the row is fitted
+    FAR: ((L, STEPS), (np.dtype(float), BYTES)),
+    STATS: ((L, PLAIN),),
+    FAST: ((L, STEPS), (WEIGHED, BYTES), (np.dtype(bool), BYTES)),  # key, weight, whether it is of one place
 }
+#: Kinds whose shards are ranges of their first column.
+BY_KEY = {TRIGRAM, SHARE, WORD, WEIGHT, ENTRY, FAST}
+
+
+def encode(kind: int, cols: list[np.ndarray]) -> bytes:
+    """The columns in one compressed value. Of STEPS columns the differences are given."""
+    parts = [c.tobytes() if how == PLAIN else c.view(np.uint8).reshape(-1, form.itemsize).T.tobytes() for c, (form, how) in zip(cols, FORMS[kind])]
+    return pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def decode(kind: int, size: int, data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data, size * sum(form.itemsize for form, _ in FORMS[kind]), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for form, how in FORMS[kind]:
+        col = np.frombuffer(data, np.uint8, size * form.itemsize, at)
+        at += len(col)
+        col = col.view(form) if how == PLAIN else np.ascontiguousarray(col.reshape(form.itemsize, size).T).reshape(-1).view(form)
+        out.append(np.cumsum(col) if how == STEPS else col)
+    return out
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What each value is above the one before, from 0 where a run begins."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
 
 
 def pack(kind: int, shard: np.ndarray, *cols: np.ndarray, base: int | np.ndarray = 0) -> pa.RecordBatch:
     """Columns as packed rows, one for each shard and, where it differs, base."""
-    order = np.lexsort((base, shard)) if isinstance(base, np.ndarray) else np.argsort(shard, kind="stable")
-    shard = shard[order]
-    base = base[order] if isinstance(base, np.ndarray) else np.full(len(shard), base, L)
+    cols = [np.asarray(c).astype(form, copy=False) for c, (form, _) in zip(cols, FORMS[kind])]
+    if isinstance(base, np.ndarray) and len(base) and (base == base[0]).all():
+        base = int(base[0])
+    several = isinstance(base, np.ndarray)
+    if FORMS[kind][0][1] == PLAIN:
+        order = np.lexsort((base, shard)) if several else np.argsort(shard, kind="stable")
+    elif kind in BY_KEY and not several:
+        order = np.argsort(cols[0].view(np.uint64))
+    else:
+        order = np.lexsort((cols[0], base, shard) if several else (cols[0], shard))
+    shard, cols = shard[order], [c[order] for c in cols]
+    base = base[order] if several else np.full(len(shard), base, L)
     first = starts(shard, base)
     ends = np.append(first[1:], len(shard))
-    cols = tuple(np.asarray(c)[order].astype(form, copy=False) for c, form in zip(cols, FORMS[kind]))
-    data = [[c[a:b].tobytes() for c in cols] for a, b in zip(first, ends)]
-    arrays = [pa.array(shard[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), pa.array(base[first]), pa.array((ends - first).astype(np.int32)), pa.array(data, pa.list_(pa.binary()))]
-    return pa.RecordBatch.from_arrays(arrays, ["shard", "kind", "base", "size", "cols"])
+    if FORMS[kind][0][1] == STEPS:
+        cols[0] = steps(cols[0], first)
+    data = [encode(kind, [c[a:b] for c in cols]) for a, b in zip(first, ends)]
+    arrays = [pa.array(shard[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), pa.array(base[first]), pa.array((ends - first).astype(np.int32)), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
 
 def unpack(kind: int, rows: list) -> tuple[np.ndarray, ...]:
     """base and the columns of packed rows of a kind."""
     base = np.repeat(np.array([r[0] for r in rows], L), np.array([r[1] for r in rows], L))
-    return base, *(np.frombuffer(b"".join(r[2][i] for r in rows), form) for i, form in enumerate(FORMS[kind]))
+    cols = zip(*(decode(kind, size, data) for _, size, data in rows)) if rows else [[np.zeros(0, form)] for form, _ in FORMS[kind]]
+    return base, *(np.concatenate(c) for c in cols)
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list]]]:
@@ -152,12 +195,17 @@ def free(k1: np.ndarray, k2: np.ndarray, k3: np.ndarray, d: tuple[float, float,
 
 def dealt(table: DataFrame, bits: int, work: Callable, parts: int, form: str = PACKED) -> DataFrame:
     """A part's packed rows, its shards one to a task, given to work. A shard's part is its number modulo the parts."""
-    return table.select("shard", "kind", "base", "size", "cols").repartitionById((1 << bits) // parts, (F.col("shard") / parts).cast("int")).mapInArrow(work, form)
+    return table.select(*COLUMNS).repartitionById((1 << bits) // parts, (F.col("shard") / parts).cast("int")).mapInArrow(work, form)
+
+
+def kept(table: DataFrame, by: str | None = None) -> DataFrame:
+    """Packed rows written out as they are: they are compressed already."""
+    return materialize(table, by, compression="uncompressed", **{"parquet.enable.dictionary": "false"})
 
 
 def stored(table: DataFrame, bits: int) -> DataFrame:
     """The packed rows, written out in a folder for each part."""
-    return materialize(table.withColumn("part", F.col("shard") % parts_of(bits, PARTS)), by="part", compression="zstd")
+    return kept(table.withColumn("part", F.col("shard") % parts_of(bits, PARTS)), "part")
 
 
 def discard_part(table: DataFrame, part: int) -> None:
@@ -205,13 +253,13 @@ def count_trigrams(streams: DataFrame, bits: int) -> list[DataFrame]:
                 first = starts(uv, three)
                 n = np.add.reduceat(n[order].astype(L), first)
                 row = np.where(n == 1, np.maximum.reduceat(row[order], first), -1)
-                u, v, w, uv, three = u[order][first], v[order][first], w[order][first], uv[first], three[first]
+                u, v, w, uv = u[order][first], v[order][first], w[order][first], uv[first]
                 mine = starts(uv)
                 total, *ks = (np.add.reduceat(x.astype(L), mine) for x in (n, n == 1, n == 2, n > 2))
                 yield pack(BIGRAM, shard_of(uv[mine], bits), u[mine], v[mine], total, *ks)
                 many = np.diff(np.append(mine, len(uv)))
                 vw = chained(chained(42, v), w)
-                yield pack(TRIGRAM, shard_of(vw, bits), vw, trigram_keys(vw, three, bits), n, *(np.repeat(k, many) for k in ks), row)
+                yield pack(TRIGRAM, shard_of(vw, bits), vw, u, n, *(np.repeat(k, many) for k in ks), row)
                 # Bigrams that end a text are no contexts.
                 _, last = np.unique(np.where(w == END, vw, 0), return_index=True)
                 last = last[w[last] == END]
@@ -223,19 +271,19 @@ def count_trigrams(streams: DataFrame, bits: int) -> list[DataFrame]:
 
 
 def bigrams(kinds: dict[int, list]) -> tuple:
-    """Of a shard its TRIGRAM columns, the place of each one's bigram, and of each bigram or context: hash, v, w, figures as a context, number of first words, places, row."""
+    """Of a shard its TRIGRAM columns but the first, the place of each one's bigram, and of each bigram or context: hash, v, w, figures as a context, number of first words, places, row."""
     _, v, w, total, *ks = unpack(BIGRAM, kinds[BIGRAM])
     hashes = chained(chained(42, v), w)
     order = np.lexsort((-total.astype(L), hashes))
     order = order[starts(hashes[order])]
     hashes, v, w, total, *ks = (x[order] for x in (hashes, v, w, total, *ks))
-    _, vw, key, n, k1, k2, k3, row = unpack(TRIGRAM, kinds[TRIGRAM])
+    _, vw, u, n, k1, k2, k3, row = unpack(TRIGRAM, kinds[TRIGRAM])
     at, size = place(hashes, vw), len(hashes)
     before, places = summed(at, np.ones(len(at)), size), summed(at, n, size)
     rows = np.full(size, -1, L)
     alone = places[at] == 1
     rows[at[alone]] = row[alone]
-    return (key, n, (k1, k2, k3), row), at, hashes, v, w, total, ks, before, places, rows
+    return (u, n, (k1, k2, k3), row), at, hashes, v, w, total, ks, before, places, rows
 
 
 def count_words(tables: list[DataFrame], bits: int) -> tuple[DataFrame, list[list[int]]]:
@@ -254,14 +302,14 @@ def count_words(tables: list[DataFrame], bits: int) -> tuple[DataFrame, list[lis
             figures = [summed(at_v, before, size), *(summed(at_v, x, size) for x in (before == 1, before == 2, before > 2)), np.bincount(at_w, minlength=size), seen]
             yield pack(SHARE, shard_of(words, bits), words, *figures, np.where(seen == 1, row, -1), base=shard)
             stats = [[int((x == k).sum()) for k in (1, 2, 3, 4)] for x in (n, before)]
-            yield pa.RecordBatch.from_pylist([{"shard": 0, "kind": STATS, "base": 0, "size": 0, "cols": [np.array(x, L).tobytes() for x in stats]}], schema=SCHEMA)
+            yield pa.RecordBatch.from_pylist([{"shard": 0, "kind": STATS, "base": 0, "size": 8, "data": encode(STATS, [np.array(stats, L)])}], schema=SCHEMA)
 
     parts = parts_of(bits, PARTS)
-    out = [materialize(dealt(union([t.filter(F.col("part") == part) for t in tables]), bits, share, parts), compression="zstd") for part in range(parts)]
+    out = [kept(dealt(union([t.filter(F.col("part") == part) for t in tables]), bits, share, parts)) for part in range(parts)]
     shares = union(out)
     stats = np.zeros((2, 4), L)
-    for r in shares.filter(F.col("kind") == STATS).select("cols").collect():
-        stats += np.array([np.frombuffer(x, L) for x in r.cols])
+    for r in shares.filter(F.col("kind") == STATS).select("size", "data").collect():
+        stats += decode(STATS, r.size, bytes(r.data))[0].reshape(2, 4)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, kinds in shards(batches):
@@ -273,14 +321,15 @@ def count_words(tables: list[DataFrame], bits: int) -> tuple[DataFrame, list[lis
             yield pack(WORD, np.full(len(words), shard), words, *figures, np.where(figures[-1] == 1, rows, -1))
             yield pack(FIGURES, asked, word, *(x[at] for x in figures[:-1]))
 
-    words = stored(dealt(shares.filter(F.col("kind") == SHARE), bits, total, 1), bits)
+    parts = parts_of(bits, COUNT_PARTS)
+    words = union([stored(dealt(shares.filter((F.col("kind") == SHARE) & (F.col("shard") % parts == part)), bits, total, parts), bits) for part in range(parts)])
     for table in out:
         discard(table)
     return words, stats.tolist()
 
 
-def weigh(tables: list[DataFrame], words: DataFrame, stats: list[list[int]], bits: int, kinds_of_words: int) -> tuple[list[DataFrame], np.ndarray]:
-    """WEIGHT and OWN rows of each part, and the log10 probability of an unknown word of each shape. The tables are discarded as they are read."""
+def weigh(tables: list[DataFrame], words: DataFrame, stats: list[list[int]], bits: int, kinds_of_words: int) -> tuple[list[DataFrame], list[DataFrame], np.ndarray]:
+    """WEIGHT rows of each part, the sums by row (ROW, far) of the n-grams of one place of each part, and the log10 probability of an unknown word of each shape. The tables are discarded as they are read."""
     mask = (1 << SHAPE_BITS) - 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +341,7 @@ def weigh(tables: list[DataFrame], words: DataFrame, stats: list[list[int]], bit
                 shapes = [np.bincount(kind, x, kinds_of_words).astype(L).tolist() for x in (n, n == 1, n == 2, n == 3, n == 4, n > 2, n > 0)]
                 yield pa.RecordBatch.from_arrays([pa.array([sum(shapes, [])], pa.list_(pa.int64()))], ["n"])
 
-    only_words = words.filter(F.col("kind") == WORD).select("shard", "kind", "base", "size", "cols")
+    only_words = words.filter(F.col("kind") == WORD).select(*COLUMNS)
     seen = np.zeros(7 * kinds_of_words, L)
     for r in only_words.mapInArrow(tally, "n array<long>").collect():  # a row for each batch of shards
         seen += np.array(r.n)
@@ -319,7 +368,8 @@ def weigh(tables: list[DataFrame], words: DataFrame, stats: list[list[int]], bit
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, kinds in shards(batches):
-            (key, n, ks, row), at, hashes, v, w, total3, ks2, before, places, rows = bigrams(kinds)
+            (u, n, ks, row), at, hashes, v, w, total3, ks2, before, places, rows = bigrams(kinds)
+            key = trigram_keys(hashes[at], chained(chained(chained(42, u), v[at]), w[at]), bits)
             _, word, t2, f1, f2, f3, n1 = unpack(FIGURES, kinds[FIGURES])
             order = np.argsort(word)
             t2, left, n1 = t2[order], free(f1, f2, f3, d2)[order], n1[order]
@@ -337,17 +387,21 @@ def weigh(tables: list[DataFrame], words: DataFrame, stats: list[list[int]], bit
             yield pack(WEIGHT, here(keys), keys, fixed(weights), ns)
             yield own(np.concatenate((rows, row)), np.concatenate((gain, high)))
 
-    out, parts = [], parts_of(bits, PARTS)
+    out, sums, parts = [], [], parts_of(bits, PARTS)
     for part in range(parts):
         mine = lambda t: t.filter(F.col("part") == part)
         asked = mine(words).filter(F.col("kind") == FIGURES)
-        out.append(materialize(dealt(union([mine(t) for t in tables] + [asked]), bits, others, parts).unionByName(mine(words).filter(F.col("kind") == WORD).select("shard", "kind", "base", "size", "cols").mapInArrow(one, PACKED)), compression="zstd"))
+        weighed = dealt(union([mine(t) for t in tables] + [asked]), bits, others, parts).unionByName(mine(words).filter(F.col("kind") == WORD).select(*COLUMNS).mapInArrow(one, PACKED))
+        out.append(kept(weighed, "kind").select(*COLUMNS))
+        # A row has n-grams in most shards, so its sums are added up before the next part makes more.
+        sums.append(materialize(by_row([out[-1].filter(F.col("kind") == OWN)], bits)))
+        discard(out[-1], f"/kind={OWN}")
         for t in tables:
             discard_part(t, part)
     discard(words)
     for t in tables:
         discard(t)
-    return out, unknown
+    return out, sums, unknown
 
 
 def row_sums(kind: int, row: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
